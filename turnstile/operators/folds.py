@@ -12,13 +12,13 @@ _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 @dataclass(frozen=True)
 class Measure:
-    """An aggregate that can be merged: `how` is sum, min or max over `value`."""
+    """An aggregate that can be merged: `how` is sum, min or max over the SQL expression `value`."""
 
     how: str
-    value: Column
+    value: str
 
     def first_pass(self) -> Column:
-        return _MERGE[self.how](self.value)
+        return _MERGE[self.how](F.expr(self.value))
 
     def merge(self, name: str) -> Column:
         return _MERGE[self.how](F.col(name))
@@ -39,7 +39,7 @@ def fold(entries: DataFrame, by: list[str], measures: dict[str, Measure], label_
     label = F.struct("id", "name")
     if entries.isStreaming:
         out = entries.groupBy(*by).agg(
-            *firsts.values(), F.min_by(label, measures[label_order].value).alias("label"))
+            *firsts.values(), F.min_by(label, F.expr(measures[label_order].value)).alias("label"))
     else:
         merged = [m.merge(name).alias(name) for name, m in measures.items()]
         out = entries.groupBy(*by, "id", "name").agg(*firsts.values()).groupBy(*by).agg(

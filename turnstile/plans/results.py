@@ -20,22 +20,18 @@ from turnstile.operators.folds import Measure, fold
 from turnstile.operators.highwater import city_entries, high_water, profit_entries
 from turnstile.operators.ledger import expense_entries, ledger, sale_entries
 
-_TOTALS = {"total": Measure("sum", F.col("amount")), "pos": Measure("max", F.col("pos"))}
-_NAMED = {**_TOTALS, "first": Measure("min", F.col("pos"))}
-_AVERAGED = {**_TOTALS, "n": Measure("sum", F.lit(1))}
+_TOTALS = {"total": Measure("sum", "amount"), "pos": Measure("max", "pos")}
+_NAMED = {**_TOTALS, "first": Measure("min", "pos")}
+_AVERAGED = {**_TOTALS, "n": Measure("sum", "1")}
 
-
-def _side(sale: bool, value: Column) -> Column:
-    return F.when(F.col("is_sale") if sale else ~F.col("is_sale"), value)
-
-
-# Sums per side stay NULL until that side has a record: a row exists only where both are known.
+# A sum per side stays NULL until that side has a record: a row exists only where both are known.
 _TWO_SIDED = {
-    "earned": Measure("sum", _side(True, F.col("amount"))),
-    "spent": Measure("sum", _side(False, F.col("amount"))),
-    "pos": Measure("max", F.col("pos")),
+    "earned": Measure("sum", "case when is_sale then amount end"),
+    "spent": Measure("sum", "case when not is_sale then amount end"),
+    "pos": Measure("max", "pos"),
 }
-_TWO_SIDED_NAMED = {**_TWO_SIDED, "first": Measure("min", _side(True, F.col("pos")))}
+_TWO_SIDED_NAMED = {**_TWO_SIDED, "first": Measure("min", "case when is_sale then pos end")}
+_BOTH = "earned is not null and spent is not null"
 
 
 def _row(df: DataFrame, value: Column, label: tuple[str, str] | None = None, key: Column | None = None,
@@ -69,8 +65,8 @@ def _window_row(df: DataFrame, value: Column, label: tuple[str, str]) -> DataFra
     return _row(df, value, label, key, "window_start")
 
 
-_PROFIT = F.col("earned") - F.col("spent")
-_BOTH = F.col("earned").isNotNull() & F.col("spent").isNotNull()
+def _profit() -> Column:
+    return F.col("earned") - F.col("spent")
 
 
 def revenue_per_event(sales: DataFrame) -> DataFrame:
@@ -83,7 +79,7 @@ def expenses_per_event(expenses: DataFrame) -> DataFrame:
 
 def profit_per_event(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     both = fold(_keyed(ledger(sales, expenses)), ["key"], _TWO_SIDED_NAMED, "first").where(_BOTH)
-    return _row(both, _PROFIT)
+    return _row(both, _profit())
 
 
 def total_revenue(sales: DataFrame) -> DataFrame:
@@ -96,7 +92,7 @@ def total_expenses(expenses: DataFrame) -> DataFrame:
 
 def total_profit(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     both = fold(_all(ledger(sales, expenses)), ["key"], _TWO_SIDED).where(_BOTH)
-    return _row(both, _PROFIT, C.TOTAL_PROFIT)
+    return _row(both, _profit(), C.TOTAL_PROFIT)
 
 
 def average_sale_per_event(sales: DataFrame) -> DataFrame:
@@ -122,7 +118,7 @@ def expenses_per_minute(expenses: DataFrame) -> DataFrame:
 def profit_per_minute(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     # One watermark per side, before the union: the side that lags behind is the one that counts.
     both = fold(_by_minute(ledger(_watermarked(sales), _watermarked(expenses))), ["w"], _TWO_SIDED).where(_BOTH)
-    return _window_row(both, _PROFIT, C.PROFIT_WINDOWED)
+    return _window_row(both, _profit(), C.PROFIT_WINDOWED)
 
 
 def city_sales_per_event(sales: DataFrame) -> DataFrame:
