@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "local[4]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
-        spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__checkpoint__dir=str(shared),
+        spark__sql__shuffle__partitions="3", spark__driver__memory="4g", spark__checkpoint__dir=str(shared),
         spark__sql__warehouse__dir=str(shared / "warehouse"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
