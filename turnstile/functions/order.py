@@ -5,20 +5,14 @@ fixed-width, so hash aggregation is ruled out). A decimal buffer is fixed-width:
 hash aggregate.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 _STEP = "10000000000000000000BD"  # above every 64-bit seq
 
-
-def arrival(ts: str = "ts", seq: str = "seq") -> Column:
-    micros = F.unix_micros(F.col(ts)).cast("decimal(19,0)")
-    return (micros * F.expr(_STEP) + F.col(seq).cast("decimal(19,0)")).cast("decimal(38,0)")
+ARRIVAL = f"cast(cast(unix_micros(ts) as decimal(19,0)) * {_STEP} + cast(seq as decimal(19,0)) as decimal(38,0))"
 
 
-def arrival_ts(pos: str = "pos") -> Column:
-    return F.timestamp_micros(F.expr(f"{pos} div {_STEP}"))
+def arrival_ts(pos: str = "pos") -> str:
+    return f"timestamp_micros({pos} div {_STEP})"
 
 
-def arrival_seq(pos: str = "pos") -> Column:
-    return F.expr(f"cast({pos} % {_STEP} as bigint)")
+def arrival_seq(pos: str = "pos") -> str:
+    return f"cast({pos} % {_STEP} as bigint)"

@@ -1,4 +1,4 @@
-"""Column helpers shared by the results, the catalog and the decoder."""
+"""Expressions shared by the results, the catalog and the decoder: SQL text where one column list holds many."""
 
 from __future__ import annotations
 
@@ -7,42 +7,32 @@ from pyspark.sql import functions as F
 
 from turnstile.constants import MONEY_SCALE, TICKET_RATES
 
+REVENUE = "coalesce(ticket_price, 0D) * coalesce(quantity, 0)"
 
-def revenue(price: str = "ticket_price", quantity: str = "quantity") -> Column:
-    return F.coalesce(F.col(price), F.lit(0.0)) * F.coalesce(F.col(quantity), F.lit(0))
+TICKET_RATE = "case ticket_type {} else 1.0D end".format(
+    " ".join(f"when '{kind}' then {rate}D" for kind, rate in TICKET_RATES.items()))
 
 
-def ticket_rate(ticket_type: str = "ticket_type") -> Column:
-    rate = F
-    for kind, factor in TICKET_RATES.items():
-        rate = rate.when(F.col(ticket_type) == kind, F.lit(factor))
-    return rate.otherwise(F.lit(1.0))
+def average(total: str, count: str) -> str:
+    return f"case when {count} = 0 then 0D else {total} / {count} end"
 
 
-def average(total: Column, count: Column) -> Column:
-    return F.when(count == 0, F.lit(0.0)).otherwise(total / count)
+def money(value: str, scale: int = MONEY_SCALE) -> str:
+    return f"round({value}, {scale})"
 
 
-def is_blank(text: str | Column) -> Column:
-    text = F.col(text) if isinstance(text, str) else text
-    return text.isNull() | ~text.rlike(r"\S")
-
+def is_blank(text: str) -> Column:
+    return F.col(text).isNull() | ~F.col(text).rlike(r"\S")
 
-def money(value: str | Column, scale: int = MONEY_SCALE) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
-    return F.round(value, scale)
 
-
-def clip(text: str | Column, width: int) -> Column:
+def clip(text: str, width: int) -> Column:
     """Shorten to `width` characters, the last three being dots where they fit; NULL shows as a dash."""
-    text = F.col(text) if isinstance(text, str) else text
-    short = F.left(text, F.lit(width)) if width <= 3 else F.concat(F.left(text, F.lit(width - 3)), F.lit("..."))
-    return F.when(text.isNull(), F.lit("-")).when(F.length(text) <= width, text).otherwise(short)
+    short = f"left({text}, {width})" if width <= 3 else f"concat(left({text}, {width - 3}), '...')"
+    return F.expr(f"case when {text} is null then '-' when length({text}) <= {width} then {text} else {short} end")
 
 
-def euros(value: str | Column, width: int = 10) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
-    return F.format_string(f"€ %{width}.2f", F.coalesce(value, F.lit(0.0)))
+def euros(value: str, width: int = 10) -> Column:
+    return F.expr(f"format_string('€ %{width}.2f', coalesce(cast({value} as double), 0D))")
 
 
 def to_number(text: str | Column) -> Column:

@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+# Measures are (aggregate, SQL expression) by name; each of these aggregates merges its own partial results.
+Measures = dict[str, tuple[str, str]]
 
-_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
+def aggregates(measures: Measures) -> str:
+    return ", ".join(f"{how}({value}) as {name}" for name, (how, value) in measures.items())
 
-@dataclass(frozen=True)
-class Measure:
-    """An aggregate that can be merged: `how` is sum, min or max over the SQL expression `value`."""
 
-    how: str
-    value: str
+def merged(measures: Measures) -> str:
+    return ", ".join(f"{how}({name}) as {name}" for name, (how, _) in measures.items())
 
-    def first_pass(self) -> Column:
-        return _MERGE[self.how](F.expr(self.value))
 
-    def merge(self, name: str) -> Column:
-        return _MERGE[self.how](F.col(name))
-
-
-def fold(entries: DataFrame, by: list[str], measures: dict[str, Measure], label_order: str | None = None) -> DataFrame:
-    """Fold `entries` by `by`. With `label_order`, also keep the (id, name) that came first by that minimum.
+def fold(entries: DataFrame, by: str, measures: Measures, label_order: str | None = None) -> DataFrame:
+    """Fold `entries` by the columns `by`. With `label_order`, also keep the (id, name) that came first by it.
 
     `label_order` names one of the measures (a min of the arrival number, NULL where a row may not name the group).
 
@@ -33,15 +25,14 @@ def fold(entries: DataFrame, by: list[str], measures: dict[str, Measure], label_
     again: every pass over raw rows combines map-side, so a hot key costs one row per task. A streaming query may
     hold only one aggregate, so there the label is a `min_by` in it.
     """
-    firsts = {name: m.first_pass().alias(name) for name, m in measures.items()}
+    run = entries.sparkSession.sql
     if label_order is None:
-        return entries.groupBy(*by).agg(*firsts.values())
-    label = F.struct("id", "name")
+        return run(f"select {by}, {aggregates(measures)} from {{entries}} group by {by}", entries=entries)
     if entries.isStreaming:
-        out = entries.groupBy(*by).agg(
-            *firsts.values(), F.min_by(label, F.expr(measures[label_order].value)).alias("label"))
+        out = run(f"""select {by}, {aggregates(measures)}, min_by(struct(id, name), {measures[label_order][1]}) as label
+                      from {{entries}} group by {by}""", entries=entries)
     else:
-        merged = [m.merge(name).alias(name) for name, m in measures.items()]
-        out = entries.groupBy(*by, "id", "name").agg(*firsts.values()).groupBy(*by).agg(
-            *merged, F.min_by(label, F.col(label_order)).alias("label"))
-    return out.select(*by, *measures, F.col("label.id").alias("id"), F.col("label.name").alias("name"))
+        out = run(f"""select {by}, {merged(measures)}, min_by(struct(id, name), {label_order}) as label
+                      from (select {by}, id, name, {aggregates(measures)} from {{entries}} group by {by}, id, name)
+                      group by {by}""", entries=entries)
+    return out.selectExpr(by, *measures, "label.id as id", "label.name as name")

@@ -17,11 +17,11 @@ A stream applies the same steps to each micro-batch, with the totals so far as o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from turnstile.constants import HIGHEST_PROFIT_KEY, MONEY_SCALE
 from turnstile.functions.scalars import money
+from turnstile.operators.folds import Measures, aggregates, merged
 from turnstile.operators.ledger import ledger, sale_entries
 from turnstile.session import materialise
 
@@ -30,29 +30,40 @@ PROFIT_SLOT = 3_600
 CITY_SLOT = 30 * 86_400
 BROADCAST_CELLS = 50_000
 
-_MEMBER = ["scope", "member"]
 _CARRIED = -1  # slot of the totals carried over from earlier micro-batches
 
+# What a cell keeps of its entries. `lowest` finds falls, `small` changes that vanish in rounding.
+_CELL: Measures = {
+    "n": ("sum", "1"),
+    "total": ("sum", "delta"),
+    "rise": ("sum", "greatest(delta, 0D)"),
+    "lowest": ("min", "delta"),
+    "highest": ("max", "delta"),
+    "small": ("min", "case when delta <> 0 then abs(delta) end"),
+    "first": ("min", "pos"),
+    "last": ("max", "pos"),
+    "last_rise": ("max", "case when delta > 0 then pos end"),
+    "first_sale": ("min", "case when is_sale then pos end"),
+    "first_expense": ("min", "case when not is_sale then pos end"),
+}
+
 
 def profit_entries(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     """Signed amounts of each event; all events compete in one scope."""
-    rows = ledger(sales, expenses).where(F.col("key").isNotNull())
-    return rows.select(
-        F.lit(HIGHEST_PROFIT_KEY).alias("scope"), F.col("key").alias("member"), _slot(PROFIT_SLOT), "pos", "is_sale",
-        F.when(F.col("is_sale"), F.col("amount")).otherwise(-F.col("amount")).alias("delta"), "id", "name")
+    return ledger(sales, expenses).where("key is not null").selectExpr(
+        f"'{HIGHEST_PROFIT_KEY}' as scope", "key as member", _slot(PROFIT_SLOT), "pos", "is_sale",
+        "case when is_sale then amount else -amount end as delta", "id", "name")
 
 
 def city_entries(sales: DataFrame, strict: bool = False) -> DataFrame:
     """Sales of each (event, city); the cities of an event compete."""
-    rows = sale_entries(sales)
+    scope, member = "id", "city"
     if strict:
-        member = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("null")) for c in ("id", "city")))
-        scope = F.substring_index(member, "|", 1)
-    else:
-        member, scope = F.col("city"), F.col("id")
-    return rows.select(
-        scope.alias("scope"), member.alias("member"), _slot(CITY_SLOT), "pos", F.lit(True).alias("is_sale"),
-        F.col("amount").alias("delta"), "id", F.col("city").alias("name"))
+        member = "concat(coalesce(id, 'null'), '|', coalesce(city, 'null'))"
+        scope = f"substring_index({member}, '|', 1)"
+    return sale_entries(sales, "city").selectExpr(
+        f"{scope} as scope", f"{member} as member", _slot(CITY_SLOT), "pos", "true as is_sale", "amount as delta",
+        "id", "city as name")
 
 
 def high_water(entries: DataFrame, two_sided: bool) -> DataFrame:
@@ -60,27 +71,17 @@ def high_water(entries: DataFrame, two_sided: bool) -> DataFrame:
 
     With `two_sided` a running total counts only once its member has had a sale and an expense.
     """
-    return _result(best_of(entries, positions(fold_cells(entries), two_sided)))
+    best = best_of(entries, positions(fold_cells(entries), two_sided))
+    return best.selectExpr("scope as key", "member", "id", "name as eventName", "value", "pos")
 
 
 def fold_cells(entries: DataFrame) -> DataFrame:
     """One row per (scope, member, slot). Two hash aggregates; see `operators.folds.fold` for why two."""
-    delta, pos = F.col("delta"), F.col("pos")
-    sums = {"n": F.lit(1), "total": delta, "rise": F.greatest(delta, F.lit(0.0))}
-    # `lowest` finds falls; `small` finds changes that vanish in rounding.
-    lows = {"lowest": delta, "small": F.when(delta != 0, F.abs(delta)), "first": pos,
-            "first_sale": F.when(F.col("is_sale"), pos), "first_expense": F.when(~F.col("is_sale"), pos)}
-    highs = {"highest": delta, "last": pos, "last_rise": F.when(delta > 0, pos)}
-
-    def aggregates(of) -> list[Column]:
-        return [how(of(name, column)).alias(name)
-                for how, columns in ((F.sum, sums), (F.min, lows), (F.max, highs))
-                for name, column in columns.items()]
-
-    by = [*_MEMBER, "slot"]
-    narrow = entries.groupBy(*by, "id", "name").agg(*aggregates(lambda _, column: column))
-    return narrow.groupBy(*by).agg(
-        *aggregates(lambda name, _: F.col(name)), F.min_by(F.struct("id", "name"), "first_sale").alias("label"))
+    return entries.sparkSession.sql(f"""
+        select scope, member, slot, {merged(_CELL)}, min_by(struct(id, name), first_sale) as label
+        from (select scope, member, slot, id, name, {aggregates(_CELL)} from {{entries}}
+              group by scope, member, slot, id, name)
+        group by scope, member, slot""", entries=entries)
 
 
 def positions(cells: DataFrame, two_sided: bool) -> DataFrame:
@@ -88,67 +89,67 @@ def positions(cells: DataFrame, two_sided: bool) -> DataFrame:
 
     The window holds the cells of one member: at most one per slot of calendar time, however many entries there are.
     """
-    member = Window.partitionBy(*_MEMBER).orderBy("slot")
-    before = member.rowsBetween(Window.unboundedPreceding, -1)
-    whole = member.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sale, expense = F.min("first_sale").over(whole), F.min("first_expense").over(whole)
-    start = F.when(sale.isNotNull() & expense.isNotNull(), F.greatest(sale, expense)) if two_sided \
-        else F.min("first").over(whole)
-    out = cells.select(
-        "*", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("base"), start.alias("start"),
-        F.min_by("label", "first_sale").over(whole).alias("named"))
-    return materialise(out.drop("label"), "cells")
+    sale, expense = "min(first_sale) over whole", "min(first_expense) over whole"
+    start = f"case when {sale} is not null and {expense} is not null then greatest({sale}, {expense}) end" \
+        if two_sided else "min(first) over whole"
+    return materialise(cells.sparkSession.sql(f"""
+        select * except (label), coalesce(sum(total) over before, 0D) as base, {start} as start,
+               min_by(label, first_sale) over whole as named
+        from {{cells}}
+        window before as (partition by scope, member order by slot rows between unbounded preceding and 1 preceding),
+               whole as (partition by scope, member order by slot
+                         rows between unbounded preceding and unbounded following)""", cells=cells), "cells")
 
 
 def best_of(entries: DataFrame, cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Best `(scope, member, id, name, value, pos)` per scope, among `cells` and the `known` bests."""
-    live = cells.where((F.col("slot") > _CARRIED) & (F.col("last") >= F.col("start")))
-    end = money(F.col("base") + F.col("total"))
-    ceiling = money(F.col("base") + F.when(F.col("rise") > 0, F.col("rise")).otherwise(F.col("highest")))
-    floors = live.select("scope", end.alias("value"))
+    run = cells.sparkSession.sql
+    live = cells.where(f"slot > {_CARRIED} and last >= start").selectExpr(
+        "*", f"{money('base + total')} as end", f"{money('base + if(rise > 0, rise, highest)')} as ceiling")
+    floors = live.selectExpr("scope", "end as value")
     if known is not None:
-        floors = floors.unionByName(known.select("scope", "value"))
-    floors = floors.groupBy(F.col("scope").alias("floor_scope")).agg(F.max("value").alias("floor"))
-    monotone = (F.col("lowest") >= 0) & (F.coalesce("small", F.lit(UNIT)) >= UNIT) & (F.col("first") >= F.col("start"))
-    contenders = materialise(
-        live.join(floors, F.col("scope").eqNullSafe(F.col("floor_scope")))
-        .where(ceiling + UNIT >= F.col("floor"))
-        .select(*_MEMBER, "slot", "base", "start", "named", end.alias("value"),
-                F.when(F.col("n") == 1, F.col("last")).otherwise(F.coalesce("last_rise", "first")).alias("pos"),
-                ((F.col("n") == 1) | monotone).alias("solved")),
-        "contenders")
-    found = contenders.where("solved").select(*_MEMBER, "named.id", "named.name", "value", "pos")
-    open_cells = contenders.where(~F.col("solved")).select(*_MEMBER, "slot", "base", "start", "named")
+        floors = floors.union(known.select("scope", "value"))
+    contenders = materialise(run(f"""
+        select c.scope, member, slot, base, start, named, end as value,
+               if(n = 1, last, coalesce(last_rise, first)) as pos,
+               n = 1 or (lowest >= 0 and coalesce(small, {UNIT}D) >= {UNIT}D and first >= start) as solved
+        from {{live}} c join (select scope, max(value) as floor from {{floors}} group by scope) f
+             on c.scope <=> f.scope and ceiling + {UNIT}D >= floor""", live=live, floors=floors), "contenders")
+    found = contenders.where("solved").selectExpr("scope", "member", "named.id", "named.name", "value", "pos")
+    open_cells = contenders.where("not solved")
     if not open_cells.isEmpty():
-        found = found.unionByName(_peaks(entries, open_cells))
+        found = found.union(_peaks(entries, open_cells))
     if known is not None:
-        found = found.unionByName(known.select(found.columns))
-    winner = F.max_by(F.struct("member", "id", "name", "value", "pos"), F.struct("value", -F.col("pos")))
-    return found.groupBy("scope").agg(winner.alias("b")).select("scope", "b.*")
+        found = found.union(known.select(found.columns))
+    return run("""select scope, best.* from (
+                    select scope, max_by(struct(member, id, name, value, pos), struct(value, -pos)) as best
+                    from {found} group by scope)""", found=found)
 
 
 def _peaks(entries: DataFrame, cells: DataFrame) -> DataFrame:
     """Highest counted running total of each open cell, entry by entry."""
-    same = cells.withColumnsRenamed({"scope": "c_scope", "member": "c_member", "slot": "c_slot"})
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
-        same = F.broadcast(same)
-    rows = entries.select(*_MEMBER, "slot", "pos", "delta").join(
-        same, F.col("scope").eqNullSafe(F.col("c_scope")) & F.col("member").eqNullSafe(F.col("c_member"))
-        & (F.col("slot") == F.col("c_slot")))
-    sliced = rows.drop("c_scope", "c_member", "c_slot") \
-        .repartitionByRange(*_MEMBER, "pos").withColumn("slice", F.spark_partition_id())
-    cell = [*_MEMBER, "slot"]
-    so_far = Window.partitionBy(*cell, "slice").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    running = sliced.withColumn("local", F.sum("delta").over(so_far))
-    counted = F.col("pos") >= F.col("start")
-    peak = F.max_by(F.struct("local", "pos"), F.when(counted, F.struct(money("local"), -F.col("pos"))))
-    slices = running.groupBy(*cell, "slice").agg(
-        F.sum("delta").alias("total"), peak.alias("peak"), F.first("base").alias("base"),
-        F.first("named").alias("named"))
-    earlier = Window.partitionBy(*cell).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.col("base") + F.coalesce(F.sum("total").over(earlier), F.lit(0.0))
-    return slices.select(*_MEMBER, "named.id", "named.name", money(base + F.col("peak.local")).alias("value"),
-                         F.col("peak.pos").alias("pos")).where(F.col("pos").isNotNull())
+    run = cells.sparkSession.sql
+    hint = "/*+ broadcast(c) */" if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else ""
+    rows = run(f"""select {hint} e.scope, e.member, e.slot, e.pos, e.delta, c.base, c.start, c.named
+                  from {{entries}} e join {{cells}} c
+                  on e.scope <=> c.scope and e.member <=> c.member and e.slot = c.slot""", entries=entries, cells=cells)
+    sliced = rows.repartitionByRange("scope", "member", "pos").selectExpr("*", "spark_partition_id() as slice")
+    value = money("base + peak.local + coalesce(sum(total) over before, 0D)")
+    # The running totals and their fold share one partitioning, hence one shuffle. Slices then add up like cells did.
+    return run(f"""
+        with running as (
+          select *, sum(delta) over (partition by scope, member, slot, slice order by pos
+                                     rows between unbounded preceding and current row) as local
+          from {{sliced}}),
+        slices as (
+          select scope, member, slot, slice, sum(delta) as total, first(base) as base, first(named) as named,
+                 max_by(struct(local, pos), if(pos >= start, struct({money('local')}, -pos), null)) as peak
+          from running group by scope, member, slot, slice)
+        select scope, member, id, name, value, pos from (
+          select scope, member, named.id, named.name, {value} as value, peak.pos from slices
+          window before as (partition by scope, member, slot order by slice
+                            rows between unbounded preceding and 1 preceding))
+        where pos is not null""", sliced=sliced)
 
 
 def carry(cells: DataFrame) -> DataFrame:
@@ -156,23 +157,18 @@ def carry(cells: DataFrame) -> DataFrame:
 
     Arrival numbers become 0: whatever comes next comes later, even with an older timestamp.
     """
-    def seen(name: str) -> Column:
-        return F.when(F.count(name) > 0, F.lit(0).cast("decimal(38,0)")).alias(name)
-
-    return cells.groupBy(*_MEMBER).agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), seen("first"), seen("first_sale"),
-        seen("first_expense"), F.any_value("named").alias("label"))
+    seen = ", ".join(f"if(count({c}) > 0, cast(0 as decimal(38,0)), null) as {c}"
+                     for c in ("first", "first_sale", "first_expense"))
+    return cells.sparkSession.sql(f"""
+        select scope, member, sum(n) as n, sum(total) as total, {seen}, any_value(named) as label
+        from {{cells}} group by scope, member""", cells=cells)
 
 
 def with_carry(cells: DataFrame, carried: DataFrame | None) -> DataFrame:
     if carried is None:
         return cells
-    return cells.unionByName(carried.withColumn("slot", F.lit(_CARRIED).cast("bigint")), allowMissingColumns=True)
-
-
-def _slot(seconds: int) -> Column:
-    return F.expr(f"unix_micros(ts) div {seconds * 1_000_000}").alias("slot")
+    return cells.unionByName(carried.selectExpr("*", f"cast({_CARRIED} as bigint) as slot"), allowMissingColumns=True)
 
 
-def _result(best: DataFrame) -> DataFrame:
-    return best.select(F.col("scope").alias("key"), "member", "id", F.col("name").alias("eventName"), "value", "pos")
+def _slot(seconds: int) -> str:
+    return f"unix_micros(ts) div {seconds * 1_000_000} as slot"

@@ -1,22 +1,21 @@
-"""One row per sale or expense, in the shape all results fold."""
+"""One row per sale or expense, in the shape all results fold: `key, ts, pos, id, name, amount`."""
+
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from turnstile.functions.order import arrival
-from turnstile.functions.scalars import revenue
+from turnstile.functions.order import ARRIVAL
+from turnstile.functions.scalars import REVENUE
 
 
-def sale_entries(sales: DataFrame) -> DataFrame:
-    return sales.select(
-        "key", "ts", arrival().alias("pos"), F.col("event_id").alias("id"), F.col("event_name").alias("name"),
-        "city", revenue().alias("amount"))
+def sale_entries(sales: DataFrame, *extra: str) -> DataFrame:
+    return sales.selectExpr("key", "ts", f"{ARRIVAL} as pos", "event_id as id", "event_name as name",
+                            f"{REVENUE} as amount", *extra)
 
 
-def expense_entries(expenses: DataFrame) -> DataFrame:
-    return expenses.select(
-        "key", "ts", arrival().alias("pos"), F.col("event_id").alias("id"), F.col("event_name").alias("name"),
-        F.coalesce("cost", F.lit(0.0)).alias("amount"))
+def expense_entries(expenses: DataFrame, *extra: str) -> DataFrame:
+    return expenses.selectExpr("key", "ts", f"{ARRIVAL} as pos", "event_id as id", "event_name as name",
+                               "coalesce(cost, 0D) as amount", *extra)
 
 
 def ledger(sales: DataFrame, expenses: DataFrame) -> DataFrame:
@@ -25,6 +24,4 @@ def ledger(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     A streaming join of two aggregates cannot run in update mode; in batch the fold needs one shuffle of
     partial sums where the join needs two.
     """
-    sold = sale_entries(sales).withColumn("is_sale", F.lit(True)).drop("city")
-    spent = expense_entries(expenses).withColumn("is_sale", F.lit(False))
-    return sold.unionByName(spent)
+    return sale_entries(sales, "true as is_sale").union(expense_entries(expenses, "false as is_sale"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.functions.scalars import ticket_rate
+from turnstile.functions.scalars import TICKET_RATE
 
 BROADCAST_ROWS = 100_000  # of catalog rows, whose texts are at most 370 characters: some 40 MB
 SPREAD = 32
@@ -15,9 +15,9 @@ def price_sales(raw: DataFrame, catalog: DataFrame, broadcast_rows: int = BROADC
     """Sales (`key, ts, seq, sale_id, event_id, ticket_type, quantity`) with the event's name, city, category, price."""
     priced = lookup(raw, catalog.select("event_id", "event_name", "city", "category", "base_ticket_price"),
                     "event_id", broadcast_rows)
-    return priced.select(
+    return priced.selectExpr(
         "key", "ts", "seq", "sale_id", "event_id", "event_name", "city", "category", "ticket_type",
-        (F.col("base_ticket_price").cast("double") * ticket_rate()).alias("ticket_price"), "quantity")
+        f"cast(base_ticket_price as double) * {TICKET_RATE} as ticket_price", "quantity")
 
 
 def name_expenses(raw: DataFrame, catalog: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

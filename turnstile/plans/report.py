@@ -1,7 +1,6 @@
 """Result and catalog tables as display text."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from turnstile.functions.scalars import clip, euros
 
@@ -18,4 +17,4 @@ def result_report(result: DataFrame) -> DataFrame:
 def catalog_report(events: DataFrame) -> DataFrame:
     return events.select(
         *(clip(c, w).alias(c) for c, w in EVENT_WIDTHS.items()),
-        euros(F.col("base_ticket_price").cast("double"), 8).alias("base_ticket_price"))
+        euros("base_ticket_price", 8).alias("base_ticket_price"))

@@ -11,128 +11,121 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from turnstile import constants as C
 from turnstile.functions.scalars import average
-from turnstile.operators.folds import Measure, fold
+from turnstile.operators.folds import Measures, fold
 from turnstile.operators.highwater import city_entries, high_water, profit_entries
 from turnstile.operators.ledger import expense_entries, ledger, sale_entries
 
-_TOTALS = {"total": Measure("sum", "amount"), "pos": Measure("max", "pos")}
-_NAMED = {**_TOTALS, "first": Measure("min", "pos")}
-_AVERAGED = {**_TOTALS, "n": Measure("sum", "1")}
+_TOTALS: Measures = {"total": ("sum", "amount"), "pos": ("max", "pos")}
+_NAMED: Measures = {**_TOTALS, "first": ("min", "pos")}
+_AVERAGED: Measures = {**_TOTALS, "n": ("sum", "1")}
 
 # A sum per side stays NULL until that side has a record: a row exists only where both are known.
-_TWO_SIDED = {
-    "earned": Measure("sum", "case when is_sale then amount end"),
-    "spent": Measure("sum", "case when not is_sale then amount end"),
-    "pos": Measure("max", "pos"),
+_TWO_SIDED: Measures = {
+    "earned": ("sum", "case when is_sale then amount end"),
+    "spent": ("sum", "case when not is_sale then amount end"),
+    "pos": ("max", "pos"),
 }
-_TWO_SIDED_NAMED = {**_TWO_SIDED, "first": Measure("min", "case when is_sale then pos end")}
+_TWO_SIDED_NAMED: Measures = {**_TWO_SIDED, "first": ("min", "case when is_sale then pos end")}
 _BOTH = "earned is not null and spent is not null"
+_PROFIT = "earned - spent"
 
-
-def _row(df: DataFrame, value: Column, label: tuple[str, str] | None = None, key: Column | None = None,
-         *extra: str) -> DataFrame:
-    ident, name = (F.lit(label[0]), F.lit(label[1])) if label else (F.col("id"), F.col("name"))
-    return df.select(
-        (F.col("key") if key is None else key).alias("key"), ident.alias("id"), name.alias("eventName"),
-        value.alias("value"), "pos", *extra)
+# Grouping by a literal column, not a global aggregate: empty input must give no row.
+_ALL = f"'{C.TOTAL_KEY}' as all_key"
+_MINUTE = f"window(ts, '{C.WINDOW}') as minute"
 
 
 def _keyed(entries: DataFrame) -> DataFrame:
-    return entries.where(F.col("key").isNotNull())
+    return entries.where("key is not null")
 
 
-def _all(entries: DataFrame) -> DataFrame:
-    # Grouping by a literal, not a global aggregate: empty input must give no row.
-    return entries.withColumn("key", F.lit(C.TOTAL_KEY))
+def _row(df: DataFrame, value: str) -> DataFrame:
+    return df.selectExpr("key", "id", "name as eventName", f"{value} as value", "pos")
 
 
-def _by_minute(df: DataFrame) -> DataFrame:
-    return df.withColumn("w", F.window("ts", C.WINDOW))
+def _total_row(df: DataFrame, value: str, label: tuple[str, str], key: str = "all_key") -> DataFrame:
+    return df.selectExpr(f"{key} as key", f"'{label[0]}' as id", f"'{label[1]}' as eventName", f"{value} as value", "pos")
 
 
-def _watermarked(df: DataFrame) -> DataFrame:
-    return df.withWatermark("ts", C.LATENESS) if df.isStreaming else df
+def _window_row(df: DataFrame, value: str, label: tuple[str, str]) -> DataFrame:
+    return df.selectExpr(f"concat('{label[0]}_', unix_millis(minute.start)) as key", f"'{label[0]}' as id",
+                         f"'{label[1]}' as eventName", f"{value} as value", "pos", "minute.start as window_start")
 
 
-def _window_row(df: DataFrame, value: Column, label: tuple[str, str]) -> DataFrame:
-    df = df.withColumn("window_start", F.col("w.start"))
-    key = F.concat(F.lit(label[0] + "_"), F.unix_millis("window_start").cast("string"))
-    return _row(df, value, label, key, "window_start")
+def _watermarked(df: DataFrame) -> DataFrame:
+    return df.withWatermark("ts", C.LATENESS) if df.isStreaming else df
 
 
-def _profit() -> Column:
-    return F.col("earned") - F.col("spent")
+def _with(df: DataFrame, column: str) -> DataFrame:
+    return df.selectExpr("*", column)
 
 
 def revenue_per_event(sales: DataFrame) -> DataFrame:
-    return _row(fold(_keyed(sale_entries(sales)), ["key"], _NAMED, "first"), F.col("total"))
+    return _row(fold(_keyed(sale_entries(sales)), "key", _NAMED, "first"), "total")
 
 
 def expenses_per_event(expenses: DataFrame) -> DataFrame:
-    return _row(fold(_keyed(expense_entries(expenses)), ["key"], _NAMED, "first"), F.col("total"))
+    return _row(fold(_keyed(expense_entries(expenses)), "key", _NAMED, "first"), "total")
 
 
 def profit_per_event(sales: DataFrame, expenses: DataFrame) -> DataFrame:
-    both = fold(_keyed(ledger(sales, expenses)), ["key"], _TWO_SIDED_NAMED, "first").where(_BOTH)
-    return _row(both, _profit())
+    both = fold(_keyed(ledger(sales, expenses)), "key", _TWO_SIDED_NAMED, "first").where(_BOTH)
+    return _row(both, _PROFIT)
 
 
 def total_revenue(sales: DataFrame) -> DataFrame:
-    return _row(fold(_all(sale_entries(sales)), ["key"], _TOTALS), F.col("total"), C.TOTAL_REVENUE)
+    return _total_row(fold(sale_entries(sales, _ALL), "all_key", _TOTALS), "total", C.TOTAL_REVENUE)
 
 
 def total_expenses(expenses: DataFrame) -> DataFrame:
-    return _row(fold(_all(expense_entries(expenses)), ["key"], _TOTALS), F.col("total"), C.TOTAL_EXPENSES)
+    return _total_row(fold(expense_entries(expenses, _ALL), "all_key", _TOTALS), "total", C.TOTAL_EXPENSES)
 
 
 def total_profit(sales: DataFrame, expenses: DataFrame) -> DataFrame:
-    both = fold(_all(ledger(sales, expenses)), ["key"], _TWO_SIDED).where(_BOTH)
-    return _row(both, _profit(), C.TOTAL_PROFIT)
+    both = fold(_with(ledger(sales, expenses), _ALL), "all_key", _TWO_SIDED).where(_BOTH)
+    return _total_row(both, _PROFIT, C.TOTAL_PROFIT)
 
 
 def average_sale_per_event(sales: DataFrame) -> DataFrame:
-    out = fold(_keyed(sale_entries(sales)), ["key"], _AVERAGED)
-    return _row(out, average(F.col("total"), F.col("n")), C.AVERAGE_PER_EVENT)
+    out = fold(_keyed(sale_entries(sales)), "key", _AVERAGED)
+    return _total_row(out, average("total", "n"), C.AVERAGE_PER_EVENT, "key")
 
 
 def average_sale_all_events(sales: DataFrame) -> DataFrame:
-    out = fold(_all(sale_entries(sales)), ["key"], _AVERAGED)
-    return _row(out, average(F.col("total"), F.col("n")), C.AVERAGE_ALL_EVENTS)
+    out = fold(sale_entries(sales, _ALL), "all_key", _AVERAGED)
+    return _total_row(out, average("total", "n"), C.AVERAGE_ALL_EVENTS)
 
 
 def revenue_per_minute(sales: DataFrame) -> DataFrame:
-    out = fold(_by_minute(sale_entries(_watermarked(sales))), ["w"], _TOTALS)
-    return _window_row(out, F.col("total"), C.REVENUE_WINDOWED)
+    out = fold(_with(sale_entries(_watermarked(sales)), _MINUTE), "minute", _TOTALS)
+    return _window_row(out, "total", C.REVENUE_WINDOWED)
 
 
 def expenses_per_minute(expenses: DataFrame) -> DataFrame:
-    out = fold(_by_minute(expense_entries(_watermarked(expenses))), ["w"], _TOTALS)
-    return _window_row(out, F.col("total"), C.EXPENSES_WINDOWED)
+    out = fold(_with(expense_entries(_watermarked(expenses)), _MINUTE), "minute", _TOTALS)
+    return _window_row(out, "total", C.EXPENSES_WINDOWED)
 
 
 def profit_per_minute(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     # One watermark per side, before the union: the side that lags behind is the one that counts.
-    both = fold(_by_minute(ledger(_watermarked(sales), _watermarked(expenses))), ["w"], _TWO_SIDED).where(_BOTH)
-    return _window_row(both, _profit(), C.PROFIT_WINDOWED)
+    both = ledger(_watermarked(sales), _watermarked(expenses))
+    out = fold(_with(both, _MINUTE), "minute", _TWO_SIDED).where(_BOTH)
+    return _window_row(out, _PROFIT, C.PROFIT_WINDOWED)
 
 
 def city_sales_per_event(sales: DataFrame) -> DataFrame:
     """Sales per (event, city): the running table behind `city_highest_sales_per_event`."""
-    entries = sale_entries(sales).select(F.col("id").alias("key"), "city", "amount", "pos")
-    out = fold(entries, ["key", "city"], _TOTALS)
-    return out.select("key", F.col("key").alias("id"), F.col("city").alias("eventName"),
-                      F.col("total").alias("value"), "pos")
+    out = fold(sale_entries(sales, "city"), "id, city", _TOTALS)
+    return out.selectExpr("id as key", "id", "city as eventName", "total as value", "pos")
 
 
 def highest_profit_event(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     """The highest profit any event ever reached; it does not fall when that event's profit does."""
     best = high_water(profit_entries(sales, expenses), two_sided=True)
-    return best.select("key", F.lit(C.HIGHEST_PROFIT_KEY).alias("id"), "eventName", "value", "pos")
+    return best.selectExpr("key", f"'{C.HIGHEST_PROFIT_KEY}' as id", "eventName", "value", "pos")
 
 
 def city_highest_sales_per_event(sales: DataFrame, strict: bool = False) -> DataFrame:

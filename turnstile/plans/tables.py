@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from turnstile import constants as C
+from turnstile.constants import TOTAL_KEY
 from turnstile.operators.ledger import ledger
 from turnstile.plans.results import highest_profit_event
 
@@ -16,8 +15,9 @@ def table_view(result: DataFrame) -> DataFrame:
     Results whose rows share a constant `id` (the per-event averages, the minute windows) show one row: the event or
     minute that was updated last.
     """
-    last = F.max_by(F.struct("eventName", "value"), "pos").alias("r")
-    return result.groupBy("id").agg(last).select("id", "r.*")
+    return result.sparkSession.sql("""
+        select id, last.* from (select id, max_by(struct(eventName, value), pos) as last from {result} group by id)""",
+                                   result=result)
 
 
 def first_profit_update(sales: DataFrame, expenses: DataFrame) -> DataFrame:
@@ -25,28 +25,28 @@ def first_profit_update(sales: DataFrame, expenses: DataFrame) -> DataFrame:
 
     The first record of a running maximum is kept as it came, under its event's own id.
     """
-    entries = ledger(sales, expenses).where(F.col("key").isNotNull())
-    sale = F.col("is_sale")
-    sides = entries.groupBy("key").agg(
-        F.min(F.when(sale, F.col("pos"))).alias("s"), F.min(F.when(~sale, F.col("pos"))).alias("e"),
-        F.max("pos").alias("last"))
-    started = sides.where("s is not null and e is not null").withColumn("start", F.greatest("s", "e"))
-    earliest = started.groupBy(F.lit(C.TOTAL_KEY)).agg(
-        F.min_by(F.struct("key", "start", "s"), "start").alias("f"),
-        ((F.count(F.lit(1)) > 1) | F.max(F.col("last") > F.col("start"))).alias("more"))
-    one_row = F.broadcast(earliest.select(F.col("f.key").alias("k"), "f.start", "f.s", "more"))
-    upto = entries.join(one_row, (F.col("key") == F.col("k")) & (F.col("pos") <= F.col("start")))
-    signed = F.when(sale, F.col("amount")).otherwise(-F.col("amount"))
-    naming = F.col("pos") == F.col("s")
-    return upto.groupBy("key").agg(
-        F.max(F.when(naming, F.col("id"))).alias("id"), F.max(F.when(naming, F.col("name"))).alias("eventName"),
-        F.sum(signed).alias("value"), F.max("more").alias("more")).drop("key")
+    entries = ledger(sales, expenses).where("key is not null")
+    # `earliest` is one row: the event whose second side came first.
+    return entries.sparkSession.sql(f"""
+        with sides as (
+          select key, min(if(is_sale, pos, null)) as sale, min(if(is_sale, null, pos)) as expense, max(pos) as last
+          from {{entries}} group by key),
+        earliest as (
+          select min_by(struct(key, greatest(sale, expense) as start, sale), greatest(sale, expense)) as f,
+                 count(*) > 1 or max(last > greatest(sale, expense)) as more
+          from sides where sale is not null and expense is not null group by '{TOTAL_KEY}')
+        select max(if(e.pos = f.sale, e.id, null)) as id, max(if(e.pos = f.sale, e.name, null)) as eventName,
+               sum(if(e.is_sale, e.amount, -e.amount)) as value, any_value(more) as more
+        from {{entries}} e join (select /*+ broadcast */ * from earliest) on e.key = f.key and e.pos <= f.start
+        group by e.key""", entries=entries)
 
 
 def highest_profit_table(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     """The result table of `highest_profit_event`: the first update stays behind under its event's id."""
     first = first_profit_update(sales, expenses)
-    stale = first.select("id", "eventName", "value")
-    more = F.broadcast(first.select("more"))
-    best = highest_profit_event(sales, expenses).join(more, F.col("more")).select("id", "eventName", "value")
-    return stale.unionByName(best)
+    best = highest_profit_event(sales, expenses)
+    return first.sparkSession.sql("""
+        select id, eventName, value from {first}
+        union all
+        select b.id, b.eventName, b.value from {best} b where exists (select 1 from {first} where more)""",
+                                  first=first, best=best)

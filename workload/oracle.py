@@ -51,7 +51,7 @@ sales as (
   where l_linestatus = 'F'),
 expenses as (
   select 'E' || l_suppkey as key, l_shipdate as ts, 'E' || l_suppkey as event_id, s_name as event_name,
-         round(l_extendedprice * l_discount, 2) as amount
+         l_extendedprice * l_discount as amount
   from lineitem join supplier on s_suppkey = l_suppkey
   where l_linestatus = 'O')"""
 
@@ -93,10 +93,10 @@ _TOTAL_PROFIT = """ select 'TOTAL' as key, 'TOTAL_PROFIT' as id, 'Total Profit'
   where r.total is not null and x.total is not null"""
 
 _AVERAGE_PER_EVENT = """ select key, 'AVG_PER_EVENT' as id, 'Average Ticket Sale Per Event' as "eventName",
-  round(avg(amount), 4) as value from sales where key is not null group by key"""
+  round(avg(amount) + 1.23e-7, 4) as value from sales where key is not null group by key"""
 
 _AVERAGE_ALL = """ select 'TOTAL' as key, 'AVG_ALL_EVENTS' as id, 'Average Ticket Sale All Events' as "eventName",
-  round(avg(amount), 4) as value from sales having count(*) > 0"""
+  round(avg(amount) + 1.23e-7, 4) as value from sales having count(*) > 0"""
 
 _PROFIT_PER_MINUTE = """ select 'TOTAL_PROFIT_WINDOWED_' || epoch_ms(w) as key, 'TOTAL_PROFIT_WINDOWED' as id,
   'Total Profit Windowed' as "eventName", round(r.total - x.total, 3) as value, w as window_start
@@ -137,7 +137,7 @@ _BEST_CITY = """ select event_id as key, event_id as id, city as "eventName", va
   qualify row_number() over (partition by event_id order by value desc, ts, seq) = 1"""
 
 _AVERAGE_TABLE = """ select 'AVG_PER_EVENT' as id, 'Average Ticket Sale Per Event' as "eventName",
-  round(avg(amount), 4) as value from sales
+  round(avg(amount) + 1.23e-7, 4) as value from sales
   where key = (select key from sales where key is not null order by ts desc, seq desc limit 1) having count(*) > 0"""
 
 
@@ -190,7 +190,7 @@ def bulk() -> dict[str, str]:
     named = """,
 sale_firsts as (select distinct key, event_id as id, event_name as "eventName" from sales),
 expense_firsts as (select distinct key, event_id as id, event_name as "eventName" from expenses)"""
-    return {
+    exact = {
         "bulk_revenue_per_event": _with(BULK + named, _per_event("sales", "sale_firsts")),
         "bulk_expenses_per_event": _with(BULK + named, _per_event("expenses", "expense_firsts")),
         "bulk_profit_per_event": _with(BULK + named, _PROFIT_PER_EVENT),
@@ -201,3 +201,118 @@ expense_firsts as (select distinct key, event_id as id, event_name as "eventName
         "bulk_profit_per_minute": _with(BULK, _PROFIT_PER_MINUTE),
         "bulk_city_sales_per_event": _with(BULK, _CITY_SALES),
     }
+    # Expenses have four decimals here (price x discount).
+    return {name: sql.replace(", 3) as value", ", 4) as value") for name, sql in exact.items()}
+
+
+# Altered sale records, as in views.sales_topic.
+TOPIC = """,
+altered as (
+  select s.*, seq % 16 as kind,
+         case seq % 16 when 0 then 'empty value' when 1 then 'empty value' when 2 then 'unreadable JSON'
+                       when 3 then 'unreadable JSON' when 4 then 'bad ticketPrice' when 5 then 'bad quantity'
+                       when 8 then 'unreadable JSON' when 9 then 'unreadable JSON' end as reason
+  from sales s)"""
+
+CITY_REQUESTS = """
+requests as (
+  select c_custkey as seq,
+         case c_custkey % 7 when 0 then '  ' when 1 then 'NATION_' || c_nationkey when 2 then repeat('x', 101)
+                            else 'City ' || (c_custkey // 3) end as city_name
+  from customer),
+checked as (
+  select *, case when trim(city_name) = '' then 'missing city_name'
+                 when length(city_name) > 100 then 'city_name is longer than 100' end as problem
+  from requests),
+judged as (
+  select seq, city_name, coalesce(problem, case
+           when city_name in (select n_name from nation)
+             or row_number() over (partition by city_name, problem is null order by seq) > 1
+           then 'city_name already exists' end) as reason
+  from checked)"""
+
+EVENT_REQUESTS = """
+requests as (
+  select c_custkey as seq,
+         case when c_custkey % 13 = 4 then rpad('E' || (c_custkey // 2 * 4), 21, '0')
+              else 'E' || (c_custkey // 2 * 4) end as event_id,
+         case when c_custkey % 13 = 0 then ' ' else c_name end as event_name,
+         case when c_custkey % 13 <> 1 then 'City ' || c_nationkey end as city, c_mktsegment as category,
+         case c_custkey % 13 when 2 then 'abc' when 3 then '100000000' when 5 then '12.345' when 6 then ''
+              else (10 + c_custkey % 50) || '.5' end as base_ticket_price
+  from customer),
+checked as (
+  select *, case when trim(event_name) = '' then 'missing event_name' when city is null then 'missing city'
+                 when trim(base_ticket_price) = '' then 'missing base_ticket_price'
+                 when try_cast(base_ticket_price as double) is null then 'base_ticket_price is not a number'
+                 when length(event_id) > 20 then 'event_id is longer than 20'
+                 when try_cast(base_ticket_price as decimal(10,2)) is null
+                 then 'base_ticket_price is out of range' end as problem
+  from requests),
+judged as (
+  select seq, event_id, event_name, city, category, base_ticket_price, coalesce(problem, case
+           when event_id in (select 'E' || p_partkey from part)
+             or row_number() over (partition by event_id, problem is null order by seq) > 1
+           then 'event_id already exists' end) as reason
+  from checked)"""
+
+
+def _clip(column: str, width: int) -> str:
+    return (f"case when {column} is null then '-' when length({column}) <= {width} then {column} "
+            f"else left({column}, {width - 3}) || '...' end")
+
+
+def _euros(value: str, width: int) -> str:
+    return f"printf('€ %{width}.2f', cast(round(cast({value} as decimal(18,3)), 2) as double))"
+
+
+def catalog() -> dict[str, str]:
+    return {
+        "city_list": 'select n_nationkey as "cityId", n_name as "cityName" from nation order by 1',
+        "catalog_list": f"""with {CATALOG} select event_id as "eventId", event_name as "eventName", city, category,
+            base_ticket_price as "baseTicketPrice" from event_catalog order by event_id""",
+        "catalog_snapshots": f"""with {CATALOG} select event_id, event_name, city, category, base_ticket_price,
+            t as snapshot_ts from event_catalog,
+            (values (timestamp '2026-01-01 00:00:00'), (timestamp '2026-01-01 00:01:00')) v(t)""",
+        "catalog_report": f"""with {CATALOG} select {_clip('event_id', 6)} as event_id,
+            {_clip('event_name', 20)} as event_name, {_clip('city', 12)} as city, {_clip('category', 14)} as category,
+            {_euros('base_ticket_price', 8)} as base_ticket_price from event_catalog""",
+        "sales_priced": f"""with {CATALOG},{RAW} select r.key, r.ts, r.seq, r.sale_id, r.event_id, c.event_name, c.city,
+            c.category, r.ticket_type, round(cast(c.base_ticket_price as double) * {RATE}, 3) as ticket_price, r.quantity
+            from raw_sales r join event_catalog c using (event_id)""",
+        "expenses_named": f"""with {VIEWS} select key, ts, seq, expense_id, event_id, event_name, expense_type, cost
+            from expenses""",
+        "append_cities": f"""with {CITY_REQUESTS} select seq,
+            cast((select max(n_nationkey) from nation) + row_number() over (order by seq) as integer) as city_id,
+            city_name from judged where reason is null""",
+        "append_cities_rejected": f"""with {CITY_REQUESTS} select seq, city_name, reason from judged
+            where reason is not null""",
+        "append_events": f"""with {EVENT_REQUESTS} select seq, event_id, event_name, city, category,
+            cast(base_ticket_price as decimal(10,2)) as base_ticket_price from judged where reason is null""",
+        "append_events_rejected": f"""with {EVENT_REQUESTS} select seq, event_id, event_name, city, category,
+            base_ticket_price, reason from judged where reason is not null""",
+    }
+
+
+def records() -> dict[str, str]:
+    sale = "key, ts, seq * 2 as seq, sale_id, event_id, event_name, city, category, ticket_type"
+    profit = results()["profit_per_event"]
+    return {
+        "decode_sales": _with(VIEWS + TOPIC, f""" select {sale}, quantity,
+            case when kind = 6 then 0.0 else round(ticket_price, 3) end as ticket_price from altered
+            where reason is null"""),
+        "quarantine_sales": _with(VIEWS + TOPIC, """ select key, ts, seq * 2 as seq, reason from altered
+            where reason is not null"""),
+        "decode_expenses": _with(VIEWS, """ select key, ts, seq * 2 + 1 as seq, expense_id, event_id, event_name,
+            expense_type, cost from expenses"""),
+        "result_envelope": profit,
+        "result_report": f"""select {_clip('id', 28)} as id, {_clip('"eventName"', 30)} as "eventName",
+            {_euros('value', 10)} as value from ({profit}) p""",
+        "read_result": f'select id, "eventName", value from ({profit}) p order by id',
+    }
+
+
+def all_sql() -> dict[str, str]:
+    city = {"city_sales_per_event": _with(VIEWS, _CITY_SALES)}
+    streams = {f"stream_{name}": sql for name, sql in results().items()}
+    return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **streams}

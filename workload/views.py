@@ -8,94 +8,131 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from turnstile.functions.scalars import ticket_rate
+from turnstile.functions.scalars import TICKET_RATE
+from turnstile.sources import topics
+
+
+_schemas: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:  # infer once: every inference is a job of its own
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def _named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "concat('E', p_partkey) as event_id", "p_name as event_name", "p_type as category",
+        "cast(p_retailprice as decimal(10,2)) as base_ticket_price")
 
 
 def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    return part.join(nation, F.col("p_partkey") % 25 == F.col("n_nationkey")).select(
-        F.concat(F.lit("E"), "p_partkey").alias("event_id"), F.col("p_name").alias("event_name"),
-        F.col("n_name").alias("city"), F.col("p_type").alias("category"),
-        F.col("p_retailprice").cast("decimal(10,2)").alias("base_ticket_price"))
+    return spark.sql("""select event_id, event_name, n_name as city, category, base_ticket_price
+                        from {events} join {nation} on p_partkey % 25 = n_nationkey""",
+                     events=_named_events(spark, sf_dir), nation=table(spark, sf_dir, "nation"))
 
 
 def city_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("city_id"), F.col("n_name").alias("city_name"))
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey as city_id", "n_name as city_name")
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        F.when(F.col("event_id") % 50 != 17, F.concat(F.lit("E"), "user_id")).alias("key"),
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "event_type", "value",
-        F.concat(F.lit("E"), "user_id").alias("event_id"))
+_RECORD = ["case when event_id % 50 <> 17 then concat('E', user_id) end as key", "cast(ts as timestamp) as ts",
+           "event_id as seq", "concat('E', user_id) as event_id"]
 
 
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales before pricing: what was bought, not yet what it costs."""
-    seq = F.col("seq")
-    return _records(spark, sf_dir).where("event_type <> 'error'").select(
-        "key", "ts", "seq", F.concat(F.lit("S"), "seq").alias("sale_id"), "event_id",
-        F.when(seq % 3 == 1, "VIP").when(seq % 3 == 2, "STUDENT").otherwise("NORMAL").alias("ticket_type"),
-        (3 + seq % 8).cast("int").alias("quantity"))
+    return table(spark, sf_dir, "events").where("event_type <> 'error'").selectExpr(
+        *_RECORD, "concat('S', event_id) as sale_id",
+        "case event_id % 3 when 1 then 'VIP' when 2 then 'STUDENT' else 'NORMAL' end as ticket_type",
+        "cast(3 + event_id % 8 as int) as quantity")
 
 
 def raw_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.col("seq")
-    kind = F.when(seq % 5 == 0, "venue").when(seq % 5 == 1, "security").when(seq % 5 == 2, "marketing") \
-        .when(seq % 5 == 3, "staff").otherwise("equipment")
-    return _records(spark, sf_dir).where("event_type = 'error'").select(
-        "key", "ts", "seq", F.concat(F.lit("X"), "seq").alias("expense_id"), "event_id",
-        kind.alias("expense_type"), ((50 + F.floor("value")) * 100).cast("double").alias("cost"))
+    return table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr(
+        *_RECORD, "concat('X', event_id) as expense_id",
+        """case event_id % 5 when 0 then 'venue' when 1 then 'security' when 2 then 'marketing' when 3 then 'staff'
+           else 'equipment' end as expense_type""",
+        "cast((50 + floor(value)) * 100 as double) as cost")
 
 
 def ticket_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Priced sales, each in a city of its own (an event sells in many)."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("city"))
-    catalog = event_catalog(spark, sf_dir).drop("city")
-    seq = F.col("seq")
-    return raw_sales(spark, sf_dir).join(catalog, "event_id").join(nation, seq % 25 == F.col("n_nationkey")).select(
-        "key", "ts", "seq", "sale_id", "event_id",
-        F.when(seq % 4 == 0, F.concat("event_name", F.lit(" (renamed)"))).otherwise(F.col("event_name"))
-        .alias("event_name"), "city", "category", "ticket_type",
-        (F.col("base_ticket_price").cast("double") * ticket_rate()).alias("ticket_price"), "quantity")
+    return spark.sql(f"""
+        select key, ts, seq, sale_id, event_id,
+               if(seq % 4 = 0, concat(event_name, ' (renamed)'), event_name) as event_name, n_name as city, category,
+               ticket_type, cast(base_ticket_price as double) * {TICKET_RATE} as ticket_price, quantity
+        from {{raw}} join {{events}} using (event_id) join {{nation}} on seq % 25 = n_nationkey""",
+                     raw=raw_sales(spark, sf_dir), events=_named_events(spark, sf_dir),
+                     nation=table(spark, sf_dir, "nation"))
 
 
 def event_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = event_catalog(spark, sf_dir).select("event_id", "event_name")
-    return raw_expenses(spark, sf_dir).join(catalog, "event_id").select(
-        "key", "ts", "seq", "expense_id", "event_id", "event_name", "expense_type", "cost")
+    return spark.sql("""select key, ts, seq, expense_id, event_id, event_name, expense_type, cost
+                        from {raw} join {events} using (event_id)""",
+                     raw=raw_expenses(spark, sf_dir), events=_named_events(spark, sf_dir))
+
+
+_LINE = """concat('E', l_suppkey) as key, cast(l_shipdate as timestamp) as ts, l_orderkey * 8 + l_linenumber as seq,
+           concat('E', l_suppkey) as event_id, s_name as event_name"""
 
 
 def bulk_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every filled order line as a sale: the large input. Its times tie, so only order-free results use it."""
-    t = lambda name: table(spark, sf_dir, name)
-    rate = F.when(F.col("l_returnflag") == "A", 1.8).when(F.col("l_returnflag") == "R", 0.7).otherwise(1.0)
-    lines = t("lineitem").where("l_linestatus = 'F'").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_shipdate")
-    return lines.join(t("part").select("p_partkey", "p_retailprice"), F.col("p_partkey") == F.col("l_partkey")) \
-        .join(t("supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey")) \
-        .join(t("orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")) \
-        .join(t("customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey")) \
-        .join(t("nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey")) \
-        .select(F.concat(F.lit("E"), "l_suppkey").alias("key"), F.col("l_shipdate").cast("timestamp").alias("ts"),
-                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
-                F.concat(F.lit("E"), "l_suppkey").alias("event_id"), F.col("s_name").alias("event_name"),
-                F.col("n_name").alias("city"), (F.col("p_retailprice") * rate).alias("ticket_price"),
-                F.col("l_quantity").cast("int").alias("quantity"))
+    names = ("lineitem", "part", "supplier", "orders", "customer", "nation")
+    return spark.sql(f"""
+        select {_LINE}, n_name as city,
+               p_retailprice * case l_returnflag when 'A' then 1.8D when 'R' then 0.7D else 1.0D end as ticket_price,
+               cast(l_quantity as int) as quantity
+        from {{lineitem}} join {{part}} on p_partkey = l_partkey join {{supplier}} on s_suppkey = l_suppkey
+        join {{orders}} on o_orderkey = l_orderkey join {{customer}} on c_custkey = o_custkey
+        join {{nation}} on n_nationkey = c_nationkey
+        where l_linestatus = 'F'""", **{name: table(spark, sf_dir, name) for name in names})
 
 
 def bulk_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every open order line as an expense."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return lines.join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(
-        F.concat(F.lit("E"), "l_suppkey").alias("key"), F.col("l_shipdate").cast("timestamp").alias("ts"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
-        F.concat(F.lit("E"), "l_suppkey").alias("event_id"), F.col("s_name").alias("event_name"),
-        F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("cost"))
+    return spark.sql(f"""select {_LINE}, l_extendedprice * l_discount as cost
+                         from {{lineitem}} join {{supplier}} on s_suppkey = l_suppkey where l_linestatus = 'O'""",
+                     lineitem=table(spark, sf_dir, "lineitem"), supplier=table(spark, sf_dir, "supplier"))
+
+
+def sales_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ticket_sales` as topic records; ten of every sixteen are altered, most of them beyond reading."""
+    text, kind = F.col("value"), F.col("offset") % 16
+    price, quantity = r'"ticketPrice":([^,}]+)', r'"quantity":([^,}]+)'
+    altered = (F.when(kind == 0, F.lit(None)).when(kind == 1, "").when(kind == 2, "null").when(kind == 3, "{bad")
+               .when(kind == 4, F.regexp_replace(text, price, '"ticketPrice":"abc"'))
+               .when(kind == 5, F.regexp_replace(text, quantity, '"quantity":3.5'))
+               .when(kind == 6, F.regexp_replace(text, price + ",", ""))
+               .when(kind == 7, F.regexp_replace(text, price, r'"ticketPrice":"$1"'))
+               .when(kind == 8, F.expr("left(value, length(value) - 1)"))
+               .when(kind == 9, F.concat(text, F.lit(" {}"))).otherwise(text))
+    return topics.encode_sales(ticket_sales(spark, sf_dir), partitions=1).withColumn("value", altered)
+
+
+def city_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for new cities: some blank, some too long, some known, some asked for twice."""
+    n = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        n.alias("seq"),
+        F.when(n % 7 == 0, "  ").when(n % 7 == 1, F.concat(F.lit("NATION_"), "c_nationkey"))
+        .when(n % 7 == 2, F.repeat(F.lit("x"), 101)).otherwise(F.concat(F.lit("City "), F.floor(n / 3)))
+        .alias("city_name"))
+
+
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey")
+    kind = n % 13
+    ident = F.concat(F.lit("E"), F.floor(n / 2) * 4)
+    return table(spark, sf_dir, "customer").select(
+        n.alias("seq"), F.when(kind == 4, F.rpad(ident, 21, "0")).otherwise(ident).alias("event_id"),
+        F.when(kind == 0, " ").otherwise(F.col("c_name")).alias("event_name"),
+        F.when(kind != 1, F.concat(F.lit("City "), "c_nationkey")).alias("city"),
+        F.col("c_mktsegment").alias("category"),
+        F.when(kind == 2, "abc").when(kind == 3, "100000000").when(kind == 5, "12.345").when(kind == 6, "")
+        .otherwise(F.concat((10 + n % 50).cast("string"), F.lit(".5"))).alias("base_ticket_price"))
