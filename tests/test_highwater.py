@@ -57,7 +57,7 @@ def brute_city(sales):
 def test_matches_brute_force(spark, monkeypatch, seed, slot, limit):
     monkeypatch.setattr(highwater, "PROFIT_SLOT", slot)
     monkeypatch.setattr(highwater, "CITY_SLOT", slot)
-    monkeypatch.setattr(highwater, "BROADCAST_CELLS", limit)
+    monkeypatch.setattr(highwater, "BROADCAST_ROWS", limit)
     sales, expenses = records(seed, 200, refunds=seed % 2 == 1)
     s, e = frames(spark, sales, expenses)
     got = highest_profit_event(s, e).collect()

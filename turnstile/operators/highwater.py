@@ -17,18 +17,21 @@ A stream applies the same steps to each micro-batch, with the totals so far as o
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from turnstile.constants import HIGHEST_PROFIT_KEY, MONEY_SCALE
+from turnstile.functions.order import ARRIVAL, arrival_seq, arrival_ts
 from turnstile.functions.scalars import money
-from turnstile.operators.folds import Measures, aggregates, merged
+from turnstile.operators.folds import Measures, aggregates
 from turnstile.operators.ledger import ledger, sale_entries
 from turnstile.session import materialise
 
 UNIT = 10.0 ** -MONEY_SCALE
 PROFIT_SLOT = 3_600
 CITY_SLOT = 30 * 86_400
-BROADCAST_CELLS = 50_000
+BROADCAST_ROWS = 50_000
 
 _CARRIED = -1  # slot of the totals carried over from earlier micro-batches
 
@@ -40,99 +43,155 @@ _CELL: Measures = {
     "lowest": ("min", "delta"),
     "highest": ("max", "delta"),
     "small": ("min", "case when delta <> 0 then abs(delta) end"),
-    "first": ("min", "pos"),
-    "last": ("max", "pos"),
     "last_rise": ("max", "case when delta > 0 then pos end"),
+}
+_ONE_SIDED: Measures = {"first": ("min", "pos")}
+_TWO_SIDED: Measures = {
     "first_sale": ("min", "case when is_sale then pos end"),
     "first_expense": ("min", "case when not is_sale then pos end"),
 }
 
 
-def profit_entries(sales: DataFrame, expenses: DataFrame) -> DataFrame:
-    """Signed amounts of each event; all events compete in one scope."""
-    return ledger(sales, expenses).where("key is not null").selectExpr(
-        f"'{HIGHEST_PROFIT_KEY}' as scope", "key as member", _slot(PROFIT_SLOT), "pos", "is_sale",
+@dataclass(frozen=True)
+class Contest:
+    """Entries `(member, slot, ts, seq, delta, id, name[, is_sale])` and how they compete.
+
+    `scope` is the column within whose values members compete, or None where all compete (the results then carry
+    `scope_name`). With `two_sided` a running total counts only once its member has had a sale and an expense.
+    """
+
+    entries: DataFrame
+    seconds: int
+    two_sided: bool = False
+    scope: str | None = None
+    scope_name: str | None = None
+
+    @property
+    def by(self) -> list[str]:
+        return [*(["scope"] if self.scope else []), "member"]
+
+    @property
+    def firsts(self) -> Measures:
+        return _TWO_SIDED if self.two_sided else _ONE_SIDED
+
+    def matches(self, other: str) -> str:
+        """SQL condition joining entries `e` to rows of `other`."""
+        return " and ".join(f"e.{c} <=> {other}.{c}" for c in self.by)
+
+
+def profit_contest(sales: DataFrame, expenses: DataFrame) -> Contest:
+    """Signed amounts of each event; all events compete."""
+    entries = ledger(sales, expenses).where("key is not null").selectExpr(
+        "key as member", _slot(PROFIT_SLOT), "ts", "seq", "is_sale",
         "case when is_sale then amount else -amount end as delta", "id", "name")
+    return Contest(entries, PROFIT_SLOT, two_sided=True, scope_name=HIGHEST_PROFIT_KEY)
 
 
-def city_entries(sales: DataFrame, strict: bool = False) -> DataFrame:
+def city_contest(sales: DataFrame, strict: bool = False) -> Contest:
     """Sales of each (event, city); the cities of an event compete."""
     scope, member = "id", "city"
     if strict:
         member = "concat(coalesce(id, 'null'), '|', coalesce(city, 'null'))"
         scope = f"substring_index({member}, '|', 1)"
-    return sale_entries(sales, "city").selectExpr(
-        f"{scope} as scope", f"{member} as member", _slot(CITY_SLOT), "pos", "true as is_sale", "amount as delta",
-        "id", "city as name")
+    entries = sale_entries(sales, "city").selectExpr(
+        f"{scope} as scope", f"{member} as member", _slot(CITY_SLOT), "ts", "seq", "amount as delta", "id",
+        "city as name")
+    return Contest(entries, CITY_SLOT, scope="scope")
 
 
-def high_water(entries: DataFrame, two_sided: bool) -> DataFrame:
-    """`key (the scope), member, id, eventName, value, pos` of the highest running total of every scope.
+def high_water(contest: Contest) -> DataFrame:
+    """`scope, member, value, pos, named_at` of the highest running total of every scope.
 
-    With `two_sided` a running total counts only once its member has had a sale and an expense.
+    `named_at` is the arrival of the member's first sale.
     """
-    best = best_of(entries, positions(fold_cells(entries), two_sided))
-    return best.selectExpr("scope as key", "member", "id", "name as eventName", "value", "pos")
+    return materialise(best_of(contest, shortlist(contest, fold_cells(contest))), "best")
 
 
-def fold_cells(entries: DataFrame) -> DataFrame:
-    """One row per (scope, member, slot). Two hash aggregates; see `operators.folds.fold` for why two."""
-    return entries.sparkSession.sql(f"""
-        select scope, member, slot, {merged(_CELL)}, min_by(struct(id, name), first_sale) as label
-        from (select scope, member, slot, id, name, {aggregates(_CELL)} from {{entries}}
-              group by scope, member, slot, id, name)
-        group by scope, member, slot""", entries=entries)
+def named(contest: Contest, best: DataFrame) -> DataFrame:
+    """`best` with the (id, name) of the entry at `named_at`: one entry per row, looked up by its arrival."""
+    hint = "/*+ broadcast(b) */" if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ""
+    return best.sparkSession.sql(f"""
+        select {hint} b.scope, b.member, b.value, b.pos, e.id, e.name from {{entries}} e join {{best}} b
+        on {contest.matches("b")} and e.ts = {arrival_ts("b.named_at")} and e.seq = {arrival_seq("b.named_at")}""",
+                                 entries=contest.entries, best=best)
 
 
-def positions(cells: DataFrame, two_sided: bool) -> DataFrame:
-    """Each cell with the total it starts from, the arrival from which totals count, and the member's label.
+def fold_cells(contest: Contest) -> DataFrame:
+    """One row per (scope, member, slot)."""
+    by = ", ".join([*contest.by, "slot"])
+    return contest.entries.sparkSession.sql(f"""
+        select {by}, {aggregates({**_CELL, **contest.firsts})} from (select *, {ARRIVAL} as pos from {{entries}})
+        group by {by}""", entries=contest.entries)
 
-    The window holds the cells of one member: at most one per slot of calendar time, however many entries there are.
-    """
-    sale, expense = "min(first_sale) over whole", "min(first_expense) over whole"
-    start = f"case when {sale} is not null and {expense} is not null then greatest({sale}, {expense}) end" \
-        if two_sided else "min(first) over whole"
-    return materialise(cells.sparkSession.sql(f"""
-        select * except (label), coalesce(sum(total) over before, 0D) as base, {start} as start,
-               min_by(label, first_sale) over whole as named
-        from {{cells}}
-        window before as (partition by scope, member order by slot rows between unbounded preceding and 1 preceding),
-               whole as (partition by scope, member order by slot
-                         rows between unbounded preceding and unbounded following)""", cells=cells), "cells")
 
+def shortlist(contest: Contest, cells: DataFrame, keep_last: bool = False) -> DataFrame:
+    """The cells that may hold the peak of their member, each with the total it starts from. Written once.
 
-def best_of(entries: DataFrame, cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Best `(scope, member, id, name, value, pos)` per scope, among `cells` and the `known` bests."""
+    A window holds the cells of one member: at most one per slot of calendar time, however many entries there are.
+    `keep_last` also keeps each member's last cell, from which `carry` takes its total.
+    """
+    firsts = list(contest.firsts)
+    member = f"partition by {', '.join(contest.by)}"
+    whole = ", ".join(f"min({c}) over whole as all_{c}" for c in firsts)
+    begun = " and ".join(f"all_{c} is not null" for c in firsts)
+    latest = f"greatest({', '.join(f'all_{c}' for c in firsts)})" if len(firsts) > 1 else f"all_{firsts[0]}"
+    first = f"least({', '.join(firsts)})" if len(firsts) > 1 else firsts[0]  # of the cell; least() skips NULLs
+    scope = "scope" if contest.scope else f"'{contest.scope_name}' as scope"
+    kept = [f"all_{c} is not null as has_{c}" for c in firsts] + ["is_last", "base + total as total"]
+    return materialise(cells.sparkSession.sql(f"""
+        with placed as (
+          select *, coalesce(sum(total) over before, 0D) as base, slot = max(slot) over whole as is_last, {whole}
+          from {{cells}}
+          window before as ({member} order by slot rows between unbounded preceding and 1 preceding),
+                 whole as ({member} order by slot rows between unbounded preceding and unbounded following)),
+        valued as (
+          select *, {money('base + total')} as value, {money('base + if(rise > 0, rise, highest)')} as ceiling,
+                 {first} as first_here, if({begun}, {latest}, null) as start
+          from placed),
+        lived as (
+          select *, slot > {_CARRIED}
+                    and coalesce(slot >= unix_micros({arrival_ts('start')}) div {contest.seconds * 1_000_000}, false)
+                    as live
+          from valued)
+        select {scope}, member, slot, base, start, all_{firsts[0]} as named_at, value, ceiling, live,
+               if(n = 1, first_here, coalesce(last_rise, first_here)) as pos,
+               n = 1 or (lowest >= 0 and coalesce(small, {UNIT}D) >= {UNIT}D and first_here >= start) as solved
+               {"".join(f", {c}" for c in kept) if keep_last else ""}
+        from (select *, max(if(live, value, null)) over ({member}) as own_best from lived)
+        where (live and ceiling + {UNIT}D >= own_best) {"or is_last" if keep_last else ""}""", cells=cells), "cells")
+
+
+def best_of(contest: Contest, cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Best `(scope, member, value, pos, named_at)` per scope, among the shortlisted cells and the `known` bests."""
     run = cells.sparkSession.sql
-    live = cells.where(f"slot > {_CARRIED} and last >= start").selectExpr(
-        "*", f"{money('base + total')} as end", f"{money('base + if(rise > 0, rise, highest)')} as ceiling")
-    floors = live.selectExpr("scope", "end as value")
+    live = cells.where("live")
+    floors = live.select("scope", "value")
     if known is not None:
         floors = floors.union(known.select("scope", "value"))
     contenders = materialise(run(f"""
-        select c.scope, member, slot, base, start, named, end as value,
-               if(n = 1, last, coalesce(last_rise, first)) as pos,
-               n = 1 or (lowest >= 0 and coalesce(small, {UNIT}D) >= {UNIT}D and first >= start) as solved
+        select c.scope, member, slot, base, start, named_at, value, pos, solved
         from {{live}} c join (select scope, max(value) as floor from {{floors}} group by scope) f
              on c.scope <=> f.scope and ceiling + {UNIT}D >= floor""", live=live, floors=floors), "contenders")
-    found = contenders.where("solved").selectExpr("scope", "member", "named.id", "named.name", "value", "pos")
+    found = contenders.where("solved").select("scope", "member", "value", "pos", "named_at")
     open_cells = contenders.where("not solved")
-    if not open_cells.isEmpty():
-        found = found.union(_peaks(entries, open_cells))
+    open_count = open_cells.limit(BROADCAST_ROWS + 1).count()
+    if open_count:
+        found = found.union(_peaks(contest, open_cells, open_count <= BROADCAST_ROWS))
     if known is not None:
         found = found.union(known.select(found.columns))
     return run("""select scope, best.* from (
-                    select scope, max_by(struct(member, id, name, value, pos), struct(value, -pos)) as best
+                    select scope, max_by(struct(member, value, pos, named_at), struct(value, -pos)) as best
                     from {found} group by scope)""", found=found)
 
 
-def _peaks(entries: DataFrame, cells: DataFrame) -> DataFrame:
+def _peaks(contest: Contest, cells: DataFrame, small: bool) -> DataFrame:
     """Highest counted running total of each open cell, entry by entry."""
     run = cells.sparkSession.sql
-    hint = "/*+ broadcast(c) */" if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else ""
-    rows = run(f"""select {hint} e.scope, e.member, e.slot, e.pos, e.delta, c.base, c.start, c.named
-                  from {{entries}} e join {{cells}} c
-                  on e.scope <=> c.scope and e.member <=> c.member and e.slot = c.slot""", entries=entries, cells=cells)
+    # Written before ranging: finding the ranges reads the rows twice, and by now they are few.
+    rows = materialise(run(f"""select {"/*+ broadcast(c) */" if small else ""}
+                          c.scope, c.member, c.slot, {ARRIVAL} as pos, e.delta, c.base, c.start, c.named_at
+                   from {{entries}} e join {{cells}} c on {contest.matches("c")} and e.slot = c.slot""",
+               entries=contest.entries, cells=cells), "open")
     sliced = rows.repartitionByRange("scope", "member", "pos").selectExpr("*", "spark_partition_id() as slice")
     value = money("base + peak.local + coalesce(sum(total) over before, 0D)")
     # The running totals and their fold share one partitioning, hence one shuffle. Slices then add up like cells did.
@@ -142,26 +201,23 @@ def _peaks(entries: DataFrame, cells: DataFrame) -> DataFrame:
                                      rows between unbounded preceding and current row) as local
           from {{sliced}}),
         slices as (
-          select scope, member, slot, slice, sum(delta) as total, first(base) as base, first(named) as named,
+          select scope, member, slot, slice, sum(delta) as total, first(base) as base, first(named_at) as named_at,
                  max_by(struct(local, pos), if(pos >= start, struct({money('local')}, -pos), null)) as peak
           from running group by scope, member, slot, slice)
-        select scope, member, id, name, value, pos from (
-          select scope, member, named.id, named.name, {value} as value, peak.pos from slices
+        select scope, member, value, pos, named_at from (
+          select scope, member, {value} as value, peak.pos, named_at from slices
           window before as (partition by scope, member, slot order by slice
                             rows between unbounded preceding and 1 preceding))
         where pos is not null""", sliced=sliced)
 
 
-def carry(cells: DataFrame) -> DataFrame:
+def carry(contest: Contest, cells: DataFrame) -> DataFrame:
     """The totals after `cells`, as one cell per member that precedes those of the next micro-batch.
 
     Arrival numbers become 0: whatever comes next comes later, even with an older timestamp.
     """
-    seen = ", ".join(f"if(count({c}) > 0, cast(0 as decimal(38,0)), null) as {c}"
-                     for c in ("first", "first_sale", "first_expense"))
-    return cells.sparkSession.sql(f"""
-        select scope, member, sum(n) as n, sum(total) as total, {seen}, any_value(named) as label
-        from {{cells}} group by scope, member""", cells=cells)
+    seen = [f"if(has_{c}, cast(0 as decimal(38,0)), null) as {c}" for c in contest.firsts]
+    return cells.where("is_last").selectExpr(*contest.by, "1L as n", "total", *seen)
 
 
 def with_carry(cells: DataFrame, carried: DataFrame | None) -> DataFrame:

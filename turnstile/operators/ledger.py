@@ -1,4 +1,4 @@
-"""One row per sale or expense, in the shape all results fold: `key, ts, pos, id, name, amount`."""
+"""One row per sale or expense, in the shape all results fold: `key, ts, seq, pos, id, name, amount`."""
 
 from __future__ import annotations
 
@@ -9,12 +9,12 @@ from turnstile.functions.scalars import REVENUE
 
 
 def sale_entries(sales: DataFrame, *extra: str) -> DataFrame:
-    return sales.selectExpr("key", "ts", f"{ARRIVAL} as pos", "event_id as id", "event_name as name",
+    return sales.selectExpr("key", "ts", "seq", f"{ARRIVAL} as pos", "event_id as id", "event_name as name",
                             f"{REVENUE} as amount", *extra)
 
 
 def expense_entries(expenses: DataFrame, *extra: str) -> DataFrame:
-    return expenses.selectExpr("key", "ts", f"{ARRIVAL} as pos", "event_id as id", "event_name as name",
+    return expenses.selectExpr("key", "ts", "seq", f"{ARRIVAL} as pos", "event_id as id", "event_name as name",
                                "coalesce(cost, 0D) as amount", *extra)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from turnstile import constants as C
 from turnstile.functions.scalars import average
 from turnstile.operators.folds import Measures, fold
-from turnstile.operators.highwater import city_entries, high_water, profit_entries
+from turnstile.operators.highwater import city_contest, high_water, named, profit_contest
 from turnstile.operators.ledger import expense_entries, ledger, sale_entries
 
 _TOTALS: Measures = {"total": ("sum", "amount"), "pos": ("max", "pos")}
@@ -124,8 +124,9 @@ def city_sales_per_event(sales: DataFrame) -> DataFrame:
 
 def highest_profit_event(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     """The highest profit any event ever reached; it does not fall when that event's profit does."""
-    best = high_water(profit_entries(sales, expenses), two_sided=True)
-    return best.selectExpr("key", f"'{C.HIGHEST_PROFIT_KEY}' as id", "eventName", "value", "pos")
+    contest = profit_contest(sales, expenses)
+    best = named(contest, high_water(contest))
+    return best.selectExpr("scope as key", f"'{C.HIGHEST_PROFIT_KEY}' as id", "name as eventName", "value", "pos")
 
 
 def city_highest_sales_per_event(sales: DataFrame, strict: bool = False) -> DataFrame:
@@ -133,7 +134,11 @@ def city_highest_sales_per_event(sales: DataFrame, strict: bool = False) -> Data
 
     `strict` keys by the text `event|city` cut at its first bar, as a text-keyed stream would.
     """
-    return high_water(city_entries(sales, strict), two_sided=False).select("key", "id", "eventName", "value", "pos")
+    contest = city_contest(sales, strict)
+    best = high_water(contest)
+    if strict:
+        return named(contest, best).selectExpr("scope as key", "id", "name as eventName", "value", "pos")
+    return best.selectExpr("scope as key", "scope as id", "member as eventName", "value", "pos")
 
 
 @dataclass(frozen=True)

@@ -1,19 +1,21 @@
 """The high-water results over a stream.
 
-Each micro-batch is solved by the batch operator, the totals so far entering as one cell per member. Totals and bests
-are snapshot tables whose version is the batch id: a replayed batch starts from the version before its own.
+Each micro-batch is solved by the batch operator, the totals so far entering as one cell per member. Totals, bests and
+event names are snapshot tables whose version is the batch id: a replayed batch starts from the version before its own.
 Batches must arrive in order; inside a batch any order will do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from turnstile.constants import HIGHEST_PROFIT_KEY
+from turnstile.functions.order import ARRIVAL
 from turnstile.operators import highwater as H
+from turnstile.operators.folds import fold
 from turnstile.session import scratch_scope
 from turnstile.sinks.tables import SnapshotTable
 
@@ -22,23 +24,42 @@ def high_water_step(name: str, sales: DataFrame, expenses: DataFrame | None, pat
                     sink: Callable[[DataFrame, int], None]) -> tuple[DataFrame, Callable[[DataFrame, int], None]]:
     """The stream to run for result `name`, and what to do with each of its micro-batches."""
     profit = name == "highest_profit_event"
-    rows = H.profit_entries(sales, expenses) if profit else H.city_entries(sales)
+    stream = H.profit_contest(sales, expenses) if profit else H.city_contest(sales)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        totals, bests = SnapshotTable(spark, f"{path}/totals"), SnapshotTable(spark, f"{path}/bests")
+        totals, bests, names = (SnapshotTable(spark, f"{path}/{t}") for t in ("totals", "bests", "names"))
         known = bests.read(before=batch_id)
         with scratch_scope(spark):
-            cells = H.positions(H.with_carry(H.fold_cells(batch), totals.read(before=batch_id)), two_sided=profit)
-            bests.write(H.best_of(batch, cells, known), batch_id)
-            totals.write(H.carry(cells), batch_id)
+            contest = replace(stream, entries=batch)
+            cells = H.shortlist(contest, H.with_carry(H.fold_cells(contest), totals.read(before=batch_id)),
+                                keep_last=True)
+            bests.write(H.best_of(contest, cells, known), batch_id)
+            totals.write(H.carry(contest, cells), batch_id)
         best = bests.read(before=batch_id + 1)
-        if known is not None:
-            old = known.select(F.col("scope").alias("o_scope"), F.col("pos").alias("o_pos"))
-            best = best.join(old, F.col("scope").eqNullSafe(F.col("o_scope")), "left") \
-                .where(~F.col("pos").eqNullSafe(F.col("o_pos")))
-        ident = F.lit(HIGHEST_PROFIT_KEY) if profit else F.col("id")
-        sink(best.select(F.col("scope").alias("key"), ident.alias("id"), F.col("name").alias("eventName"),
-                         "value", "pos"), batch_id)
-
-    return rows, step
+        changed = best if known is None else _changed(best, known)
+        if profit:
+            names.write(_names(batch, names.read(before=batch_id)), batch_id)
+            rows_out = spark.sql(f"""select b.scope as key, '{HIGHEST_PROFIT_KEY}' as id, n.name as eventName, b.value,
+                                            b.pos from {{best}} b join {{names}} n on b.member = n.member""",
+                                 best=changed, names=names.read(before=batch_id + 1))
+        else:
+            rows_out = changed.selectExpr("scope as key", "scope as id", "member as eventName", "value", "pos")
+        sink(rows_out, batch_id)
+
+    return stream.entries, step
+
+
+def _changed(best: DataFrame, known: DataFrame) -> DataFrame:
+    """Scopes whose best was reached in this batch."""
+    return best.sparkSession.sql("""select b.* from {best} b left anti join {known} k
+                                    on b.scope <=> k.scope and b.pos = k.pos""", best=best, known=known)
+
+
+def _names(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+    """The name of each event, from its first sale ever."""
+    first = {"first": ("min", ARRIVAL)}
+    new = fold(batch.where("is_sale"), "member", first, "first").select("member", "name")
+    if old is None:
+        return new
+    return new.join(old, "member", "left_anti").union(old)

@@ -53,7 +53,8 @@ def result_sink(path: str, sinks: tuple[str, ...] = SINKS) -> Sink:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch_scope(spark):
-            rows = materialise(batch, "batch")  # the state is computed once, however many sinks read it
+            # The state is computed once, however many sinks read it.
+            rows = materialise(batch, "batch") if len(sinks) > 1 else batch
             if "changes" in sinks:
                 to_records(rows).write.mode("overwrite").parquet(f"{path}/changes/b={batch_id}")
             for column in ("key", "id"):
