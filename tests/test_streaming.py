@@ -41,14 +41,15 @@ def chunks(sales, expenses, cuts):
         yield [r for r in part if len(r) == 11], [r for r in part if len(r) == 8]
 
 
-@pytest.mark.parametrize("name", RESULTS)
-def test_stream_equals_hand_case(spark, tmp_path, name):
-    """Three chunks; the query stops and resumes from its checkpoint after each."""
+def test_streams_equal_the_hand_case(spark, tmp_path):
+    """All results at once, in three chunks; the queries stop and resume from their checkpoints after each."""
     for sales, expenses in chunks(SALE_ROWS, EXPENSE_ROWS, (3, 6)):
         publish(spark, tmp_path, sales, expenses)
-        run(spark, tmp_path, name, ("by_key",))
-    table = SnapshotTable(spark, f"{tmp_path}/out/{name}/by_key").read()
-    assert shape(name, table.collect()) == pytest.approx(EXPECTED[name])
+        for query in runners.start_all(*streams(spark, tmp_path), f"{tmp_path}/out", every=None, sinks=("by_key",)):
+            query.awaitTermination()
+    for name in RESULTS:
+        table = SnapshotTable(spark, f"{tmp_path}/out/{name}/by_key").read()
+        assert shape(name, table.collect()) == pytest.approx(EXPECTED[name]), name
 
 
 def test_result_tables_and_change_topic(spark, tmp_path):
@@ -72,8 +73,10 @@ def test_high_water_does_not_depend_on_chunking(spark, tmp_path, cuts):
     sales, expenses = records(7, 120, refunds=True)
     for s, e in chunks(sales, expenses, cuts):
         publish(spark, tmp_path, s, e)
-        for name in ("highest_profit_event", "city_highest_sales_per_event"):
-            run(spark, tmp_path, name, ("by_key",))
+        both = [runners.start_result(n, *streams(spark, tmp_path), f"{tmp_path}/out", ("by_key",), every=None)
+                for n in ("highest_profit_event", "city_highest_sales_per_event")]
+        for query in both:
+            query.awaitTermination()
     read = lambda n: SnapshotTable(spark, f"{tmp_path}/out/{n}/by_key").read().collect()
     assert [(r.eventName, r.value) for r in read("highest_profit_event")] == [brute_profit(sales, expenses)]
     assert {r.key: (r.eventName, r.value) for r in read("city_highest_sales_per_event")} == brute_city(sales)
@@ -165,5 +168,7 @@ def test_replays_can_be_dropped(spark, tmp_path):
     for _ in range(2):
         publish(spark, tmp_path, SALE_ROWS, [])
     sales = runners.without_replays(streams(spark, tmp_path)[0])
-    runners.start_result("total_revenue", sales, None, f"{tmp_path}/once", every=None).awaitTermination()
-    assert SnapshotTable(spark, f"{tmp_path}/once/total_revenue/by_key").read().first().value == 866
+    for name in ("total_revenue", "revenue_per_minute"):
+        runners.start_result(name, sales, None, f"{tmp_path}/once", every=None).awaitTermination()
+        table = SnapshotTable(spark, f"{tmp_path}/once/{name}/by_key").read()
+        assert shape(name, table.collect()) == EXPECTED[name]

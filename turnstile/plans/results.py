@@ -56,7 +56,9 @@ def _window_row(df: DataFrame, value: str, label: tuple[str, str]) -> DataFrame:
 
 
 def _watermarked(df: DataFrame) -> DataFrame:
-    return df.withWatermark("ts", C.LATENESS) if df.isStreaming else df
+    if not df.isStreaming or "spark.watermarkDelayMs" in df.schema["ts"].metadata:  # one may be set already
+        return df
+    return df.withWatermark("ts", C.LATENESS)
 
 
 def _with(df: DataFrame, column: str) -> DataFrame:

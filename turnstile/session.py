@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,9 +40,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a temporary one if it is unset."""
+    """The folder every executor can reach: `spark.checkpoint.dir`, or a temporary one in local mode if it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="turnstile-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
@@ -51,28 +54,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/turnstile/{label}-{uuid.uuid4().hex}"
 
 
-_SCOPES: list[list[str]] = []
+_scopes = threading.local()  # one stack per thread: queries run their micro-batches side by side
 
 
-def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives the planner the true size of the table.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    if getattr(_scopes, "stack", None):
+        _scopes.stack[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete what is materialised inside on leaving: a long-running stream must not fill the folder."""
-    _SCOPES.append([])
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    _scopes.stack.append([])
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        for path in _scopes.stack.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

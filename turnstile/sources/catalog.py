@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnstile.plans.results import RESULTS
 from turnstile.schemas import CITIES, EVENTS
-from turnstile.session import materialise
+from turnstile.session import scratch_path
 from turnstile.sinks.tables import SnapshotTable
 
 # The catalog a new installation starts with.
@@ -64,14 +64,17 @@ class RefreshingCatalog:
 
     def __init__(self, read: Callable[[], DataFrame], interval: float = 30.0, clock: Callable[[], float] = time.monotonic):
         self._read, self._interval, self._clock = read, interval, clock
-        self._held: DataFrame | None = None
-        self._read_at = 0.0
+        self._copies: SnapshotTable | None = None
+        self._reads, self._read_at = 0, 0.0
 
     def current(self) -> DataFrame:
-        if self._held is None or self._clock() - self._read_at >= self._interval:
-            # A copy, so that the held catalog stays whole when its source is emptied.
-            fresh = materialise(self._read(), "catalog", keep=True)
+        if self._copies is None or self._clock() - self._read_at >= self._interval:
+            fresh = self._read()
+            if self._copies is None:
+                self._copies = SnapshotTable(fresh.sparkSession, scratch_path(fresh.sparkSession, "catalog"), keep=1)
             self._read_at = self._clock()
-            if self._held is None or not fresh.isEmpty():
-                self._held = fresh
-        return self._held
+            # A copy, so that the catalog in hand stays whole when its source is emptied.
+            if self._reads == 0 or not fresh.isEmpty():
+                self._copies.write(fresh, self._reads)
+                self._reads += 1
+        return self._copies.read()
