@@ -104,14 +104,15 @@ def high_water(contest: Contest) -> DataFrame:
 
     `named_at` is the arrival of the member's first sale.
     """
-    return materialise(best_of(contest, shortlist(contest, fold_cells(contest))), "best")
+    return best_of(contest, shortlist(contest, fold_cells(contest)))
 
 
 def named(contest: Contest, best: DataFrame) -> DataFrame:
     """`best` with the (id, name) of the entry at `named_at`: one entry per row, looked up by its arrival."""
-    hint = "/*+ broadcast(b) */" if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ""
+    one_row = contest.scope is None
+    small = one_row or best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return best.sparkSession.sql(f"""
-        select {hint} b.scope, b.member, b.value, b.pos, e.id, e.name from {{entries}} e join {{best}} b
+        select {"/*+ broadcast(b) */" if small else ""} b.scope, b.member, b.value, b.pos, e.id, e.name from {{entries}} e join {{best}} b
         on {contest.matches("b")} and e.ts = {arrival_ts("b.named_at")} and e.seq = {arrival_seq("b.named_at")}""",
                                  entries=contest.entries, best=best)
 
@@ -176,7 +177,7 @@ def best_of(contest: Contest, cells: DataFrame, known: DataFrame | None = None)
     open_cells = contenders.where("not solved")
     open_count = open_cells.limit(BROADCAST_ROWS + 1).count()
     if open_count:
-        found = found.union(_peaks(contest, open_cells, open_count <= BROADCAST_ROWS))
+        found = found.union(materialise(_peaks(contest, open_cells, open_count <= BROADCAST_ROWS), "peaks"))
     if known is not None:
         found = found.union(known.select(found.columns))
     return run("""select scope, best.* from (

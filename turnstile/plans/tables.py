@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from turnstile.constants import TOTAL_KEY
 from turnstile.operators.ledger import ledger
 from turnstile.plans.results import highest_profit_event
+from turnstile.session import materialise
 
 
 def table_view(result: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def first_profit_update(sales: DataFrame, expenses: DataFrame) -> DataFrame:
 
 def highest_profit_table(sales: DataFrame, expenses: DataFrame) -> DataFrame:
     """The result table of `highest_profit_event`: the first update stays behind under its event's id."""
-    first = first_profit_update(sales, expenses)
+    first = materialise(first_profit_update(sales, expenses), "first")  # one row, used twice
     best = highest_profit_event(sales, expenses)
     return first.sparkSession.sql("""
         select id, eventName, value from {first}

@@ -7,11 +7,10 @@ stops the query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.functions.scalars import is_blank, to_number
 from turnstile.schemas import EXPENSE_FIELDS, SALE_FIELDS
 
 _OPTIONS = {"allowUnquotedFieldNames": "true"}
@@ -36,34 +35,33 @@ def quarantine(decoded: DataFrame) -> DataFrame:
 
 
 def _decode(records: DataFrame, fields: dict, side: int) -> DataFrame:
-    schema = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in fields]))
-    text = F.col("value").cast("string")
+    texts = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in fields]))
+    numbers = {name: column for name, (column, kind) in fields.items() if not isinstance(kind, T.StringType)}
+    raw = records.selectExpr(
+        "cast(key as string) as key", "timestamp as ts",
+        f"shiftleft(cast(partition as bigint), {_OFFSET_BITS}) + offset * 2 + {side} as seq",
+        "cast(value as string) as value")
     # Read as the only element of an array: text after the object then makes the record unreadable.
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), schema, _OPTIONS)
-    seq = F.shiftleft(F.col("partition").cast("bigint"), _OFFSET_BITS) + F.col("offset") * 2 + side
-    # The one-element generator keeps the optimizer from copying the parse into every filter on its outcome.
-    rows = records.select(
-        F.col("key").cast("string").alias("key"), F.col("timestamp").alias("ts"), seq.alias("seq"),
-        text.alias("value"), F.explode(F.array(parsed)).alias("found")) \
-        .withColumn("p", F.when(F.size("found") == 1, F.col("found")[0]))
+    parsed = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), texts, _OPTIONS)
+    # One-element generators keep the optimizer from copying the parse and the casts into every filter on them.
+    found = raw.select("*", F.explode(F.array(parsed)).alias("found")).selectExpr(
+        "key", "ts", "seq", "value", "get(found, 0) as p", "size(found) = 1 and get(found, 0) is not null as readable")
+    typed = ", ".join([f"p.{name} as {column}" for name, (column, _) in fields.items()]
+                      + [f"try_cast(p.{name} as double) as {column}_n" for name, column in numbers.items()])
+    rows = found.selectExpr("key", "ts", "seq", "value", f"explode(array(struct(readable, {typed}))) as d") \
+        .select("key", "ts", "seq", "value", "d.*")
     columns, checks = [], []
     for name, (column, kind) in fields.items():
-        field = F.col(f"p.{name}")
-        if isinstance(kind, T.StringType):
-            columns.append(field.alias(column))
+        if name not in numbers:
+            columns.append(column)
             continue
-        number = to_number(field)
+        usable = f"{column}_n > -double('infinity') and {column}_n < double('infinity')"  # false for NaN and NULL
         if isinstance(kind, T.IntegerType):
-            number = F.when((number == F.floor(number)) & (F.abs(number) <= 2_147_483_647), number)
-        columns.append(F.coalesce(number, F.lit(0.0)).cast(kind).alias(column))
-        checks.append((field.isNotNull() & number.isNull(), f"bad {name}"))
-    return rows.select("key", "ts", "seq", *columns, "value", _reason(checks).alias("reason"))
-
-
-def _reason(checks: list[tuple[Column, str]]) -> Column:
-    reason = F.when(is_blank("value"), "empty value")
-    reason = reason.when(F.col("p").isNull(), "unreadable JSON")
-    for failed, text in checks:
-        reason = reason.when(failed, text)
+            usable = f"{column}_n = floor({column}_n) and abs({column}_n) <= 2147483647"
+        columns.append(f"cast(if({usable}, {column}_n, 0D) as {kind.simpleString()}) as {column}")
+        checks.append(f"when {column} is not null and not coalesce({usable}, false) then 'bad {name}'")
     # A record without a usable event time would be lost in the windowed results only: keep it out of all of them.
-    return reason.when(F.col("ts").isNull() | (F.unix_micros("ts") < 0), "bad timestamp")
+    reason = f"""case when value is null or not value rlike '\\\\S' then 'empty value'
+                      when not coalesce(readable, false) then 'unreadable JSON' {" ".join(checks)}
+                      when ts is null or unix_micros(ts) < 0 then 'bad timestamp' end as reason"""
+    return rows.selectExpr("key", "ts", "seq", *columns, "value", reason)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from turnstile.functions.scalars import TICKET_RATE
+from turnstile.session import materialise
 from turnstile.sources import topics
 
 
@@ -102,7 +103,7 @@ def bulk_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`ticket_sales` as topic records; ten of every sixteen are altered, most of them beyond reading."""
+    """`ticket_sales` as a written topic; ten of every sixteen records are altered, most of them beyond reading."""
     text, kind = F.col("value"), F.col("offset") % 16
     price, quantity = r'"ticketPrice":([^,}]+)', r'"quantity":([^,}]+)'
     altered = (F.when(kind == 0, F.lit(None)).when(kind == 1, "").when(kind == 2, "null").when(kind == 3, "{bad")
@@ -112,7 +113,8 @@ def sales_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(kind == 7, F.regexp_replace(text, price, r'"ticketPrice":"$1"'))
                .when(kind == 8, F.expr("left(value, length(value) - 1)"))
                .when(kind == 9, F.concat(text, F.lit(" {}"))).otherwise(text))
-    return topics.encode_sales(ticket_sales(spark, sf_dir), partitions=1).withColumn("value", altered)
+    records = topics.encode_sales(ticket_sales(spark, sf_dir), partitions=1).withColumn("value", altered)
+    return materialise(records, "topic")
 
 
 def city_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
