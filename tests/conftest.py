@@ -15,7 +15,8 @@ def spark(tmp_path_factory):
     session = build_session(
         "local[4]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="3", spark__driver__memory="4g", spark__checkpoint__dir=str(shared),
-        spark__sql__warehouse__dir=str(shared / "warehouse"))
+        spark__sql__warehouse__dir=str(shared / "warehouse"),
+        spark__sql__codegen__wholeStage="false")  # on a few rows, compiling a plan takes longer than running it
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
