@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.hand import at
-from turnstile.operators.append import append_cities, append_events
-from turnstile.operators.lookup import lookup, name_expenses, price_sales
+from turnstile.operators.append import append_cities, append_events, trimmed
+from turnstile.operators.lookup import lookup, name_expenses, price_sales, with_ids
 from turnstile.plans.report import catalog_report, result_report
 from turnstile.sources import catalog, jdbc
 
@@ -107,3 +107,15 @@ def test_jdbc_options_and_statements():
         jdbc.jdbc_options("jdbc:x", "u", "p")
     assert "on conflict (id) do update" in jdbc.upsert_statement("t", "s")
     assert "if not exists" in jdbc.create_statement("t")
+
+
+def test_missing_ids_are_filled(spark):
+    raw = spark.createDataFrame([(1, "S1"), (2, None), (3, None)], "seq long, sale_id string")
+    ids = {r.seq: r.sale_id for r in with_ids(raw, "sale_id").collect()}
+    assert ids[1] == "S1" and len(set(ids.values())) == 3 and len(ids[2]) == 36
+    assert len(with_ids(raw.drop("sale_id"), "sale_id").first().sale_id) == 36
+
+
+def test_forms_are_trimmed(spark):
+    rows = trimmed(spark.createDataFrame([(1, "  Faro ")], "seq long, city_name string"))
+    assert tuple(rows.first()) == (1, "Faro")

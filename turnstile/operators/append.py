@@ -14,6 +14,11 @@ from turnstile.functions.scalars import is_blank, to_number
 _BLOCK = 1 << 20  # requests numbered per task
 
 
+def trimmed(requests: DataFrame) -> DataFrame:
+    """Requests as a form sends them: without the spaces around their texts."""
+    return requests.select(*(F.trim(c).alias(c) if kind == "string" else c for c, kind in requests.dtypes))
+
+
 def append_events(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (`seq`, five text columns) -> (new catalog rows, rejected requests with a `reason`)."""
     price = F.col("base_ticket_price")

@@ -36,3 +36,9 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str, broadcast_rows: int
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("int"))
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def with_ids(raw: DataFrame, column: str) -> DataFrame:
+    """Give records that lack an id a random one. Another run gives others: write the result before using it twice."""
+    ident = F.coalesce(F.col(column), F.expr("uuid()")) if column in raw.columns else F.expr("uuid()")
+    return raw.withColumn(column, ident)

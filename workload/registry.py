@@ -104,6 +104,8 @@ def _appended(kind: str, which: int) -> Query:
 def all_queries() -> dict[str, Query]:
     out = {name: _result(name, _events) for name in R.RESULTS}
     out["city_sales_per_event"] = _shown(lambda s, d: R.city_sales_per_event(views.ticket_sales(s, d)))
+    out["city_highest_sales_strict"] = _shown(
+        lambda s, d: R.city_highest_sales_per_event(views.ticket_sales(s, d), strict=True))
     out["average_sale_table"] = _shown(_table("average_sale_per_event"), *_AVERAGE)
     out["revenue_last_minute"] = _shown(_table("revenue_per_minute"))
     out["expenses_last_minute"] = _shown(_table("expenses_per_minute"))
