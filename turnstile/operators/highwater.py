@@ -29,7 +29,7 @@ from turnstile.operators.ledger import ledger, sale_entries
 from turnstile.session import materialise
 
 UNIT = 10.0 ** -MONEY_SCALE
-PROFIT_SLOT = 3_600
+PROFIT_SLOT = 6 * 3_600
 CITY_SLOT = 30 * 86_400
 BROADCAST_ROWS = 50_000
 
