@@ -24,7 +24,7 @@ from turnstile.session import materialise
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 UNIT = 10_000
-THRESHOLD = -0.5  # of the mean weight, in natural logarithms
+THRESHOLD = -0.1  # of the mean weight, in natural logarithms
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of the words

@@ -1,7 +1,7 @@
 """Toxicity: a lexicon learned from labels, met with Levenshtein automata, and scores that tell quotation from abuse.
 
-* Lexicon. Of at most SAMPLE labelled documents, words are counted by the different words they follow in toxic documents (so copies of one
-  document count once) and by the clean documents they stand in. Terms are words, or beginnings shared by several words, that are
+* Lexicon. Of at most SAMPLE labelled documents, words are counted by the toxic and the clean documents they stand in, where
+  documents with the same first words, as copies have, count once. Terms are words, or beginnings shared by several words, that are
   frequent in the first and rare in the second. A beginning matches every word that starts with it.
 * Matching. The terms make a trie. The automaton that accepts words within one edit (insertion, deletion, substitution) of a term is
   intersected with it: a state is a set of (trie node, edits so far). The sets reachable are few, so they become the rows of a transition
@@ -32,7 +32,8 @@ from turnstile.llm.common import held_out, labelled_sample, prepare, strings, wi
 
 SAMPLE = 8_000  # labelled documents that are learned from, at most
 MAX_TERMS = 4_096
-MIN_CONTEXTS, MIN_ODDS, STEM, KINDS = 4, 3.0, 4, 3
+MIN_TOXIC, MIN_SHARE, MIN_ODDS, STEM, KINDS = 4, 0.005, 3.0, 4, 3  # a term stands in so many toxic documents, and such a share
+OPENING = 3  # first words by which copies of a document are told
 FUZZY_LETTERS = 5
 CLEAN_FUZZY = 0.001  # share of clean documents that may hold a misspelling of a term
 WINDOW, QUOTED, FUZZY = 40, 0.25, 0.7
@@ -63,32 +64,31 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
-def _contexts(batches):
-    """(word, before, label): in toxic documents each word with the word before it, in clean ones each word once."""
+def _bearers(batches):
+    """(word, opening, label): each word of a document once. Copies share their first words, so they count as one."""
     for batch in batches:
         out = []
         for text, label in zip(strings(batch.column("text")).to_pylist(), batch.column("label").to_pylist(), strict=True):
             words = _words(text.lower())
-            pairs = set(zip(words, ["", *words], strict=False)) if label else {(w, None) for w in words}
-            out += [(w, b, label) for w, b in pairs]
+            opening = zlib.crc32(" ".join(words[:OPENING]).encode())
+            out += [(w, opening, label) for w in set(words)]
         columns = list(zip(*out, strict=True)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)],
-                                         ["word", "before", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)],
+                                         ["word", "opening", "label"])
 
 
 def terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
     """The lexicon: (text, whole word) of at most MAX_TERMS terms."""
-    seen = sample.mapInArrow(_contexts, "word string, before string, label int")
-    words = (seen.groupBy("word", "before", "label").agg(F.count("*").alias("n"))
-             .groupBy("word").agg(F.expr("count_if(label = 1)").alias("contexts"), F.expr("coalesce(sum(n) filter (where label = 0), 0)").alias("clean")))
+    words = (sample.mapInArrow(_bearers, "word string, opening long, label int").distinct()
+             .groupBy("word").agg(F.expr("count_if(label = 1)").alias("toxic"), F.expr("count_if(label = 0)").alias("clean")))
     ends = (f"transform(sequence(least({STEM}, length(word)), length(word)), k -> struct(substr(word, 1, k) as text, false as whole))")
     nodes = (words.withColumn("node", F.expr(f"explode(concat({ends}, array(struct(word as text, true as whole))))"))
-             .groupBy("node").agg(F.sum("contexts").alias("contexts"), F.sum("clean").alias("clean"), F.expr("count_if(contexts > 0)").alias("kinds"),
-                                  F.expr("min(word) filter (where contexts > 0)").alias("low"), F.expr("max(word) filter (where contexts > 0)").alias("high")))
-    odds = f"ln((contexts + 0.5) / {toxic + 1}) - ln((clean + 0.5) / {clean + 1})"
-    good = (nodes.where(f"contexts >= {MIN_CONTEXTS} and {odds} >= {MIN_ODDS} and length(node.text) >= least({STEM}, length(low)) "
+             .groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.expr("count_if(toxic > 0)").alias("kinds"),
+                                  F.expr("min(word) filter (where toxic > 0)").alias("low"), F.expr("max(word) filter (where toxic > 0)").alias("high")))
+    odds = f"ln((toxic + 0.5) / {toxic + 1}) - ln((clean + 0.5) / {clean + 1})"
+    good = (nodes.where(f"toxic >= {max(MIN_TOXIC, MIN_SHARE * toxic)} and {odds} >= {MIN_ODDS} and length(node.text) >= least({STEM}, length(low)) "
                         f"and (node.whole or (kinds >= {KINDS} and length(node.text) >= {STEM}))")
-            .orderBy(F.desc("contexts"), "node").limit(MAX_TERMS).select("node.text", "node.whole", "low", "high").collect())
+            .orderBy(F.desc("toxic"), "node").limit(MAX_TERMS).select("node.text", "node.whole", "low", "high").collect())
     chosen: list[tuple[str, bool]] = []
     stems: set[str] = set()
     for row in sorted(good, key=lambda r: (r.whole, len(r.text), r.text)):
