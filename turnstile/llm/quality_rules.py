@@ -56,7 +56,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, raw, target): how often each hashed n-gram stands in all documents, and in trusted ones."""
-    texts = docs.selectExpr("cast(doc_id as long) as _id", "text").join(trusted_ids(labels), F.expr("_id = trusted_id"), "left")
+    texts = docs.selectExpr("cast(doc_id as long) as _id", "text").join(
+        trusted_ids(labels).hint("merge"), F.expr("_id = trusted_id"), "left")  # the labels grow with the corpus: one plan at every size
     grams = _hashed(texts).select(F.expr("trusted_id is not null").alias("trusted"), F.explode(F.expr(_GRAMS)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.expr("count_if(trusted)").alias("target"))
 
