@@ -17,6 +17,8 @@ Every document becomes the set of its word shingles, and its sketch is the k sma
 
 Nulls: a text that is null, empty or has no words has no shingles and links with nothing. Rows without a doc_id take no part either, and
 get a null component. Rows that repeat a doc_id are judged as rows and share the id. Other columns are neither read nor returned.
+
+Joins with texts, sketches or sets on one side are merge joins at every size, as the other side grows with the corpus too.
 """
 
 from __future__ import annotations
@@ -129,7 +131,7 @@ def _links(texts: DataFrame, known: DataFrame, classes: DataFrame, words: int, p
     similarity = percent / 100
     overlap = least_overlap(k, similarity)
     sketches = materialise(
-        known.join(classes.selectExpr("rep as doc_id", "fp_a", "fp_b"), ["doc_id", "fp_a", "fp_b"], "left_semi")
+        known.join(classes.selectExpr("rep as doc_id", "fp_a", "fp_b").hint("merge"), ["doc_id", "fp_a", "fp_b"], "left_semi")
         .selectExpr("doc_id as rep", "n_shingles as n", "sketch").dropDuplicates(["rep"]), "classes")
     values = sketches.selectExpr("rep", "n", "explode(sketch) as value")
     common = values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
@@ -147,7 +149,8 @@ def _links(texts: DataFrame, known: DataFrame, classes: DataFrame, words: int, p
              .where(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct())
     side = sketches.selectExpr("rep", "sketch")
     close = materialise(
-        pairs.join(side.selectExpr("rep as a", "sketch as sa"), "a").join(side.selectExpr("rep as b", "sketch as sb"), "b")
+        pairs.hint("merge").join(side.selectExpr("rep as a", "sketch as sa"), "a")
+        .hint("merge").join(side.selectExpr("rep as b", "sketch as sb"), "b")
         .withColumn("u", F.expr(f"slice(array_sort(array_union(sa, sb)), 1, {k})"))
         .withColumn("both", F.expr("size(array_intersect(array_intersect(u, sa), sb))"))
         .where(f"case when size(u) < {k} then 100 * both >= {percent} * size(u) else both >= {overlap} end").select("a", "b"), "close")
@@ -158,9 +161,10 @@ def _links(texts: DataFrame, known: DataFrame, classes: DataFrame, words: int, p
         .withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
         .selectExpr("value", "rep", "block", "least(block, other) as lo", "greatest(block, other) as hi"), "dealt")
     wanted = close.selectExpr("a as doc_id").unionAll(close.selectExpr("b as doc_id")).unionAll(dealt.selectExpr("rep as doc_id")).distinct()
-    full = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(words), "rep long, full array<long>")
+    full = materialise(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(words), "rep long, full array<long>")
                        .dropDuplicates(["rep"]), "full_sets")
-    confirmed = (close.join(full.selectExpr("rep as a", "full as fa"), "a").join(full.selectExpr("rep as b", "full as fb"), "b")
+    confirmed = (close.hint("merge").join(full.selectExpr("rep as a", "full as fa"), "a")
+                 .hint("merge").join(full.selectExpr("rep as b", "full as fb"), "b")
                  .withColumn("both", F.expr("size(array_intersect(fa, fb))"))
                  .where(f"100 * both >= {percent} * (size(fa) + size(fb) - both)").select("a", "b"))
     in_blocks = dealt.join(full, "rep").groupBy("value", "lo", "hi").applyInPandas(_block_links(percent), "a long, b long")
@@ -174,4 +178,4 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     gone = near_duplicates(docs, words, percent).where("not kept").selectExpr("doc_id as doc_id").distinct()
     unnamed = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionAll(unnamed)
+    return docs.where("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionAll(unnamed)

@@ -228,7 +228,7 @@ _LEFT = ("array_join(filter(split(text, '\\n'), (line, n) -> not exists(_cuts, c
 
 def _with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
     found = repeats(docs, min_words).selectExpr("doc_id as _cut_id", "cuts as _cuts")
-    return docs.join(found, docs["doc_id"].cast("long") == found["_cut_id"], "left")
+    return docs.join(found.hint("merge"), docs["doc_id"].cast("long") == found["_cut_id"], "left")
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
