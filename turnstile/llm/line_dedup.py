@@ -205,7 +205,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keys = lines.selectExpr("doc_id", "explode(keys) as key")
     holders = keys.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("earlier < latest")
     pairs = materialise(keys.join(holders, "key").where("doc_id > earlier").select("doc_id", "earlier").distinct(), "pairs")
-    once = lines.drop("keys").dropDuplicates(["doc_id"])
+    once = materialise(lines.drop("keys").dropDuplicates(["doc_id"]), "once")  # written, so that Spark can split a hot document's join
     met = (pairs.join(once.selectExpr("doc_id as earlier", "lines as earlier_lines"), "earlier")
            .join(once, "doc_id").select("doc_id", "earlier_lines", "lines", "words", "numbers"))
     cuts = materialise(met.mapInArrow(_align(min_words), _CUTS), "cuts")
