@@ -96,7 +96,7 @@ def _judged(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     text = "coalesce(text, '')"
     return (docs.select(*kept, "text", F.expr(_WORDS).alias("_words"), F.expr(lines).alias("_lines"))
             .select(*kept, F.expr("cast(size(_words) as long)").alias("n_words"),
-                    F.expr(f"cast(length(translate({text}, ' \\t\\n\\u000B\\f\\r', '')) as long)").alias("word_chars"),
+                    F.expr(f"cast(length(translate({text}, ' \\t\\n\\u000B\\u000C\\r', '')) as long)").alias("word_chars"),
                     F.expr(f"cast(length({text}) - length(translate({text}, '#*$%&|<>', '')) as long)").alias("n_symbols"),
                     F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)").alias("n_dup_lines"),
                     F.expr("transform(_words, w -> xxhash64(w))").alias("_hashes"))
