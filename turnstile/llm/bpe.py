@@ -30,7 +30,8 @@ from turnstile.llm.tokens import Pieces, cuts_at_spaces, encoding, ranks, splitt
 from turnstile.session import materialise
 
 BLOCK = 24_000_000  # characters
-_EXPLODED = "block long, bucket int, doc_id string, data binary"
+ROW, LEVEL = 1_000_000, 6  # bytes of positions in a row, of one document at least; zlib's level
+_EXPLODED = "block long, bucket int, doc_ids array<string>, data binary"
 _DOCUMENT = -1  # the bucket of rows that hold a document's positions
 
 
@@ -49,41 +50,62 @@ class _Block:
         return np.array([words.setdefault(w, len(words)) for w in self.split(chunk)], "<u4").tobytes()
 
     def add(self, doc_id, text: str) -> None:
-        self.documents.append((doc_id, zlib.compress(self.positions(text), 1)))
+        self.documents.append((doc_id, self.positions(text)))
         self.size += len(text)
 
     def rows(self, block: int, buckets: int):
-        yield from ((block, _DOCUMENT, doc_id, data) for doc_id, data in self.documents)
-        lists: list[list[bytes]] = [[] for _ in range(buckets)]
-        places: list[list[int]] = [[] for _ in range(buckets)]
-        for word, number in self.words.items():
+        """Words are numbered anew, frequent ones first, so that positions are small numbers; documents travel some hundred a row."""
+        counts = np.zeros(len(self.words), np.int64)
+        for _, data in self.documents:
+            counts += np.bincount(np.frombuffer(data, "<u4"), minlength=len(counts))
+        rank = np.empty(len(counts), np.uint32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+        held, size = [], 0
+        for doc_id, data in [*self.documents, (None, None)]:
+            if held and (data is None or size > ROW):
+                numbers = rank[np.frombuffer(b"".join(d for _, d in held), "<u4")]
+                sizes = np.array([len(held), *(len(d) // 4 for _, d in held)], "<u4").tobytes()
+                yield block, _DOCUMENT, [i for i, _ in held], sizes + _squeezed(numbers)
+                held, size = [], 0
+            if data is not None:
+                held.append((doc_id, data))
+                size += len(data)
+        lists: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
+        for word, number in zip(self.words, rank.tolist(), strict=True):
             data = word.encode()
-            at = zlib.crc32(data) % buckets
-            lists[at].append(data)
-            places[at].append(number)
-        for bucket in range(buckets):
-            if lists[bucket]:
-                yield block, bucket, None, _packed(places[bucket], lists[bucket])
+            lists[zlib.crc32(data) % buckets].append((data, number))
+        for bucket, found in enumerate(lists):
+            if found:
+                found.sort()
+                yield block, bucket, None, _packed([n for _, n in found], [w for w, _ in found])
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers under 2^32, compressed byte by byte: first all lowest bytes, then the next ones."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), LEVEL)
+
+
+def _spread(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _packed(numbers: list[int], values: list[bytes]) -> bytes:
     """Numbers, lengths and bytes of the values, compressed."""
-    head = np.array([len(numbers), *numbers, *map(len, values)], "<u4").tobytes()
-    return zlib.compress(head + b"".join(values), 1)
+    head = _squeezed(np.array([*numbers, *map(len, values)], np.uint32))
+    return np.array([len(head)], "<u4").tobytes() + head + zlib.compress(b"".join(values), LEVEL)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    numbers, lengths = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(2, n)
-    ends = (4 + 8 * n + np.cumsum(lengths, dtype=np.int64)).tolist()
-    return numbers, [raw[a:b] for a, b in zip([4 + 8 * n, *ends], ends, strict=False)]
+    size = int(np.frombuffer(data, "<u4", 1)[0])
+    numbers, lengths = _spread(data[4:4 + size]).reshape(2, -1)
+    raw, ends = zlib.decompress(data[4 + size:]), np.cumsum(lengths, dtype=np.int64).tolist()
+    return numbers, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    block, bucket, doc_id, data = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(doc_id, pa.string()),
-                                       pa.array(data, pa.binary())], ["block", "bucket", "doc_id", "data"])
+    block, bucket, doc_ids, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(doc_ids, pa.list_(pa.string())),
+                                       pa.array(data, pa.binary())], ["block", "bucket", "doc_ids", "data"])
 
 
 def _explode(pattern: str, buckets: int, size: int):
@@ -136,12 +158,21 @@ def _reassemble(finish):
             numbers, values = _unpacked(data)
             table.update(zip(numbers.tolist(), values, strict=True))
         lookup = [table[i] for i in range(len(table))]
-        return finish((doc_id, b"".join(map(lookup.__getitem__, np.frombuffer(zlib.decompress(data), "<u4").tolist())))
-                      for doc_id, data in zip(documents.doc_id, documents.data, strict=True))
+        return finish(_documents(documents, lookup))
 
     return run
 
 
+def _documents(rows: pd.DataFrame, lookup: list[bytes]):
+    """(doc_id, ids) of the documents in the rows."""
+    for doc_ids, data in zip(rows.doc_ids, rows.data, strict=True):
+        n = int(np.frombuffer(data, "<u4", 1)[0])
+        ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64).tolist()
+        numbers = _spread(data[4 + 4 * n:]).tolist()
+        for doc_id, first, last in zip(doc_ids, [0, *ends], ends, strict=False):
+            yield doc_id, b"".join(map(lookup.__getitem__, numbers[first:last]))
+
+
 def _distributed(docs: DataFrame, path: str, pattern: str, finish, schema: str) -> DataFrame:
     spark = prepare(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
