@@ -90,3 +90,21 @@ def test_one_sided_events_have_no_profit(spark):
     sales, expenses = records(5, 40)
     assert highest_profit_event(*frames(spark, sales, [])).collect() == []
     assert highest_profit_event(*frames(spark, [], expenses)).collect() == []
+
+
+def test_amounts_finer_than_the_reported_decimals(spark, monkeypatch):
+    """The peak is chosen on exact amounts: 0.0002 + 1.0001 + 0.0003, with an expense between and one at the end."""
+    monkeypatch.setattr(highwater, "PROFIT_SLOT", 3_600)
+    sale = lambda seq, hour, price: ("E1", at(f"{hour:02}:00:00") + timedelta(seconds=seq), seq, f"S{seq}", "E1", "N", "C", "c", "t", price, 1)
+    cost = lambda seq, hour, amount: ("E1", at(f"{hour:02}:00:00") + timedelta(seconds=seq), seq, f"X{seq}", "E1", "N", "v", amount)
+    s, e = frames(spark, [sale(1, 0, 0.0002), sale(3, 7, 1.0001), sale(4, 7, 0.0003)], [cost(2, 0, 0.0), cost(5, 7, 0.5)])
+    assert [r.value for r in highest_profit_event(s, e).collect()] == [1.0006]
+
+
+def test_totals_of_any_size(spark):
+    """Above 10^13 a thousandth is below the spacing of doubles."""
+    sales = [("E0", at("00:00:00") + timedelta(seconds=k), k, f"S{k}", "E0", "N", f"C{k % 2}", "c", "t", [3e13, 3e13, 0.25, 0.125, -1.0][k % 5], 1)
+             for k in range(40)]
+    s, _ = frames(spark, sales, [])
+    got = {r.key: (r.eventName, r.value) for r in city_highest_sales_per_event(s).collect()}
+    assert got == brute_city(sales)

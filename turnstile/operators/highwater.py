@@ -21,28 +21,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from turnstile.constants import HIGHEST_PROFIT_KEY, MONEY_SCALE
+from turnstile.constants import HIGHEST_PROFIT_KEY
 from turnstile.functions.order import ARRIVAL, arrival_seq, arrival_ts
-from turnstile.functions.scalars import money
 from turnstile.operators.folds import Measures, aggregates
 from turnstile.operators.ledger import ledger, sale_entries
 from turnstile.session import materialise
 
-UNIT = 10.0 ** -MONEY_SCALE
 PROFIT_SLOT = 6 * 3_600
 CITY_SLOT = 30 * 86_400
 BROADCAST_ROWS = 50_000
+SCALE = 6  # decimals of the amounts, unless a caller says otherwise: finer ones are rounded, totals of rounded amounts are exact
 
 _CARRIED = -1  # slot of the totals carried over from earlier micro-batches
 
-# What a cell keeps of its entries. `lowest` finds falls, `small` changes that vanish in rounding.
+# What a cell keeps of its entries. `lowest` finds falls.
 _CELL: Measures = {
     "n": ("sum", "1"),
     "total": ("sum", "delta"),
-    "rise": ("sum", "greatest(delta, 0D)"),
+    "rise": ("sum", "greatest(delta, 0)"),
     "lowest": ("min", "delta"),
     "highest": ("max", "delta"),
-    "small": ("min", "case when delta <> 0 then abs(delta) end"),
     "last_rise": ("max", "case when delta > 0 then pos end"),
 }
 _ONE_SIDED: Measures = {"first": ("min", "pos")}
@@ -56,6 +54,8 @@ _TWO_SIDED: Measures = {
 class Contest:
     """Entries `(member, slot, ts, seq, delta, id, name[, is_sale])` and how they compete.
 
+    `delta` is a decimal, so that totals do not depend on the order of summing, ties are exact, and buffers are of fixed width.
+
     `scope` is the column within whose values members compete, or None where all compete (the results then carry
     `scope_name`). With `two_sided` a running total counts only once its member has had a sale and an expense.
     """
@@ -79,22 +79,26 @@ class Contest:
         return " and ".join(f"e.{c} <=> {other}.{c}" for c in self.by)
 
 
-def profit_contest(sales: DataFrame, expenses: DataFrame) -> Contest:
+def exact(amount: str, scale: int, digits: int = 28) -> str:
+    return f"cast({amount} as decimal({digits},{scale}))"
+
+
+def profit_contest(sales: DataFrame, expenses: DataFrame, scale: int = SCALE) -> Contest:
     """Signed amounts of each event; all events compete."""
     entries = ledger(sales, expenses).where("key is not null").selectExpr(
         "key as member", _slot(PROFIT_SLOT), "ts", "seq", "is_sale",
-        "case when is_sale then amount else -amount end as delta", "id", "name")
+        f"{exact('case when is_sale then amount else -amount end', scale)} as delta", "id", "name")
     return Contest(entries, PROFIT_SLOT, two_sided=True, scope_name=HIGHEST_PROFIT_KEY)
 
 
-def city_contest(sales: DataFrame, strict: bool = False) -> Contest:
+def city_contest(sales: DataFrame, strict: bool = False, scale: int = SCALE) -> Contest:
     """Sales of each (event, city); the cities of an event compete."""
     scope, member = "id", "city"
     if strict:
         member = "concat(coalesce(id, 'null'), '|', coalesce(city, 'null'))"
         scope = f"substring_index({member}, '|', 1)"
     entries = sale_entries(sales, "city").selectExpr(
-        f"{scope} as scope", f"{member} as member", _slot(CITY_SLOT), "ts", "seq", "amount as delta", "id",
+        f"{scope} as scope", f"{member} as member", _slot(CITY_SLOT), "ts", "seq", f"{exact('amount', scale)} as delta", "id",
         "city as name")
     return Contest(entries, CITY_SLOT, scope="scope")
 
@@ -102,9 +106,13 @@ def city_contest(sales: DataFrame, strict: bool = False) -> Contest:
 def high_water(contest: Contest) -> DataFrame:
     """`scope, member, value, pos, named_at` of the highest running total of every scope.
 
-    `named_at` is the arrival of the member's first sale.
+    `named_at` is the arrival of the member's first sale. The peak is found on exact decimals and returned as a double.
     """
-    return best_of(contest, shortlist(contest, fold_cells(contest)))
+    return in_doubles(best_of(contest, shortlist(contest, fold_cells(contest))))
+
+
+def in_doubles(best: DataFrame) -> DataFrame:
+    return best.withColumn("value", best["value"].cast("double"))
 
 
 def named(contest: Contest, best: DataFrame) -> DataFrame:
@@ -141,12 +149,12 @@ def shortlist(contest: Contest, cells: DataFrame, keep_last: bool = False) -> Da
     kept = [f"all_{c} is not null as has_{c}" for c in firsts] + ["is_last", "base + total as total"]
     return materialise(cells.sparkSession.sql(f"""
         with placed as (
-          select *, coalesce(sum(total) over before, 0D) as base, slot = max(slot) over whole as is_last, {whole}
+          select *, coalesce(sum(total) over before, 0) as base, slot = max(slot) over whole as is_last, {whole}
           from {{cells}}
           window before as ({member} order by slot rows between unbounded preceding and 1 preceding),
                  whole as ({member} order by slot rows between unbounded preceding and unbounded following)),
         valued as (
-          select *, {money('base + total')} as value, {money('base + if(rise > 0, rise, highest)')} as ceiling,
+          select *, base + total as value, base + if(rise > 0, rise, highest) as ceiling,
                  {first} as first_here, if({begun}, {latest}, null) as start
           from placed),
         lived as (
@@ -156,10 +164,10 @@ def shortlist(contest: Contest, cells: DataFrame, keep_last: bool = False) -> Da
           from valued)
         select {scope}, member, slot, base, start, all_{firsts[0]} as named_at, value, ceiling, live,
                if(n = 1, first_here, coalesce(last_rise, first_here)) as pos,
-               n = 1 or (lowest >= 0 and coalesce(small, {UNIT}D) >= {UNIT}D and first_here >= start) as solved
+               n = 1 or (lowest >= 0 and first_here >= start) as solved
                {"".join(f", {c}" for c in kept) if keep_last else ""}
         from (select *, max(if(live, value, null)) over ({member}) as own_best from lived)
-        where (live and ceiling + {UNIT}D >= own_best) {"or is_last" if keep_last else ""}""", cells=cells), "cells")
+        where (live and ceiling >= own_best) {"or is_last" if keep_last else ""}""", cells=cells), "cells")
 
 
 def best_of(contest: Contest, cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -172,7 +180,7 @@ def best_of(contest: Contest, cells: DataFrame, known: DataFrame | None = None)
     contenders = materialise(run(f"""
         select c.scope, member, slot, base, start, named_at, value, pos, solved
         from {{live}} c join (select scope, max(value) as floor from {{floors}} group by scope) f
-             on c.scope <=> f.scope and ceiling + {UNIT}D >= floor""", live=live, floors=floors), "contenders")
+             on c.scope <=> f.scope and ceiling >= floor""", live=live, floors=floors), "contenders")
     found = contenders.where("solved").select("scope", "member", "value", "pos", "named_at")
     open_cells = contenders.where("not solved")
     open_count = open_cells.limit(BROADCAST_ROWS + 1).count()
@@ -194,7 +202,7 @@ def _peaks(contest: Contest, cells: DataFrame, small: bool) -> DataFrame:
                    from {{entries}} e join {{cells}} c on {contest.matches("c")} and e.slot = c.slot""",
                entries=contest.entries, cells=cells), "open")
     sliced = rows.repartitionByRange("scope", "member", "pos").selectExpr("*", "spark_partition_id() as slice")
-    value = money("base + peak.local + coalesce(sum(total) over before, 0D)")
+    value = "base + peak.local + coalesce(sum(total) over before, 0)"
     # The running totals and their fold share one partitioning, hence one shuffle. Slices then add up like cells did.
     return run(f"""
         with running as (
@@ -203,7 +211,7 @@ def _peaks(contest: Contest, cells: DataFrame, small: bool) -> DataFrame:
           from {{sliced}}),
         slices as (
           select scope, member, slot, slice, sum(delta) as total, first(base) as base, first(named_at) as named_at,
-                 max_by(struct(local, pos), if(pos >= start, struct({money('local')}, -pos), null)) as peak
+                 max_by(struct(local, pos), if(pos >= start, struct(local, -pos), null)) as peak
           from running group by scope, member, slot, slice)
         select scope, member, value, pos, named_at from (
           select scope, member, {value} as value, peak.pos, named_at from slices

@@ -37,7 +37,7 @@ def high_water_step(name: str, sales: DataFrame, expenses: DataFrame | None, pat
             bests.write(H.best_of(contest, cells, known), batch_id)
             totals.write(H.carry(contest, cells), batch_id)
         best = bests.read(before=batch_id + 1)
-        changed = best if known is None else _changed(best, known)
+        changed = H.in_doubles(best if known is None else _changed(best, known))
         if profit:
             names.write(_names(batch, names.read(before=batch_id)), batch_id)
             rows_out = spark.sql(f"""select b.scope as key, '{HIGHEST_PROFIT_KEY}' as id, n.name as eventName, b.value,
