@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ from turnstile.llm.tokens import Pieces, cuts_at_spaces, encoding, ranks, splitt
 from turnstile.session import materialise
 
 BLOCK = 24_000_000  # characters
-ROW, LEVEL = 1_000_000, 6  # bytes of positions in a row, of one document at least; zlib's level
+ROW = 32_000_000  # bytes of positions in a row before compression, of one document at least
+LEVEL, WINDOW = 12, 24  # of zstd
 _EXPLODED = "block long, bucket int, doc_ids array<string>, data binary"
+_LARGE = 0xFFFF
 _DOCUMENT = -1  # the bucket of rows that hold a document's positions
 
 
@@ -54,52 +57,92 @@ class _Block:
         self.size += len(text)
 
     def rows(self, block: int, buckets: int):
-        """Words are numbered anew, frequent ones first, so that positions are small numbers; documents travel some hundred a row."""
+        """Words are numbered anew, frequent ones first. Those that stand once come last, in the order of their places: all of these are
+        written as one number, and the n-th is known by its turn. Documents travel many a row, so that copies compress well."""
         counts = np.zeros(len(self.words), np.int64)
         for _, data in self.documents:
             counts += np.bincount(np.frombuffer(data, "<u4"), minlength=len(counts))
-        rank = np.empty(len(counts), np.uint32)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.uint32)
+        once = int((counts > 1).sum())  # the number that stands for every word found once
+        number = np.full(len(counts), once, np.uint32)
+        number[np.argsort(-counts, kind="stable")[:once]] = np.arange(once, dtype=np.uint32)
+        place, turn = number.copy(), once
         held, size = [], 0
         for doc_id, data in [*self.documents, (None, None)]:
             if held and (data is None or size > ROW):
-                numbers = rank[np.frombuffer(b"".join(d for _, d in held), "<u4")]
-                sizes = np.array([len(held), *(len(d) // 4 for _, d in held)], "<u4").tobytes()
-                yield block, _DOCUMENT, [i for i, _ in held], sizes + _squeezed(numbers)
-                held, size = [], 0
+                words = np.frombuffer(b"".join(d for _, d in held), "<u4")
+                single = words[counts[words] == 1]
+                place[single] = np.arange(turn, turn + len(single), dtype=np.uint32)
+                head = np.array([once, turn, len(held), *(len(d) // 4 for _, d in held)], "<u4").tobytes()
+                yield block, _DOCUMENT, [i for i, _ in held], head + _squeezed_numbers(number[words])
+                held, size, turn = [], 0, turn + len(single)
             if data is not None:
                 held.append((doc_id, data))
                 size += len(data)
-        lists: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
-        for word, number in zip(self.words, rank.tolist(), strict=True):
-            data = word.encode()
-            lists[zlib.crc32(data) % buckets].append((data, number))
+        lists: list[list[tuple[int, bytes]]] = [[] for _ in range(buckets)]
+        for word, count, at in zip(self.words, counts.tolist(), place.tolist(), strict=True):
+            if count:  # a text that is split a second time may leave words that stand nowhere
+                data = word.encode()
+                lists[zlib.crc32(data) % buckets].append((at, data))
         for bucket, found in enumerate(lists):
             if found:
                 found.sort()
-                yield block, bucket, None, _packed([n for _, n in found], [w for w, _ in found])
+                yield block, bucket, None, _packed([n for n, _ in found], [len(w) for _, w in found], _squeezed(b"".join(w for _, w in found)))
 
 
-def _squeezed(numbers: np.ndarray) -> bytes:
+def _squeezed(data: bytes) -> bytes:
+    window = min(WINDOW, max(10, len(data).bit_length()))  # a short list needs no large tables
+    settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=max(1, len(data)), window_log=window)
+    return zstandard.ZstdCompressor(compression_params=settings).compress(data)
+
+
+def _spread(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor(max_window_size=1 << WINDOW).decompress(data)
+
+
+def _planes(numbers: np.ndarray) -> bytes:
     """Numbers under 2^32, compressed byte by byte: first all lowest bytes, then the next ones."""
-    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), LEVEL)
+    return _squeezed(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _spread(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_spread(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _packed(numbers: list[int], values: list[bytes]) -> bytes:
-    """Numbers, lengths and bytes of the values, compressed."""
-    head = _squeezed(np.array([*numbers, *map(len, values)], np.uint32))
-    return np.array([len(head)], "<u4").tobytes() + head + zlib.compress(b"".join(values), LEVEL)
+def _joined(first: bytes, second: bytes) -> bytes:
+    return np.array([len(first)], "<u4").tobytes() + first + second
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+def _parted(data: bytes) -> tuple[bytes, bytes]:
     size = int(np.frombuffer(data, "<u4", 1)[0])
-    numbers, lengths = _spread(data[4:4 + size]).reshape(2, -1)
-    raw, ends = zlib.decompress(data[4 + size:]), np.cumsum(lengths, dtype=np.int64).tolist()
-    return numbers, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return data[4:4 + size], data[4 + size:]
+
+
+def _squeezed_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers of two bytes each; larger ones are marked and follow."""
+    return _joined(_squeezed(np.minimum(numbers, _LARGE).astype("<u2").tobytes()), _planes(numbers[numbers >= _LARGE]))
+
+
+def _spread_numbers(data: bytes) -> np.ndarray:
+    small, large = _parted(data)
+    numbers = np.frombuffer(_spread(small), "<u2").astype(np.uint32)
+    numbers[numbers == _LARGE] = _from_planes(large)
+    return numbers
+
+
+def _packed(numbers: list[int], lengths: list[int], values: bytes) -> bytes:
+    """Rising numbers as differences, lengths of the values, and the values, which come compressed."""
+    return _joined(_planes(np.concatenate([np.diff(numbers, prepend=0), lengths])), values)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    head, values = _parted(data)
+    steps, lengths = _from_planes(head).reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int64), lengths, values
+
+
+def _cut(values: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -141,8 +184,9 @@ def _encode(path: str, pattern: str):
         for batch in batches:
             out = []
             for block, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "data")), strict=True):
-                numbers, words = _unpacked(data)
-                out.append((block, bucket, None, _packed(numbers.tolist(), [ids(w) for w in words])))
+                numbers, lengths, words = _unpacked(data)
+                made = [ids(w) for w in _cut(_spread(words), lengths)]
+                out.append((block, bucket, None, _packed(numbers.tolist(), [len(x) for x in made], _planes(np.frombuffer(b"".join(made), "<u4")))))
             if out:
                 yield _batch(out)
 
@@ -155,8 +199,8 @@ def _reassemble(finish):
     def run(documents: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         table: dict[int, bytes] = {}
         for data in lists.data:
-            numbers, values = _unpacked(data)
-            table.update(zip(numbers.tolist(), values, strict=True))
+            numbers, lengths, values = _unpacked(data)
+            table.update(zip(numbers.tolist(), _cut(_from_planes(values).tobytes(), lengths), strict=True))
         lookup = [table[i] for i in range(len(table))]
         return finish(_documents(documents, lookup))
 
@@ -166,11 +210,13 @@ def _reassemble(finish):
 def _documents(rows: pd.DataFrame, lookup: list[bytes]):
     """(doc_id, ids) of the documents in the rows."""
     for doc_ids, data in zip(rows.doc_ids, rows.data, strict=True):
-        n = int(np.frombuffer(data, "<u4", 1)[0])
-        ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64).tolist()
-        numbers = _spread(data[4 + 4 * n:]).tolist()
+        once, turn, n = np.frombuffer(data, "<u4", 3).tolist()
+        ends = np.cumsum(np.frombuffer(data, "<u4", n, 12), dtype=np.int64).tolist()
+        numbers = _spread_numbers(data[12 + 4 * n:])
+        single = numbers == once
+        numbers[single] = np.arange(turn, turn + int(single.sum()), dtype=np.uint32)
         for doc_id, first, last in zip(doc_ids, [0, *ends], ends, strict=False):
-            yield doc_id, b"".join(map(lookup.__getitem__, numbers[first:last]))
+            yield doc_id, b"".join(map(lookup.__getitem__, numbers[first:last].tolist()))
 
 
 def _distributed(docs: DataFrame, path: str, pattern: str, finish, schema: str) -> DataFrame:
