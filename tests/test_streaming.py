@@ -125,6 +125,14 @@ def test_upsert_replay_changes_nothing(spark, tmp_path):
     assert len(table.versions()) == 6 and table.read().count() == 4
 
 
+def test_a_query_that_starts_anew_replaces_the_old_table(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    for version in (0, 1, 2):
+        table.write(spark.range(5), version)
+    table.write(spark.range(2), 0)
+    assert table.versions() == [0] and table.read().count() == 2
+
+
 def test_quarantine_stream(spark, tmp_path):
     publish(spark, tmp_path, SALE_ROWS, EXPENSE_ROWS)
     bad = spark.createDataFrame([("E1", "{bad", at("00:00:00"), 0, 50), ("E1", None, at("00:00:00"), 0, 51)],

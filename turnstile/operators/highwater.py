@@ -177,8 +177,9 @@ def best_of(contest: Contest, cells: DataFrame, known: DataFrame | None = None)
     floors = live.select("scope", "value")
     if known is not None:
         floors = floors.union(known.select("scope", "value"))
+    one_floor = "" if contest.scope else "/*+ broadcast(f) */"  # without scopes there is one, and its key is hot
     contenders = materialise(run(f"""
-        select c.scope, member, slot, base, start, named_at, value, pos, solved
+        select {one_floor} c.scope, member, slot, base, start, named_at, value, pos, solved
         from {{live}} c join (select scope, max(value) as floor from {{floors}} group by scope) f
              on c.scope <=> f.scope and ceiling >= floor""", live=live, floors=floors), "contenders")
     found = contenders.where("solved").select("scope", "member", "value", "pos", "named_at")

@@ -1,7 +1,8 @@
 """Result tables on shared storage: one complete parquet snapshot per version.
 
 The version is the micro-batch id. A batch reads the version before its own and writes its own, so a replayed batch
-gives the same table. Readers take the newest complete version.
+gives the same table. Readers take the newest complete version. A query that starts anew over an old folder counts from
+0 again, so a write removes the versions ahead of it: they are of an earlier run.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ class SnapshotTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        for old in [v for v in self.versions() if v < version][:-self.keep]:
+        found = self.versions()
+        for old in [v for v in found if v < version][:-self.keep] + [v for v in found if v > version]:
             delete(self.spark, f"{self.path}/v={old}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from decimal import Decimal
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from turnstile.plans.results import RESULTS
 from turnstile.schemas import CITIES, EVENTS
 from turnstile.session import scratch_path
-from turnstile.sinks.tables import SnapshotTable
+from turnstile.sinks.tables import SnapshotTable, delete
 
 # The catalog a new installation starts with.
 SEED_CITIES = ["Aveiro", "Porto", "Lisboa", "Coimbra", "Braga"]
@@ -60,21 +61,30 @@ def append_snapshot(catalog: DataFrame, path: str, taken_at: str) -> None:
 
 
 class RefreshingCatalog:
-    """A catalog that is read again every `interval` seconds; an empty reload keeps the previous one."""
+    """A catalog that is read again every `interval` seconds; an empty reload keeps the previous one.
+
+    Streams may share one: a reload reads the source once, into a copy, while the others wait.
+    """
 
     def __init__(self, read: Callable[[], DataFrame], interval: float = 30.0, clock: Callable[[], float] = time.monotonic):
         self._read, self._interval, self._clock = read, interval, clock
         self._copies: SnapshotTable | None = None
         self._reads, self._read_at = 0, 0.0
+        self._lock = threading.Lock()
 
     def current(self) -> DataFrame:
-        if self._copies is None or self._clock() - self._read_at >= self._interval:
-            fresh = self._read()
-            if self._copies is None:
-                self._copies = SnapshotTable(fresh.sparkSession, scratch_path(fresh.sparkSession, "catalog"), keep=1)
-            self._read_at = self._clock()
-            # A copy, so that the catalog in hand stays whole when its source is emptied.
-            if self._reads == 0 or not fresh.isEmpty():
-                self._copies.write(fresh, self._reads)
-                self._reads += 1
-        return self._copies.read()
+        with self._lock:
+            if self._copies is None or self._clock() - self._read_at >= self._interval:
+                self._reload(self._read())
+            return self._copies.read()
+
+    def _reload(self, fresh: DataFrame) -> None:
+        if self._copies is None:
+            self._copies = SnapshotTable(fresh.sparkSession, scratch_path(fresh.sparkSession, "catalog"))
+        self._read_at = self._clock()
+        # A copy, so that the catalog in hand stays whole when its source is emptied, and the one judged is the one kept.
+        self._copies.write(fresh, self._reads)
+        if self._reads and self._copies.read().isEmpty():
+            delete(fresh.sparkSession, f"{self._copies.path}/v={self._reads}")
+        else:
+            self._reads += 1
