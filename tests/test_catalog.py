@@ -117,5 +117,24 @@ def test_missing_ids_are_filled(spark):
 
 
 def test_forms_are_trimmed(spark):
-    rows = trimmed(spark.createDataFrame([(1, "  Faro ")], "seq long, city_name string"))
-    assert tuple(rows.first()) == (1, "Faro")
+    rows = trimmed(spark.createDataFrame([(1, "  Faro "), (2, "\t\x00Porto de\tMos\r\n"), (3, "\u2003Beja")], "seq long, city_name string"))
+    assert [tuple(r) for r in rows.orderBy("seq").collect()] == [(1, "Faro"), (2, "Porto de\tMos"), (3, "\u2003Beja")]
+
+
+def test_blank_in_any_white_space(spark):
+    requests = spark.createDataFrame([(1, "\u2003"), (2, "\x1c\t"), (3, "\u00a0"), (4, ""), (5, "Faro")], "seq long, city_name string")
+    accepted, rejected = append_cities(catalog.seed_cities(spark), requests)
+    assert {r.seq for r in accepted.collect()} == {3, 5}  # a space that doesn't break is no white space
+    assert {r.reason for r in rejected.collect()} == {"missing city_name"}
+
+
+def test_city_numbers_of_scattered_requests(spark):
+    requests = spark.range(5000).selectExpr("xxhash64(id) as seq", "concat('City ', id) as city_name")
+    accepted, _ = append_cities(catalog.seed_cities(spark), requests)
+    rows = accepted.orderBy("seq").collect()
+    assert [r.city_id for r in rows] == list(range(6, 5006))
+
+
+def test_facts_with_a_map_are_spread(spark):
+    facts = spark.range(10).selectExpr("'E1' as event_id", "id", "map('a', id) as more")
+    assert lookup(facts, catalog.seed_events(spark).select("event_id", "event_name"), "event_id", broadcast_rows=1).count() == 10

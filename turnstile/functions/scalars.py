@@ -22,7 +22,8 @@ def money(value: str, scale: int = MONEY_SCALE) -> str:
 
 
 def is_blank(text: str) -> Column:
-    return F.col(text).isNull() | ~F.col(text).rlike(r"\S")
+    """NULL, empty, or white space only; Unicode's spaces count, but for those that don't break."""
+    return F.col(text).isNull() | ~F.col(text).rlike(r"\P{javaWhitespace}")
 
 
 def clip(text: str, width: int) -> Column:

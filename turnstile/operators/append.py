@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from turnstile.constants import CITY_NAME_LIMIT, EVENT_LIMITS
 from turnstile.functions.scalars import is_blank, to_number
+from turnstile.session import materialise
 
-_BLOCK = 1 << 20  # requests numbered per task
+_TRIMMED = "".join(map(chr, range(0x21)))  # control characters and the space
 
 
 def trimmed(requests: DataFrame) -> DataFrame:
-    """Requests as a form sends them: without the spaces around their texts."""
-    return requests.select(*(F.trim(c).alias(c) if kind == "string" else c for c, kind in requests.dtypes))
+    """Requests as a form sends them: without the spaces and control characters around their texts."""
+    return requests.select(*(F.trim(c, F.lit(_TRIMMED)).alias(c) if kind == "string" else c for c, kind in requests.dtypes))
 
 
 def append_events(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,13 +54,15 @@ def _judge(existing: DataFrame, requests: DataFrame, checks: list[tuple[Column,
 
 
 def _number(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """`city_id` = largest existing id + place in `seq` order, numbered block by block of `seq`."""
-    block = F.expr(f"seq div {_BLOCK}").alias("block")
-    rows = rows.select("*", block)
+    """`city_id` = largest existing id + place in `seq` order, numbered range by range of `seq`.
+
+    The rows are written once in their ranges, so that counts and places see the same ones.
+    """
+    rows = materialise(rows.repartitionByRange("seq").select("*", F.spark_partition_id().cast("bigint").alias("block")), "ranges")
     used = existing.select(F.lit(-1).cast("bigint").alias("block"), F.col("city_id").cast("bigint").alias("n"))
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")) \
         .unionByName(used.groupBy("block").agg(F.max("n").alias("n")))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per range, as many as tasks
     offsets = sizes.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy("block").orderBy("seq"))
     return rows.join(offsets, "block").withColumn("city_id", (F.col("offset") + place).cast("int"))

@@ -33,7 +33,8 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str, broadcast_rows: int
     """
     if dimension.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return facts.join(F.broadcast(dimension), key)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("int"))
+    hashed = [c for c, kind in facts.dtypes if "map<" not in kind and "variant" not in kind]  # maps have no hash
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SPREAD)).cast("int"))
     copies = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     return salted.join(copies, [key, "_salt"]).drop("_salt")
 
