@@ -42,7 +42,7 @@ expenses as (
 
 BULK = """
 sales as (
-  select 'E' || l_suppkey as key, l_shipdate as ts, 'E' || l_suppkey as event_id, s_name as event_name, n_name as city,
+  select 'E' || l_suppkey as key, l_shipdate as ts, l_orderkey * 8 + l_linenumber as seq, 'E' || l_suppkey as event_id, s_name as event_name, n_name as city,
          p_retailprice * case l_returnflag when 'A' then cast(1.8 as double) when 'R' then cast(0.7 as double)
                          else cast(1.0 as double) end * cast(l_quantity as integer) as amount
   from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey
@@ -50,11 +50,17 @@ sales as (
   join nation on n_nationkey = c_nationkey
   where l_linestatus = 'F'),
 expenses as (
-  select 'E' || l_suppkey as key, l_shipdate as ts, 'E' || l_suppkey as event_id, s_name as event_name,
+  select 'E' || l_suppkey as key, l_shipdate as ts, l_orderkey * 8 + l_linenumber as seq, 'E' || l_suppkey as event_id, s_name as event_name,
          l_extendedprice * l_discount as amount
   from lineitem join supplier on s_suppkey = l_suppkey
   where l_linestatus = 'O')"""
 
+# The same with exact amounts, so that running totals tie where they should.
+_EXACT = BULK.replace("sales as (", "sales as (select * replace (cast(amount as decimal(28,6)) as amount) from (", 1).replace(
+    "where l_linestatus = 'F')", "where l_linestatus = 'F'))").replace(
+    "expenses as (", "expenses as (select * replace (cast(amount as decimal(28,6)) as amount) from (").replace(
+    "where l_linestatus = 'O')", "where l_linestatus = 'O'))")
+
 # (id, eventName) of the first record of each key.
 FIRSTS = """
 sale_firsts as (select key, event_id as id, event_name as "eventName" from sales where key is not null
@@ -136,6 +142,12 @@ _BEST_CITY = """ select event_id as key, event_id as id, city as "eventName", va
     from sales)
   qualify row_number() over (partition by event_id order by value desc, ts, seq) = 1"""
 
+_BARRED = """ select split_part(event_id, '|', 1) as key, event_id as id, city as "eventName", value from (
+    select event_id, city, ts, seq,
+           round(sum(amount) over (partition by event_id, city order by ts, seq rows unbounded preceding), 3) as value
+    from (select * replace (case when seq % 3 = 0 then event_id || '|' || (seq % 2) else event_id end as event_id) from sales))
+  qualify row_number() over (partition by split_part(event_id, '|', 1) order by value desc, ts, seq) = 1"""
+
 _AVERAGE_TABLE = """ select 'AVG_PER_EVENT' as id, 'Average Ticket Sale Per Event' as "eventName",
   round(avg(amount) + 1.23e-7, 4) as value from sales
   where key = (select key from sales where key is not null order by ts desc, seq desc limit 1) having count(*) > 0"""
@@ -202,7 +214,16 @@ expense_firsts as (select distinct key, event_id as id, event_name as "eventName
         "bulk_city_sales_per_event": _with(BULK, _CITY_SALES),
     }
     # Expenses have four decimals here (price x discount).
-    return {name: sql.replace(", 3) as value", ", 4) as value") for name, sql in exact.items()}
+    out = {name: sql.replace(", 3) as value", ", 4) as value") for name, sql in exact.items()}
+    marks = {"bulk_highest_profit_event": _HIGHEST_PROFIT, "bulk_highest_profit_table": _HIGHEST_PROFIT_TABLE,
+             "bulk_city_highest_sales_per_event": _BEST_CITY}
+    log = PROFIT_LOG.replace("round(earned - spent, 3)", "earned - spent")
+    for name, body in marks.items():
+        body = body.replace("p.value", "round(cast(p.value as double), 4) as value").replace("round(sum(amount)", "(sum(amount)")
+        body = body.replace("rows unbounded preceding), 3)", "rows unbounded preceding))").replace(
+            "city as \"eventName\", value from", "city as \"eventName\", round(cast(value as double), 4) as value from")
+        out[name] = _with(_EXACT + named + "," + log, body)
+    return out
 
 
 # Altered sale records, as in views.sales_topic.
@@ -285,6 +306,9 @@ def catalog() -> dict[str, str]:
         "append_cities": f"""with {CITY_REQUESTS} select seq,
             cast((select max(n_nationkey) from nation) + row_number() over (order by seq) as integer) as city_id,
             city_name from judged where reason is null""",
+        "append_trimmed": f"""with {CITY_REQUESTS} select seq,
+            cast((select max(n_nationkey) from nation) + row_number() over (order by seq) as integer) as city_id,
+            city_name from judged where reason is null""",
         "append_cities_rejected": f"""with {CITY_REQUESTS} select seq, city_name, reason from judged
             where reason is not null""",
         "append_events": f"""with {EVENT_REQUESTS} select seq, event_id, event_name, city, category,
@@ -313,7 +337,8 @@ def records() -> dict[str, str]:
 
 
 def all_sql() -> dict[str, str]:
-    # No event id holds a bar here, so the strict key changes nothing.
-    city = {"city_sales_per_event": _with(VIEWS, _CITY_SALES), "city_highest_sales_strict": _with(VIEWS, _BEST_CITY)}
+    # Event ids of the plain views hold no bar, so there the strict key changes nothing.
+    city = {"city_highest_sales_barred": _with(VIEWS, _BARRED),
+            "city_sales_per_event": _with(VIEWS, _CITY_SALES), "city_highest_sales_strict": _with(VIEWS, _BEST_CITY)}
     streams = {f"stream_{name}": sql for name, sql in results().items()}
     return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **streams}

@@ -75,6 +75,10 @@ def _highest_profit_table(spark: SparkSession, sf: str) -> DataFrame:
     return tables.highest_profit_table(views.ticket_sales(spark, sf), views.event_expenses(spark, sf))
 
 
+def _bulk_highest_profit_table(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.highest_profit_table(views.bulk_sales(spark, sf), views.bulk_expenses(spark, sf))
+
+
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "snapshots")
     for taken_at in ("2026-01-01 00:00:00", "2026-01-01 00:01:00"):
@@ -101,20 +105,30 @@ def _appended(kind: str, which: int) -> Query:
     return query
 
 
+def _trimmed(spark: SparkSession, sf: str) -> DataFrame:
+    padded = views.city_requests(spark, sf).withColumn("city_name", F.expr("concat('\\t ', city_name, if(seq % 2 = 0, '\\n', ' \\r'))"))
+    return append.append_cities(views.city_catalog(spark, sf), append.trimmed(padded))[0]
+
+
 def all_queries() -> dict[str, Query]:
     out = {name: _result(name, _events) for name in R.RESULTS}
     out["city_sales_per_event"] = _shown(lambda s, d: R.city_sales_per_event(views.ticket_sales(s, d)))
     out["city_highest_sales_strict"] = _shown(
         lambda s, d: R.city_highest_sales_per_event(views.ticket_sales(s, d), strict=True))
+    out["city_highest_sales_barred"] = _shown(
+        lambda s, d: R.city_highest_sales_per_event(views.barred_sales(s, d), strict=True))
     out["average_sale_table"] = _shown(_table("average_sale_per_event"), *_AVERAGE)
     out["revenue_last_minute"] = _shown(_table("revenue_per_minute"))
     out["expenses_last_minute"] = _shown(_table("expenses_per_minute"))
     out["profit_last_minute"] = _shown(_table("profit_per_minute"))
     out["highest_profit_table"] = _shown(_highest_profit_table)
     for name in ("revenue_per_event", "expenses_per_event", "profit_per_event", "total_profit",
-                 "average_sale_per_event", "revenue_per_minute", "profit_per_minute"):
+                 "average_sale_per_event", "revenue_per_minute", "profit_per_minute", "highest_profit_event",
+                 "city_highest_sales_per_event"):
         out[f"bulk_{name}"] = _result(name, _bulk, 4)
     out["bulk_city_sales_per_event"] = _shown(lambda s, d: R.city_sales_per_event(views.bulk_sales(s, d)), 4)
+    out["bulk_highest_profit_table"] = _shown(_bulk_highest_profit_table, 4)
+    out["append_trimmed"] = _shown(_trimmed)
     out["city_list"] = _shown(lambda s, d: catalog.list_cities(views.city_catalog(s, d)))
     out["catalog_list"] = _shown(lambda s, d: catalog.list_events(views.event_catalog(s, d)))
     out["catalog_snapshots"] = _shown(_snapshots)

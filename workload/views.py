@@ -72,6 +72,11 @@ def ticket_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                      nation=table(spark, sf_dir, "nation"))
 
 
+def barred_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ticket_sales` where every third record's event id goes on behind a bar."""
+    return ticket_sales(spark, sf_dir).withColumn("event_id", F.expr("if(seq % 3 = 0, concat(event_id, '|', seq % 2), event_id)"))
+
+
 def event_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("""select key, ts, seq, expense_id, event_id, event_name, expense_type, cost
                         from {raw} join {events} using (event_id)""",
@@ -83,7 +88,7 @@ _LINE = """concat('E', l_suppkey) as key, cast(l_shipdate as timestamp) as ts, l
 
 
 def bulk_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every filled order line as a sale: the large input. Its times tie, so only order-free results use it."""
+    """Every filled order line as a sale: the large input. Many times tie, and `seq` settles their order."""
     names = ("lineitem", "part", "supplier", "orders", "customer", "nation")
     return spark.sql(f"""
         select {_LINE}, n_name as city,
