@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.hand import EXPECTED, EXPENSE_ROWS, SALE_ROWS, at, frames, shape
 from tests.test_highwater import brute_city, brute_profit, order, records
 from turnstile.plans.results import RESULTS
+from turnstile.plans.tables import highest_profit_table
 from turnstile.sinks.envelope import from_records
 from turnstile.sinks.tables import SnapshotTable, UpsertTable
 from turnstile.sources import topics
@@ -48,7 +49,7 @@ def test_streams_equal_the_hand_case(spark, tmp_path):
         for query in runners.start_all(*streams(spark, tmp_path), f"{tmp_path}/out", every=None, sinks=("by_key",)):
             query.awaitTermination()
     for name in RESULTS:
-        table = SnapshotTable(spark, f"{tmp_path}/out/{name}/by_key").read()
+        table = UpsertTable(spark, f"{tmp_path}/out/{name}/by_key", "key").read()
         assert shape(name, table.collect()) == pytest.approx(EXPECTED[name]), name
 
 
@@ -68,18 +69,20 @@ def test_result_tables_and_change_topic(spark, tmp_path):
         read_result(spark, out, "nothing")
 
 
-@pytest.mark.parametrize("cuts", [(40, 41), (10, 90)])
+@pytest.mark.parametrize("cuts", [(2, 41), (10, 90)])
 def test_high_water_does_not_depend_on_chunking(spark, tmp_path, cuts):
     sales, expenses = records(7, 120, refunds=True)
     for s, e in chunks(sales, expenses, cuts):
         publish(spark, tmp_path, s, e)
-        both = [runners.start_result(n, *streams(spark, tmp_path), f"{tmp_path}/out", ("by_key",), every=None)
+        both = [runners.start_result(n, *streams(spark, tmp_path), f"{tmp_path}/out", ("by_key", "by_id"), every=None)
                 for n in ("highest_profit_event", "city_highest_sales_per_event")]
         for query in both:
             query.awaitTermination()
-    read = lambda n: SnapshotTable(spark, f"{tmp_path}/out/{n}/by_key").read().collect()
+    read = lambda n: UpsertTable(spark, f"{tmp_path}/out/{n}/by_key", "key").read().collect()
     assert [(r.eventName, r.value) for r in read("highest_profit_event")] == [brute_profit(sales, expenses)]
     assert {r.key: (r.eventName, r.value) for r in read("city_highest_sales_per_event")} == brute_city(sales)
+    shown = read_result(spark, f"{tmp_path}/out", "highest_profit_event").collect()
+    assert sorted(shown) == sorted(highest_profit_table(*frames(spark, sales, expenses)).collect())
 
 
 def test_high_water_never_falls_and_bounds_the_current_value(spark, tmp_path):
@@ -89,8 +92,8 @@ def test_high_water_never_falls_and_bounds_the_current_value(spark, tmp_path):
         publish(spark, tmp_path, s, e)
         run(spark, tmp_path, "highest_profit_event", ("by_key",))
         run(spark, tmp_path, "profit_per_event", ("by_key",))
-        best = SnapshotTable(spark, f"{tmp_path}/out/highest_profit_event/by_key").read().first().value
-        now = SnapshotTable(spark, f"{tmp_path}/out/profit_per_event/by_key").read().agg(F.max("value")).first()[0]
+        best = UpsertTable(spark, f"{tmp_path}/out/highest_profit_event/by_key", "key").read().first().value
+        now = UpsertTable(spark, f"{tmp_path}/out/profit_per_event/by_key", "key").read().agg(F.max("value")).first()[0]
         assert best >= now
         seen.append(best)
     assert seen == sorted(seen)
@@ -105,7 +108,7 @@ def test_late_records(spark, tmp_path):
     for rows in batches:
         publish(spark, tmp_path, rows, [])
         run(spark, tmp_path, "revenue_per_minute", ("by_key",))
-    table = SnapshotTable(spark, f"{tmp_path}/out/revenue_per_minute/by_key").read()
+    table = UpsertTable(spark, f"{tmp_path}/out/revenue_per_minute/by_key", "key").read()
     assert {r.window_start.replace(tzinfo=timezone.utc): r.value for r in table.collect()} == {
         start: 2.0, edge: 1.0}
 
@@ -122,7 +125,15 @@ def test_upsert_replay_changes_nothing(spark, tmp_path):
             ("a", "late", 2.0), ("b", "x", 4.0), ("c", "y", 5.0)}
     for version in range(2, 12):
         table.merge(batch(("d", "z", float(version), 1)), version)
-    assert len(table.versions()) == 6 and table.read().count() == 4
+    assert table.read().count() == 4 and table.versions() == []
+    table = UpsertTable(spark, str(tmp_path / "folded"), "id", keep=2, fold_every=3)
+    for version in range(10):
+        written = table.merge(batch((f"k{version % 4}", "z", float(version), 1)), version)
+        assert written.count() == 1
+        assert {r.id: r.value for r in table.read().collect()} == {f"k{v % 4}": float(v) for v in range(max(0, version - 3), version + 1)}
+    assert table.versions() == [5, 8] and table.versions("change") == [6, 7, 8, 9]
+    table.merge(batch(("new", "run", 1.0, 1)), 0)
+    assert [r.id for r in table.read().collect()] == ["new"] and table.versions("change") == [0]
 
 
 def test_a_query_that_starts_anew_replaces_the_old_table(spark, tmp_path):
@@ -142,7 +153,7 @@ def test_quarantine_stream(spark, tmp_path):
     runners.start_quarantine(decoded, f"{tmp_path}/q", every=None).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/q/rows").count() == 2
     run(spark, tmp_path, "total_revenue")
-    assert SnapshotTable(spark, f"{tmp_path}/out/total_revenue/by_key").read().first().value == 866
+    assert UpsertTable(spark, f"{tmp_path}/out/total_revenue/by_key", "key").read().first().value == 866
 
 
 def test_pricing_stream_follows_the_catalog(spark, tmp_path):
@@ -178,5 +189,5 @@ def test_replays_can_be_dropped(spark, tmp_path):
     sales = runners.without_replays(streams(spark, tmp_path)[0])
     for name in ("total_revenue", "revenue_per_minute"):
         runners.start_result(name, sales, None, f"{tmp_path}/once", every=None).awaitTermination()
-        table = SnapshotTable(spark, f"{tmp_path}/once/{name}/by_key").read()
+        table = UpsertTable(spark, f"{tmp_path}/once/{name}/by_key", "key").read()
         assert shape(name, table.collect()) == EXPECTED[name]

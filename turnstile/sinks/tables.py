@@ -1,4 +1,4 @@
-"""Result tables on shared storage: one complete parquet snapshot per version.
+"""Tables on shared storage, kept by version: whole snapshots, and upsert tables that write only what changed.
 
 The version is the micro-batch id. A batch reads the version before its own and writes its own, so a replayed batch
 gives the same table. Readers take the newest complete version. A query that starts anew over an old folder counts from
@@ -15,14 +15,14 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, keep: int = 5):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
-    def versions(self) -> list[int]:
+    def versions(self, kind: str = "v") -> list[int]:
         """Complete versions, oldest first."""
         folder, fs = hadoop_path(self.spark, self.path)
         if not fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        numbers = sorted(int(n[2:]) for n in names if n.startswith("v="))
-        return [n for n in numbers if fs.exists(hadoop_path(self.spark, f"{self.path}/v={n}/_SUCCESS")[0])]
+        numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+        return [n for n in numbers if fs.exists(hadoop_path(self.spark, f"{self.path}/{kind}={n}/_SUCCESS")[0])]
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """The newest version, or the newest one before version `before`; None if there is none."""
@@ -37,21 +37,49 @@ class SnapshotTable:
 
 
 class UpsertTable(SnapshotTable):
-    """A table keyed by `key`; each batch replaces the rows whose key it brings, by its last row per key."""
+    """A table with one row per value of `keys`; each batch replaces the rows whose keys it brings.
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: str = "pos", keep: int = 5):
+    A batch writes its own rows to `change=<version>`, whatever the size of the table. Every `fold_every` versions the
+    table is also written whole, to `v=<version>`; a reader takes the newest whole one and the changes after it, so
+    `fold_every` weighs writing against reading and has no effect on what is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *keys: str, keep: int = 5, fold_every: int = 20):
         super().__init__(spark, path, keep)
-        self.key, self.order = key, order
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        # One shuffle of (old rows + new rows), combined map-side; the batch is read once.
-        rows = batch.withColumn("_new", F.lit(1))
-        old = self.read(before=batch_id)
-        if old is not None:
-            rows = rows.unionByName(old.withColumn("_new", F.lit(0)))
-        columns = [c for c in batch.columns if c != self.key]
-        last = F.max_by(F.struct(*columns), F.struct("_new", self.order)).alias("r")
-        self.write(rows.groupBy(self.key).agg(last).select(self.key, "r.*").select(*batch.columns), batch_id)
+        self.keys, self.fold_every = keys, fold_every
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        snapshots, changes = ([v for v in self.versions(kind) if before is None or v < before] for kind in ("v", "change"))
+        whole = self.spark.read.parquet(f"{self.path}/v={snapshots[-1]}") if snapshots else None
+        later = [v for v in changes if not snapshots or v > snapshots[-1]]
+        if not later:
+            return whole
+        rows = self.spark.read.option("basePath", self.path).parquet(*(f"{self.path}/change={v}" for v in later))
+        columns = [c for c in rows.columns if c != "change"]
+        if whole is not None:
+            rows = rows.unionByName(whole.withColumn("change", F.lit(snapshots[-1])))
+        return self._last(rows, columns, "change")
+
+    def merge(self, batch: DataFrame, version: int, order: str | None = "pos") -> DataFrame:
+        """Write the batch's last row per key by `order` (None: it has one row per key). Returns the rows written."""
+        path = f"{self.path}/change={version}"
+        (self._last(batch, batch.columns, order) if order else batch).write.mode("overwrite").parquet(path)
+        for kind in ("v", "change"):
+            for ahead in [v for v in self.versions(kind) if v > version]:
+                delete(self.spark, f"{self.path}/{kind}={ahead}")
+        if (version + 1) % self.fold_every == 0:
+            delete(self.spark, f"{self.path}/v={version}")  # of an earlier attempt
+            self.read(before=version + 1).write.parquet(f"{self.path}/v={version}")
+        base = max((v for v in self.versions() if v <= version - self.keep), default=-1)
+        for kind, old in (("v", base - 1), ("change", base)):
+            for gone in [v for v in self.versions(kind) if v <= old]:
+                delete(self.spark, f"{self.path}/{kind}={gone}")
+        return self.spark.read.schema(batch.schema).parquet(path)
+
+    def _last(self, rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+        values = [c for c in columns if c not in self.keys]
+        last = F.max_by(F.struct(*values), order).alias("_last")
+        return rows.groupBy(*self.keys).agg(last).select(*self.keys, "_last.*").select(*columns)
 
 
 def hadoop_path(spark: SparkSession, path: str):

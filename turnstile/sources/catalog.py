@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from turnstile.plans.results import RESULTS
 from turnstile.schemas import CITIES, EVENTS
 from turnstile.session import scratch_path
-from turnstile.sinks.tables import SnapshotTable, delete
+from turnstile.sinks.tables import SnapshotTable, UpsertTable, delete
 
 # The catalog a new installation starts with.
 SEED_CITIES = ["Aveiro", "Porto", "Lisboa", "Coimbra", "Braga"]
@@ -48,7 +48,7 @@ def read_result(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The stored table of result `name` under `root`: `id, eventName, value`, ordered by id."""
     if name not in RESULTS:
         raise ValueError(f"could not read table {name}: known results are {', '.join(RESULTS)}")
-    table = SnapshotTable(spark, f"{root}/{name}/by_id").read()
+    table = UpsertTable(spark, f"{root}/{name}/by_id", "id").read()
     if table is None:
         raise ValueError(f"could not read table {name}: confirm that its sink has already written it")
     return table.select("id", "eventName", "value").orderBy("id")

@@ -1,8 +1,9 @@
 """The high-water results over a stream.
 
-Each micro-batch is solved by the batch operator, the totals so far entering as one cell per member. Totals, bests and
-event names are snapshot tables whose version is the batch id: a replayed batch starts from the version before its own.
-Batches must arrive in order; inside a batch any order will do.
+Each micro-batch is solved by the batch operator, the totals so far of the batch's members entering as one cell each.
+Totals, bests and event names are upsert tables whose version is the batch id: a replayed batch starts from the version
+before its own, and a batch writes the members and scopes it touched. Batches must arrive in order; inside a batch any
+order will do.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from turnstile.constants import HIGHEST_PROFIT_KEY
 from turnstile.functions.order import ARRIVAL
 from turnstile.operators import highwater as H
 from turnstile.operators.folds import fold
-from turnstile.session import scratch_scope
-from turnstile.sinks.tables import SnapshotTable
+from turnstile.session import materialise, scratch_scope
+from turnstile.sinks.tables import UpsertTable
 
 
 def high_water_step(name: str, sales: DataFrame, expenses: DataFrame | None, path: str,
@@ -28,28 +30,37 @@ def high_water_step(name: str, sales: DataFrame, expenses: DataFrame | None, pat
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        totals, bests, names = (SnapshotTable(spark, f"{path}/{t}") for t in ("totals", "bests", "names"))
-        known = bests.read(before=batch_id)
+        totals, bests, names = (UpsertTable(spark, f"{path}/{t}", *keys) for t, keys in (
+            ("totals", stream.by), ("bests", ["scope"]), ("names", ["member"])))
+        known, old = bests.read(before=batch_id), totals.read(before=batch_id)
         with scratch_scope(spark):
-            contest = replace(stream, entries=batch)
-            cells = H.shortlist(contest, H.with_carry(H.fold_cells(contest), totals.read(before=batch_id)),
-                                keep_last=True)
-            bests.write(H.best_of(contest, cells, known), batch_id)
-            totals.write(H.carry(contest, cells), batch_id)
-        best = bests.read(before=batch_id + 1)
-        changed = H.in_doubles(best if known is None else _changed(best, known))
-        if profit:
-            names.write(_names(batch, names.read(before=batch_id)), batch_id)
-            rows_out = spark.sql(f"""select b.scope as key, '{HIGHEST_PROFIT_KEY}' as id, n.name as eventName, b.value,
-                                            b.pos from {{best}} b join {{names}} n on b.member = n.member""",
-                                 best=changed, names=names.read(before=batch_id + 1))
-        else:
-            rows_out = changed.selectExpr("scope as key", "scope as id", "member as eventName", "value", "pos")
-        sink(rows_out, batch_id)
+            contest = replace(stream, entries=materialise(batch, "entries"))  # decoded once, read several times
+            if old is not None:
+                old = _touched(contest, old, contest.matches("t"))
+            if known is not None and contest.scope:
+                known = _touched(contest, known, "e.scope <=> t.scope")
+            cells = H.shortlist(contest, H.with_carry(H.fold_cells(contest), old), keep_last=True)
+            best = H.best_of(contest, cells, known)
+            changed = H.in_doubles(bests.merge(best if known is None else _changed(best, known), batch_id, order=None))
+            totals.merge(H.carry(contest, cells), batch_id, order=None)
+            if profit:
+                named = _names(contest.entries, names.read(before=batch_id))
+                names.merge(named, batch_id, order=None)
+                rows = _profit_rows(contest, changed, names.read(before=batch_id + 1),
+                                    old, None if known is None or known.isEmpty() else H.in_doubles(known), cells)
+            else:
+                rows = changed.selectExpr("scope as key", "scope as id", "member as eventName", "value", "pos")
+            sink(rows, batch_id)
 
     return stream.entries, step
 
 
+def _touched(contest: H.Contest, table: DataFrame, same: str) -> DataFrame:
+    """The rows of a table kept so far that entries of this batch belong to."""
+    return table.sparkSession.sql(f"select t.* from {{table}} t left semi join {{entries}} e on {same}",
+                                  table=table, entries=contest.entries)
+
+
 def _changed(best: DataFrame, known: DataFrame) -> DataFrame:
     """Scopes whose best was reached in this batch."""
     return best.sparkSession.sql("""select b.* from {best} b left anti join {known} k
@@ -57,9 +68,44 @@ def _changed(best: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _names(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-    """The name of each event, from its first sale ever."""
+    """The (id, name) of each event that has its first sale ever in this batch."""
     first = {"first": ("min", ARRIVAL)}
-    new = fold(batch.where("is_sale"), "member", first, "first").select("member", "name")
-    if old is None:
-        return new
-    return new.join(old, "member", "left_anti").union(old)
+    new = fold(batch.where("is_sale"), "member", first, "first").select("member", "id", "name")
+    return new if old is None else new.join(old, "member", "left_anti")
+
+
+def _profit_rows(contest: H.Contest, changed: DataFrame, names: DataFrame, old: DataFrame | None, known: DataFrame | None,
+                 cells: DataFrame) -> DataFrame:
+    """Updates of the highest profit. The very first one passes under its event's own id, later ones under the constant id.
+
+    A batch with any profit shows the best so far, also if it is not a new one. The first update gets the arrival before its own: the
+    batch's best may have the same, and comes after it.
+    """
+    best = (changed if known is None else changed.union(known.select(changed.columns))).orderBy(F.desc("value"), "pos").limit(1)
+    run = changed.sparkSession.sql
+    shown = f"""select b.scope as key, '{HIGHEST_PROFIT_KEY}' as id, n.name as eventName, b.value, b.pos
+                from {{best}} b join {{names}} n on b.member = n.member
+                where exists (select 1 from {{cells}} where live)"""
+    if known is not None:
+        return run(shown, best=best, names=names, cells=cells)
+    carried = (old if old is not None else changed.sparkSession.createDataFrame(
+        [], "member string, total decimal(38,6), first_sale decimal(38,0), first_expense decimal(38,0)"))
+    first = materialise(run(f"""
+        with entries as (select *, {ARRIVAL} as pos from {{entries}}),
+        sides as (
+          select member, min(first_sale) as sale, min(first_expense) as expense, max(last) as last from (
+            select member, min(if(is_sale, pos, null)) as first_sale, min(if(is_sale, null, pos)) as first_expense, max(pos) as last
+            from entries group by member
+            union all select member, first_sale, first_expense, null from {{carried}}) group by member),
+        earliest as (
+          select min_by(member, greatest(sale, expense)) as member, min(greatest(sale, expense)) as start,
+                 count(*) > 1 or max(last > greatest(sale, expense)) as more
+          from sides where sale is not null and expense is not null group by '{HIGHEST_PROFIT_KEY}')
+        select f.member, f.start, any_value(f.more) as more, cast(sum(e.delta) as double) as value from (
+          select member, pos, delta from entries union all select member, cast(0 as decimal(38,0)), total from {{carried}}) e
+        join (select /*+ broadcast */ * from earliest) f on e.member = f.member and e.pos <= f.start group by f.member, f.start""",
+                            entries=contest.entries, carried=carried), "first")
+    return run(f"""
+        select '{HIGHEST_PROFIT_KEY}' as key, n.id, n.name as eventName, f.value, cast(f.start - 1 as decimal(38,0)) as pos
+        from {{first}} f join {{names}} n on f.member = n.member
+        union all {shown} and exists (select 1 from {{first}} where more)""", first=first, best=best, names=names, cells=cells)

@@ -340,5 +340,5 @@ def all_sql() -> dict[str, str]:
     # Event ids of the plain views hold no bar, so there the strict key changes nothing.
     city = {"city_highest_sales_barred": _with(VIEWS, _BARRED),
             "city_sales_per_event": _with(VIEWS, _CITY_SALES), "city_highest_sales_strict": _with(VIEWS, _BEST_CITY)}
-    streams = {f"stream_{name}": sql for name, sql in results().items()}
+    streams = {f"stream_{name}": sql for name, sql in {**results(), **table_views()}.items()}
     return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **streams}

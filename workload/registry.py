@@ -45,6 +45,16 @@ def _stream(name: str) -> Query:
     return lambda spark, sf: streams.run(spark, sf, name)
 
 
+#: Result tables kept by streams, by the name of the batch view they must equal.
+STREAMED_TABLES = {"average_sale_table": "average_sale_per_event", "revenue_last_minute": "revenue_per_minute",
+                   "expenses_last_minute": "expenses_per_minute", "profit_last_minute": "profit_per_minute",
+                   "highest_profit_table": "highest_profit_event"}
+
+
+def _streamed_table(name: str) -> Query:
+    return lambda spark, sf: streams.run(spark, sf, name, by="id").select("id", "eventName", "value")
+
+
 def _shown(query: Query, places: int = 3, nudge: float = 0.0) -> Query:
     """Values rounded for comparison (sums of doubles depend on their order), arrival numbers left out.
 
@@ -146,4 +156,6 @@ def all_queries() -> dict[str, Query]:
     out["result_report"] = lambda s, d: report.result_report(_profit(s, d))
     out["read_result"] = _shown(_read_result)
     out.update({f"stream_{name}": _result(name, _stream) for name in R.RESULTS})
+    for shown, name in STREAMED_TABLES.items():
+        out[f"stream_{shown}"] = _result(name, _streamed_table)
     return out

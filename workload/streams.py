@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.session import scratch_path
-from turnstile.sinks.tables import SnapshotTable
+from turnstile.sinks.tables import UpsertTable
 from turnstile.sources import topics
 from turnstile.sources.decode import decode_expenses, decode_sales, good
 from turnstile.streaming.runners import start_result
@@ -34,8 +34,8 @@ def publish(spark: SparkSession, sf_dir: str) -> str:
     return _published[known]
 
 
-def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Run result `name` as a stream to the end of the topics; the table it kept, by key."""
+def run(spark: SparkSession, sf_dir: str, name: str, by: str = "key") -> DataFrame:
+    """Run result `name` as a stream to the end of the topics; the table it kept, by key or by id."""
     root = publish(spark, sf_dir)
     files = spark.sparkContext.defaultParallelism
     sales = good(decode_sales(topics.stream_files(spark, f"{root}/sales", files_per_batch=files)))
@@ -45,7 +45,7 @@ def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     usual = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", min(int(usual), files))
     try:
-        start_result(name, sales, expenses, out, sinks=("by_key",), every=None).awaitTermination()
+        start_result(name, sales, expenses, out, sinks=(f"by_{by}",), every=None).awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
-    return SnapshotTable(spark, f"{out}/{name}/by_key").read()
+    return UpsertTable(spark, f"{out}/{name}/by_{by}", by).read()
