@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.hand import EXPECTED, EXPENSE_ROWS, SALE_ROWS, at, frames, shape
 from tests.test_highwater import brute_city, brute_profit, order, records
+from turnstile.constants import LATENESS
 from turnstile.plans.results import RESULTS
 from turnstile.plans.tables import highest_profit_table
 from turnstile.sinks.envelope import from_records
@@ -191,3 +192,25 @@ def test_replays_can_be_dropped(spark, tmp_path):
         runners.start_result(name, sales, None, f"{tmp_path}/once", every=None).awaitTermination()
         table = UpsertTable(spark, f"{tmp_path}/once/{name}/by_key", "key").read()
         assert shape(name, table.collect()) == EXPECTED[name]
+
+
+def test_replays_guarded_within_a_time_or_for_ever(spark, tmp_path):
+    """A sale three days late counts in a total, unless ids are remembered for a time only."""
+    day = datetime(2026, 1, 5, tzinfo=timezone.utc)
+    sale = lambda seq, ts: ("E1", ts, seq, f"S{seq}", "E1", "n", "c", "c", "t", 1.0, 1)
+    for rows in ([sale(1, day)], [sale(2, day)], [sale(3, day - timedelta(days=3)), sale(2, day)]):
+        publish(spark, tmp_path, rows, [])
+        for within, kept in ((None, "all"), (LATENESS, "timely")):
+            sales = runners.without_replays(streams(spark, tmp_path)[0], within=within)
+            runners.start_result("total_revenue", sales, None, f"{tmp_path}/{kept}", ("by_key",), every=None).awaitTermination()
+    totals = [UpsertTable(spark, f"{tmp_path}/{kept}/total_revenue/by_key", "key").read().first().value for kept in ("all", "timely")]
+    assert totals == [3.0, 2.0]
+
+
+def test_sinks_may_be_functions(spark, tmp_path, monkeypatch):
+    publish(spark, tmp_path, SALE_ROWS, EXPENSE_ROWS)
+    called = []
+    monkeypatch.setattr(runners, "upsert_jdbc", lambda rows, *args, staging: called.append((rows.count(), *args, staging)))
+    sinks = (runners.jdbc_sink("jdbc:x", "u", "p", "t"), lambda rows, batch_id: called.append((rows.first().value, batch_id)))
+    run(spark, tmp_path, "total_revenue", sinks)
+    assert called == [(1, "jdbc:x", "u", "p", "t", "t_staging_0"), (866.0, 0)]

@@ -5,12 +5,17 @@ Requests carry a unique whole number `seq`, their order. The first valid request
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.constants import CITY_NAME_LIMIT, EVENT_LIMITS
 from turnstile.functions.scalars import is_blank, to_number
 from turnstile.session import materialise
+from turnstile.sinks.tables import UpsertTable
+
+Append = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 _TRIMMED = "".join(map(chr, range(0x21)))  # control characters and the space
 
@@ -39,6 +44,16 @@ def append_cities(existing: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     return _number(accepted, existing).select("seq", "city_id", "city_name"), rejected
 
 
+def store(table: UpsertTable, requests: DataFrame, append: Append) -> tuple[DataFrame, DataFrame]:
+    """Judge requests against the stored catalog by `append`, and store what it accepts. Returns (accepted, rejected).
+
+    The next call sees the rows stored by this one. One writer at a time: two that judge against the same rows may accept the same key.
+    """
+    accepted, rejected = (materialise(rows, label) for rows, label in zip(append(table.read(), requests), ("accepted", "rejected"), strict=True))
+    table.merge(accepted.drop("seq"), max(table.versions("change") + table.versions()) + 1, order=None)
+    return accepted, rejected
+
+
 def _judge(existing: DataFrame, requests: DataFrame, checks: list[tuple[Column, str]],
            key: str) -> tuple[DataFrame, DataFrame]:
     reason = F.lit(None).cast("string")

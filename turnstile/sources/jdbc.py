@@ -35,15 +35,17 @@ def upsert_statement(table: str, staging: str) -> str:
             f'on conflict (id) do update set "eventName" = excluded."eventName", value = excluded.value')
 
 
-def upsert_jdbc(rows: DataFrame, url: str, user: str, password: str, table: str) -> None:
-    """Last row per id into `table`: written to a staging table in parallel, merged by one statement."""
-    staging = f"{table}_staging"
+def upsert_jdbc(rows: DataFrame, url: str, user: str, password: str, table: str, staging: str | None = None) -> None:
+    """Last row per id into `table`: written to a staging table in parallel, merged and removed in one transaction."""
+    staging = staging or f"{table}_staging"
     last = rows.groupBy("id").agg(F.max_by(F.struct("eventName", "value"), "pos").alias("r")).select("id", "r.*")
     last.write.format("jdbc").mode("overwrite").options(**jdbc_options(url, user, password, table=staging)).save()
     connection = rows.sparkSession._jvm.java.sql.DriverManager.getConnection(url, user, password)
     try:
+        connection.setAutoCommit(False)
         statement = connection.createStatement()
-        statement.execute(create_statement(table))
-        statement.execute(upsert_statement(table, staging))
+        for text in (create_statement(table), upsert_statement(table, staging), f'drop table "{staging}"'):
+            statement.execute(text)
+        connection.commit()
     finally:
         connection.close()

@@ -16,7 +16,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from turnstile.constants import LATENESS
 from turnstile.operators.lookup import name_expenses, price_sales
 from turnstile.plans.results import RESULTS, compute
 from turnstile.session import materialise, scratch_scope
@@ -24,6 +23,7 @@ from turnstile.sinks.envelope import to_records
 from turnstile.sinks.tables import UpsertTable
 from turnstile.sources.catalog import RefreshingCatalog
 from turnstile.sources.decode import quarantine
+from turnstile.sources.jdbc import upsert_jdbc
 from turnstile.streaming.highwater import high_water_step
 
 FLUSH = "30 seconds"
@@ -33,8 +33,11 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def start_result(name: str, sales: DataFrame | None, expenses: DataFrame | None, root: str,
-                 sinks: tuple[str, ...] = SINKS, every: str | None = FLUSH) -> StreamingQuery:
-    """Start result `name` over decoded streams. `every=None` processes what is there and ends."""
+                 sinks: tuple[str | Sink, ...] = SINKS, every: str | None = FLUSH) -> StreamingQuery:
+    """Start result `name` over decoded streams. `every=None` processes what is there and ends.
+
+    `sinks` are names out of SINKS, or functions of (updates, batch id) such as `kafka_sink` and `jdbc_sink`.
+    """
     sink = result_sink(f"{root}/{name}", sinks)
     if RESULTS[name].high_water:
         rows, step = high_water_step(name, sales, expenses, f"{root}/{name}", sink)
@@ -45,11 +48,12 @@ def start_result(name: str, sales: DataFrame | None, expenses: DataFrame | None,
 
 
 def start_all(sales: DataFrame, expenses: DataFrame, root: str, every: str | None = FLUSH,
-              sinks: tuple[str, ...] = SINKS) -> list[StreamingQuery]:
-    return [start_result(name, sales, expenses, root, sinks, every) for name in RESULTS]
+              sinks: tuple[str | Sink, ...] = SINKS, more: Callable[[str], Sink] | None = None) -> list[StreamingQuery]:
+    """All results. `more` makes a further sink from a result's name, e.g. a topic or database table of its own."""
+    return [start_result(name, sales, expenses, root, (*sinks, more(name)) if more else sinks, every) for name in RESULTS]
 
 
-def result_sink(path: str, sinks: tuple[str, ...] = SINKS) -> Sink:
+def result_sink(path: str, sinks: tuple[str | Sink, ...] = SINKS) -> Sink:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch_scope(spark):
@@ -60,6 +64,9 @@ def result_sink(path: str, sinks: tuple[str, ...] = SINKS) -> Sink:
             for column in ("key", "id"):
                 if f"by_{column}" in sinks:
                     UpsertTable(spark, f"{path}/by_{column}", column).merge(rows, batch_id)
+            for sink in sinks:
+                if callable(sink):
+                    sink(rows, batch_id)
 
     return write
 
@@ -72,6 +79,14 @@ def kafka_sink(servers: str, topic: str) -> Sink:
     return write
 
 
+def jdbc_sink(url: str, user: str, password: str, table: str) -> Sink:
+    """The current row of every id in a database table. Each batch has its own staging table and one transaction."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_jdbc(batch, url, user, password, table, staging=f"{table}_staging_{batch_id}")
+
+    return write
+
+
 def start_quarantine(decoded: DataFrame, root: str, every: str | None = FLUSH) -> StreamingQuery:
     """Append the records no result can use to `<root>/rows`."""
     writer = quarantine(decoded).writeStream.format("parquet").option("path", f"{root}/rows")
@@ -89,9 +104,15 @@ def start_pricing(raw: DataFrame, catalog: RefreshingCatalog, root: str, sink: S
     return _start(raw.writeStream.foreachBatch(step), f"{root}/checkpoint", every)
 
 
-def without_replays(sales: DataFrame, ident: str = "sale_id") -> DataFrame:
-    """Drop records sent twice, by their own id, within the lateness the windows allow."""
-    return sales.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark([ident])
+def without_replays(sales: DataFrame, ident: str = "sale_id", within: str | None = None) -> DataFrame:
+    """Drop records sent twice, by their own id.
+
+    Every id is remembered, and no record goes for being late. With `within` (a time such as LATENESS), ids are remembered so long only;
+    that also drops every record later than this, from the results without windows too.
+    """
+    if within is None:
+        return sales.dropDuplicates([ident])
+    return sales.withWatermark("ts", within).dropDuplicatesWithinWatermark([ident])
 
 
 def _start(writer, checkpoint: str, every: str | None) -> StreamingQuery:

@@ -306,6 +306,10 @@ def catalog() -> dict[str, str]:
         "append_cities": f"""with {CITY_REQUESTS} select seq,
             cast((select max(n_nationkey) from nation) + row_number() over (order by seq) as integer) as city_id,
             city_name from judged where reason is null""",
+        "append_cities_twice": f"""with {CITY_REQUESTS.replace("order by seq", "order by seq % 2 = 0, seq")} select cast(
+            (select max(n_nationkey) from nation) + row_number() over (order by seq % 2 = 0, seq) as integer) as city_id,
+            city_name from judged where reason is null
+            union all select cast(n_nationkey as integer), n_name from nation""",
         "append_trimmed": f"""with {CITY_REQUESTS} select seq,
             cast((select max(n_nationkey) from nation) + row_number() over (order by seq) as integer) as city_id,
             city_name from judged where reason is null""",
@@ -327,6 +331,8 @@ def records() -> dict[str, str]:
             where reason is null"""),
         "quarantine_sales": _with(VIEWS + TOPIC, """ select key, ts, seq * 2 as seq, reason from altered
             where reason is not null"""),
+        "quarantine_untimed": _with(VIEWS, """ select key, case when seq % 16 = 1 then timestamp '1969-12-31 23:59:59' end as ts,
+            seq * 2 as seq, 'bad timestamp' as reason from sales where seq % 16 < 2"""),
         "decode_expenses": _with(VIEWS, """ select key, ts, seq * 2 + 1 as seq, expense_id, event_id, event_name,
             expense_type, cost from expenses"""),
         "result_envelope": profit,
@@ -341,4 +347,5 @@ def all_sql() -> dict[str, str]:
     city = {"city_highest_sales_barred": _with(VIEWS, _BARRED),
             "city_sales_per_event": _with(VIEWS, _CITY_SALES), "city_highest_sales_strict": _with(VIEWS, _BEST_CITY)}
     streams = {f"stream_{name}": sql for name, sql in {**results(), **table_views()}.items()}
+    streams["stream_total_revenue_replayed"] = results()["total_revenue"]
     return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **streams}

@@ -115,6 +115,15 @@ def _appended(kind: str, which: int) -> Query:
     return query
 
 
+def _stored_cities(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches of requests, the second judged against what the first left; the catalog in the end."""
+    stored = UpsertTable(spark, scratch_path(spark, "cities"), "city_name")
+    stored.merge(views.city_catalog(spark, sf), 0, order=None)
+    for odd in (1, 0):
+        append.store(stored, views.city_requests(spark, sf).where(f"seq % 2 = {odd}"), append.append_cities)
+    return stored.read()
+
+
 def _trimmed(spark: SparkSession, sf: str) -> DataFrame:
     padded = views.city_requests(spark, sf).withColumn("city_name", F.expr("concat('\\t ', city_name, if(seq % 2 = 0, '\\n', ' \\r'))"))
     return append.append_cities(views.city_catalog(spark, sf), append.trimmed(padded))[0]
@@ -138,6 +147,7 @@ def all_queries() -> dict[str, Query]:
         out[f"bulk_{name}"] = _result(name, _bulk, 4)
     out["bulk_city_sales_per_event"] = _shown(lambda s, d: R.city_sales_per_event(views.bulk_sales(s, d)), 4)
     out["bulk_highest_profit_table"] = _shown(_bulk_highest_profit_table, 4)
+    out["append_cities_twice"] = _shown(_stored_cities)
     out["append_trimmed"] = _shown(_trimmed)
     out["city_list"] = _shown(lambda s, d: catalog.list_cities(views.city_catalog(s, d)))
     out["catalog_list"] = _shown(lambda s, d: catalog.list_events(views.event_catalog(s, d)))
@@ -151,6 +161,8 @@ def all_queries() -> dict[str, Query]:
     out["decode_sales"] = _shown(lambda s, d: decode.good(decode.decode_sales(views.sales_topic(s, d))))
     out["quarantine_sales"] = _shown(
         lambda s, d: decode.quarantine(decode.decode_sales(views.sales_topic(s, d))).drop("value"))
+    out["quarantine_untimed"] = _shown(
+        lambda s, d: decode.quarantine(decode.decode_sales(views.untimed_topic(s, d))).drop("value"))
     out["decode_expenses"] = _shown(_decoded_expenses)
     out["result_envelope"] = lambda s, d: from_records(to_records(_profit(s, d)))
     out["result_report"] = lambda s, d: report.result_report(_profit(s, d))
@@ -158,4 +170,5 @@ def all_queries() -> dict[str, Query]:
     out.update({f"stream_{name}": _result(name, _stream) for name in R.RESULTS})
     for shown, name in STREAMED_TABLES.items():
         out[f"stream_{shown}"] = _result(name, _streamed_table)
+    out["stream_total_revenue_replayed"] = _result("total_revenue", lambda name: lambda s, d: streams.run(s, d, name, replayed=True))
     return out

@@ -9,7 +9,7 @@ from turnstile.session import scratch_path
 from turnstile.sinks.tables import UpsertTable
 from turnstile.sources import topics
 from turnstile.sources.decode import decode_expenses, decode_sales, good
-from turnstile.streaming.runners import start_result
+from turnstile.streaming.runners import start_result, without_replays
 from workload import views
 
 CHUNKS = 3
@@ -34,12 +34,18 @@ def publish(spark: SparkSession, sf_dir: str) -> str:
     return _published[known]
 
 
-def run(spark: SparkSession, sf_dir: str, name: str, by: str = "key") -> DataFrame:
-    """Run result `name` as a stream to the end of the topics; the table it kept, by key or by id."""
+def run(spark: SparkSession, sf_dir: str, name: str, by: str = "key", replayed: bool = False) -> DataFrame:
+    """Run result `name` as a stream to the end of the topics; the table it kept, by key or by id.
+
+    `replayed`: every sale arrives twice.
+    """
     root = publish(spark, sf_dir)
     files = spark.sparkContext.defaultParallelism
     sales = good(decode_sales(topics.stream_files(spark, f"{root}/sales", files_per_batch=files)))
     expenses = good(decode_expenses(topics.stream_files(spark, f"{root}/expenses", files_per_batch=files)))
+    if replayed:
+        again = good(decode_sales(topics.stream_files(spark, f"{root}/sales", files_per_batch=files)))
+        sales = without_replays(sales.unionAll(again))
     out = scratch_path(spark, "streams")
     # State partitions are fixed when a query first starts: one per core is plenty, more only cost commits.
     usual = spark.conf.get("spark.sql.shuffle.partitions")

@@ -122,6 +122,13 @@ def sales_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(records, "topic")
 
 
+def untimed_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ticket_sales` as a topic; some records have no time, or one before 1970."""
+    kind = F.col("offset") % 16
+    moved = F.when(kind == 1, F.lit("1969-12-31 23:59:59").cast("timestamp")).when(kind != 0, F.col("timestamp"))
+    return topics.encode_sales(ticket_sales(spark, sf_dir), partitions=1).withColumn("timestamp", moved)
+
+
 def city_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for new cities: some blank, some too long, some known, some asked for twice."""
     n = F.col("c_custkey")
