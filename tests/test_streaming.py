@@ -16,6 +16,7 @@ from turnstile.sources import topics
 from turnstile.sources.catalog import RefreshingCatalog, read_result, seed_events
 from turnstile.sources.decode import decode_expenses, decode_sales, good
 from turnstile.streaming import runners
+from turnstile.streaming.families import FAMILIES
 
 WINDOWED = [n for n in RESULTS if n.endswith("per_minute")]
 
@@ -45,10 +46,14 @@ def chunks(sales, expenses, cuts):
 
 def test_streams_equal_the_hand_case(spark, tmp_path):
     """All results at once, in three chunks; the queries stop and resume from their checkpoints after each."""
+    updates: dict[str, list[int]] = {}
     for sales, expenses in chunks(SALE_ROWS, EXPENSE_ROWS, (3, 6)):
         publish(spark, tmp_path, sales, expenses)
-        for query in runners.start_all(*streams(spark, tmp_path), f"{tmp_path}/out", every=None, sinks=("by_key",)):
+        queries = runners.start_all(*streams(spark, tmp_path), f"{tmp_path}/out", every=None, sinks=("by_key",),
+                                    more=lambda name: lambda rows, _: updates.setdefault(name, []).append(rows.count()))
+        for query in queries:
             query.awaitTermination()
+    assert len(queries) == 7 and set(updates) == set(RESULTS)
     for name in RESULTS:
         table = UpsertTable(spark, f"{tmp_path}/out/{name}/by_key", "key").read()
         assert shape(name, table.collect()) == pytest.approx(EXPECTED[name]), name
@@ -214,3 +219,20 @@ def test_sinks_may_be_functions(spark, tmp_path, monkeypatch):
     sinks = (runners.jdbc_sink("jdbc:x", "u", "p", "t"), lambda rows, batch_id: called.append((rows.first().value, batch_id)))
     run(spark, tmp_path, "total_revenue", sinks)
     assert called == [(1, "jdbc:x", "u", "p", "t", "t_staging_0"), (866.0, 0)]
+
+
+def test_a_shared_query_shows_what_queries_of_their_own_show(spark, tmp_path):
+    names = [name for family in FAMILIES.values() for name in family]
+    own, shared = {}, {}
+    keep = lambda into, name: lambda rows, _: into.setdefault(name, []).append(sorted(map(str, rows.collect())))
+    for sales, expenses in chunks(SALE_ROWS, EXPENSE_ROWS, (2, 5)):
+        publish(spark, tmp_path, sales, expenses)
+        for name in names:
+            inputs = [s if kind in RESULTS[name].inputs else None
+                      for kind, s in zip(("sales", "expenses"), streams(spark, tmp_path), strict=True)]
+            runners.start_result(name, *inputs, f"{tmp_path}/own", (keep(own, name),), every=None).awaitTermination()
+        for family in FAMILIES:
+            runners.start_family(family, *streams(spark, tmp_path), f"{tmp_path}/shared", lambda name: (keep(shared, name),),
+                                 every=None).awaitTermination()
+    assert {name: [rows for rows in batches if rows] for name, batches in shared.items()} == {
+        name: [rows for rows in batches if rows] for name, batches in own.items()}

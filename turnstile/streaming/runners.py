@@ -1,4 +1,4 @@
-"""Streaming queries: one per result, each with its checkpoint and its sinks under one folder.
+"""Streaming queries: one per result or family of results, each with its checkpoint and its sinks under one folder.
 
     <root>/<result>/checkpoint      progress and state of the query
     <root>/<result>/changes/b=<n>   every update as `key, value` (JSON) records, as an output topic holds them
@@ -24,6 +24,7 @@ from turnstile.sinks.tables import UpsertTable
 from turnstile.sources.catalog import RefreshingCatalog
 from turnstile.sources.decode import quarantine
 from turnstile.sources.jdbc import upsert_jdbc
+from turnstile.streaming.families import FAMILIES, family_rows, view
 from turnstile.streaming.highwater import high_water_step
 
 FLUSH = "30 seconds"
@@ -49,8 +50,28 @@ def start_result(name: str, sales: DataFrame | None, expenses: DataFrame | None,
 
 def start_all(sales: DataFrame, expenses: DataFrame, root: str, every: str | None = FLUSH,
               sinks: tuple[str | Sink, ...] = SINKS, more: Callable[[str], Sink] | None = None) -> list[StreamingQuery]:
-    """All results. `more` makes a further sink from a result's name, e.g. a topic or database table of its own."""
-    return [start_result(name, sales, expenses, root, (*sinks, more(name)) if more else sinks, every) for name in RESULTS]
+    """All results, by seven queries. `more` makes a further sink from a result's name, e.g. a topic or database table of its own."""
+    def of(name: str) -> tuple[str | Sink, ...]:
+        return (*sinks, more(name)) if more else sinks
+
+    shared = [start_family(family, sales, expenses, root, of, every) for family in FAMILIES]
+    alone = [name for name in RESULTS if not any(name in names for names in FAMILIES.values())]
+    return shared + [start_result(name, sales, expenses, root, of(name), every) for name in alone]
+
+
+def start_family(family: str, sales: DataFrame, expenses: DataFrame, root: str, sinks: Callable[[str], tuple[str | Sink, ...]],
+                 every: str | None = FLUSH) -> StreamingQuery:
+    """All results of a family by one query; `sinks` gives those of each result. Its checkpoint is `<root>/<family>/checkpoint`."""
+    writers = {name: result_sink(f"{root}/{name}", sinks(name)) for name in FAMILIES[family]}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):
+            rows = materialise(batch, "family")  # the state is computed once
+            for name, write in writers.items():
+                write(view(name, rows), batch_id)
+
+    writer = family_rows(family, sales, expenses).writeStream.outputMode("update").foreachBatch(step)
+    return _start(writer, f"{root}/{family}/checkpoint", every)
 
 
 def result_sink(path: str, sinks: tuple[str | Sink, ...] = SINKS) -> Sink:
