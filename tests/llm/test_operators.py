@@ -375,6 +375,20 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs.where("false"), labels).count() == 0
 
 
+def test_quality_rules_judge_alike_at_every_size(spark):
+    rng = random.Random(18)
+    junk = [f"buy{k}" for k in range(40)]
+    rows = []
+    for i in range(800):  # every fourth is low quality, every third has a label; the first 80 are the small table
+        text = words(rng, 120, 500).split(" ")
+        rows.append((i, " ".join(rng.choice(junk) if i % 4 == 0 and rng.random() < 0.4 else w for w in text)))
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 800, 3)], "doc_id long, quality int, toxic int")
+    verdicts = [{r.doc_id: r.kept for r in quality_rules.judge(frame(spark, rows[:n]), labels.where(f"doc_id < {n}")).collect()} for n in (80, 800)]
+    for got in verdicts:
+        assert got == {i: i % 4 != 0 for i in got}, Counter((i % 4 != 0, i % 3 == 0, k) for i, k in got.items())
+    assert all(verdicts[1][i] == k for i, k in verdicts[0].items())
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 

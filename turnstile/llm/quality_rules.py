@@ -1,12 +1,17 @@
 """Quality rules, in built-in functions only: base counts, and a hashed n-gram log-likelihood ratio of each document.
 
-Two multinomials over BUCKETS hashed n-grams (words and pairs of words, as they stand) are counted over all rows: one of the trusted
-target, the documents whose label says good, and one of the raw corpus, all documents. A bucket weighs log(p_target / p_raw), smoothed by
-SMOOTHING counts and rounded to whole units of 1 / UNIT, so that sums do not depend on their order. A document's score is the mean weight
-of its n-grams, and it is kept if that is at least THRESHOLD. The same rule holds for every document; nothing is sampled.
+n-grams (words and pairs of words, as they stand) are told by a 64-bit hash, so their table grows with the corpus. Each is counted over all
+rows: in the raw corpus, all documents, and in the trusted target, the documents whose label says good. For a document, its own n-grams are
+taken out of both counts, so that labelled and unlabelled ones are judged alike. With e the count that the target would have if it were
+drawn from the raw corpus, an n-gram weighs log((target + SMOOTHING) / (e + SMOOTHING)), rounded to whole units of 1 / UNIT, so that sums do
+not depend on their order. One that no other document holds weighs 0, and a larger corpus brings the weights nearer to the true ratio. A
+document's score is the mean weight of its n-grams.
 
-The counts meet as partial sums of at most BUCKETS rows a task. The weights are one array of BUCKETS numbers, a bound that does not
-depend on the data. Only the documents' own columns are scanned, and the join that marks trusted documents is the only shuffle of texts.
+The cut comes from the scores of all documents that pass the base rules: it is the middle between the mean of the trusted ones and the mean of
+those labelled as not good. If none is, or those score no lower, it is SPREAD standard deviations below the trusted mean. Nothing is sampled.
+
+Scoring joins the (text, n-gram) counts with the table of n-grams, and sums by text: a common n-gram is a hot key of the join on the
+side of the texts only, which Spark may split. Texts are told by a 64-bit hash as well; copies share their sums, by which a mean does not change.
 
 Nulls: a null text counts like one without words. Such a text fails the base rules. Rows that repeat a doc_id are judged as rows; labels
 that repeat count once, as good if any says so. With no trusted document no ratio can be taken, all weights are 0 and the base rules
@@ -21,18 +26,23 @@ from pyspark.sql import functions as F
 from turnstile.llm.common import prepare
 from turnstile.session import materialise
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16  # by which the tests' brute-force scores tell n-grams; the operator itself has no buckets
 SMOOTHING = 1.0
 UNIT = 10_000
-THRESHOLD = -0.1  # of the mean weight, in natural logarithms
+SPREAD = 3  # standard deviations below the trusted mean, where no lower class is labelled
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of the words
 
 _SPACE = "\\\\x20\\\\x09-\\\\x0D"
 _WORDS = f"filter(split(coalesce(text, ''), '[{_SPACE}]+'), w -> w <> '')"
-_GRAMS = (f"transform(concat(_hashes, zip_with(slice(_hashes, 1, greatest(size(_hashes) - 1, 0)), slice(_hashes, 2, greatest(size(_hashes) - 1, 0)), "
-          f"(a, b) -> xxhash64(a, b))), h -> cast(pmod(h, {BUCKETS}) as int))")
+_GRAMS = ("concat(_hashes, zip_with(slice(_hashes, 1, greatest(size(_hashes) - 1, 0)), slice(_hashes, 2, greatest(size(_hashes) - 1, 0)), "
+          "(a, b) -> xxhash64(a, b)))")
+#: Places at which another n-gram begins, among sorted ones, and the end.
+_STARTS = "concat(filter(sequence(0, size(_grams) - 1), i -> i = 0 or _grams[i] <> _grams[greatest(i - 1, 0)]), array(size(_grams)))"
+_RUNS = ("zip_with(slice(_starts, 1, size(_starts) - 1), slice(_starts, 2, size(_starts) - 1), "
+         "(a, b) -> struct(_grams[a] as gram, cast(b - a as int) as n))")
+_KEY = "xxhash64(coalesce(text, ''))"
 _WINDOWS = (f"case when size(_hashes) < {WINDOW} then array() else "
             f"transform(sequence(1, size(_hashes) - {WINDOW} + 1), i -> xxhash64(slice(_hashes, i, {WINDOW}))) end")
 #: Windows with their places, sorted, so that equal ones stand side by side.
@@ -54,68 +64,99 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").selectExpr("cast(doc_id as long) as trusted_id").distinct()
 
 
+def _grams(texts: DataFrame, *kept: str) -> DataFrame:
+    """(kept columns, gram, n): the n-grams of every row, and how often they stand in it."""
+    return (_hashed(texts).where("size(_hashes) > 0").select(*kept, F.expr(f"array_sort({_GRAMS})").alias("_grams"))
+            .select(*kept, "_grams", F.expr(_STARTS).alias("_starts")).select(*kept, F.expr(f"inline({_RUNS})")))
+
+
 def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, raw, target): how often each hashed n-gram stands in all documents, and in trusted ones."""
+    """(gram, raw, target): how often each n-gram stands in all documents, and in trusted ones."""
     texts = docs.selectExpr("cast(doc_id as long) as _id", "text").join(
         trusted_ids(labels).hint("merge"), F.expr("_id = trusted_id"), "left")  # the labels grow with the corpus: one plan at every size
-    grams = _hashed(texts).select(F.expr("trusted_id is not null").alias("trusted"), F.explode(F.expr(_GRAMS)).alias("bucket"))
-    return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.expr("count_if(trusted)").alias("target"))
+    grams = _grams(texts.withColumn("trusted", F.expr("trusted_id is not null")), "trusted")
+    return grams.groupBy("gram").agg(F.sum(F.col("n").cast("long")).alias("raw"), F.expr("sum(case when trusted then n else 0L end)").alias("target"))
 
 
-def weights(counted: DataFrame) -> DataFrame:
-    """One row (weights): the weight of every bucket, in units of 1 / UNIT."""
+def sums(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """(_key, _plain, _own): by text, the summed weights as of an unlabelled and as of a trusted document.
+
+    Only n-grams that stand twice or more are joined, as others have no weight. A text whose n-grams all stand once has no row.
+    """
     raws, targets = counted.agg(F.sum("raw"), F.sum("target")).first()
     if not targets:
-        weight = "0"
-    else:
-        share = f"(coalesce(target, 0) + {SMOOTHING}D) / (coalesce(raw, 0) + {SMOOTHING}D)"
-        scale = f"{raws + SMOOTHING * BUCKETS}D / {targets + SMOOTHING * BUCKETS}D"
-        weight = f"cast(round({UNIT} * (ln({share}) + ln({scale}))) as int)"
-    every = counted.sparkSession.range(BUCKETS).selectExpr("cast(id as int) as bucket").join(counted, "bucket", "left")
-    return (every.selectExpr("bucket", f"{weight} as weight")
-            .agg(F.expr("transform(array_sort(collect_list(struct(bucket, weight))), x -> x.weight)").alias("weights")))
+        return docs.sparkSession.createDataFrame([], "_key long, _plain long, _own long")
+    share = targets / raws
 
+    def weight(target: str) -> str:
+        return f"cast(round({UNIT} * ln(({target} + {SMOOTHING}D) / ((raw - n) * {share!r}D + {SMOOTHING}D))) as long)"
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    pairs = _grams(docs.select(F.expr(_KEY).alias("_key"), "text"), "_key")
+    return (pairs.join(counted.where("raw > 1").hint("merge"), "gram").where("raw > n")
+            .selectExpr("_key", f"n * {weight('target')} as plain", f"n * {weight('greatest(target - n, 0)')} as own")
+            .groupBy("_key").agg(F.sum("plain").alias("_plain"), F.sum("own").alias("_own")))
+
+
+def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept) for every row of `docs`.
 
     score is the mean weight of the document's n-grams in natural logarithms, null without words. The other columns are as named in the
     module: characters are code points, repeated words are those in windows of WINDOW words found twice or more, the first included.
+    A row is kept if its score is at least `threshold`, or the cut that the scores give.
     """
     return _judged(docs.select("doc_id", "text"), labels, threshold).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Adds the columns of `judge`, and takes the text away. Each step carries only what later ones need, as it is copied in every step."""
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float | None) -> DataFrame:
+    """The columns of `judge` and _key, the hash of the text."""
     prepare(docs.sparkSession)
-    table = materialise(weights(materialise(counts(docs, labels), "counts")), "weights").scalar()  # one value, read once by each task
-    kept = [c for c in docs.columns if c != "text"]
+    scored = materialise(_scored(docs, labels), "scored")
+    cut = _cut(scored) if threshold is None else round(threshold * UNIT)
+    return (scored.withColumn("score", F.expr(f"case when _n > 0 then _sum / _n / {UNIT} end"))
+            .withColumn("kept", F.expr(f"not base_failed and _sum >= {cut!r} * _n")))
+
+
+def _cut(scored: DataFrame) -> float:
+    """The least mean weight of a kept document, in units of 1 / UNIT."""
+    unit = "cast(round(_sum / _n) as decimal(19, 0))"  # whole numbers, whose sums do not depend on their order
+    said = {r.quality: r for r in scored.where("not base_failed and _n > 0 and quality is not null").groupBy("quality").agg(
+        F.expr(f"sum({unit})").alias("total"), F.expr(f"sum({unit} * {unit})").alias("squares"), F.count("*").alias("n")).collect()}
+    if 1 not in said:
+        return 0
+    means = {k: float(r.total) / r.n for k, r in said.items()}
+    if 0 in means and means[0] < means[1]:
+        return (means[0] + means[1]) / 2
+    return means[1] - SPREAD * max(0.0, float(said[1].squares) / said[1].n - means[1] ** 2) ** 0.5
+
+
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, _key, base columns, quality, _n, _sum). Each step carries only what later ones need, as it is copied in every step."""
+    table = sums(docs, materialise(counts(docs, labels), "counts"))
+    said = (labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.expr("cast(doc_id as long)").alias("_id"))
+            .agg(F.max(F.expr("cast(quality as int)")).alias("quality")))
+    kept = ["doc_id", "_key"]
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
     lines = f"filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^{_SPACE}]')"
     text = "coalesce(text, '')"
-    return (docs.select(*kept, "text", F.expr(_WORDS).alias("_words"), F.expr(lines).alias("_lines"))
+    rows = (docs.select("doc_id", F.expr(_KEY).alias("_key"), "text", F.expr(_WORDS).alias("_words"), F.expr(lines).alias("_lines"))
             .select(*kept, F.expr("cast(size(_words) as long)").alias("n_words"),
                     F.expr(f"cast(length(translate({text}, ' \\t\\n\\u000B\\u000C\\r', '')) as long)").alias("word_chars"),
                     F.expr(f"cast(length({text}) - length(translate({text}, '#*$%&|<>', '')) as long)").alias("n_symbols"),
                     F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)").alias("n_dup_lines"),
                     F.expr("transform(_words, w -> xxhash64(w))").alias("_hashes"))
-            .select(*kept, *base, "_hashes", F.expr("n_words + greatest(n_words - 1, 0)").alias("_n"), F.expr(_GRAMS).alias("_grams"), table.alias("_weights"))
-            .select(*kept, *base, "_hashes", "_n", F.expr("aggregate(_grams, 0L, (total, gram) -> total + _weights[gram])").alias("_sum"))
-            .select(*kept, *base, "_n", "_sum", F.expr(_WINDOWS).alias("_windows"))
-            .select(*kept, *base, "_n", "_sum",
-                    F.expr(f"case when size(array_distinct(_windows)) < size(_windows) then {_SORTED} else array() end").alias("_sorted"))
-            .select(*kept, *base, "_n", "_sum", F.expr(_TWICE).alias("_twice"))
-            .select(*kept, *base, "_n", "_sum", F.expr(_COVERED).alias("n_repeat_words"))
-            .withColumn("score", F.expr(f"case when _n > 0 then _sum / _n / {UNIT} end"))
-            .withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words"))
-            .withColumn("kept", F.expr(f"not base_failed and _sum >= {round(threshold * UNIT)} * _n")))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+            .select(*kept, *base, F.expr(_WINDOWS).alias("_windows"))
+            .select(*kept, *base, F.expr(f"case when size(array_distinct(_windows)) < size(_windows) then {_SORTED} else array() end").alias("_sorted"))
+            .select(*kept, *base, F.expr(_TWICE).alias("_twice"))
+            .select(*kept, *base, F.expr(_COVERED).alias("n_repeat_words"))
+            .withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words")))
+    return (rows.join(said.hint("merge"), F.expr("cast(doc_id as long) = _id"), "left").drop("_id").join(table.hint("merge"), "_key", "left")
+            .withColumn("_n", F.expr("n_words + greatest(n_words - 1, 0)"))
+            .withColumn("_sum", F.expr("coalesce(case when quality = 1 then _own else _plain end, 0L)")).drop("_plain", "_own"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """The rows of `docs` that are kept, with their columns."""
-    inner = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    judged = _judged(inner, labels, threshold)
-    # a row number that isn't deterministic keeps the optimizer from copying the whole verdict into the filter, once for each use of a column
-    verdict = F.expr("case when monotonically_increasing_id() >= 0 then kept else false end").alias("_kept")
-    return judged.select("_row", verdict).where("_kept").select("_row.*")
+    kept = _judged(docs.select("doc_id", "text"), labels, threshold).where("kept").selectExpr("doc_id as _id", "_key").distinct()
+    return (docs.withColumn("_hash", F.expr(_KEY)).join(kept.hint("merge"), F.expr("_hash = _key and doc_id <=> _id"), "left_semi")
+            .select(*docs.columns))
