@@ -488,6 +488,23 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_tells_copies_by_the_whole_text(spark):
+    rng = random.Random(20)
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+
+    def lexicon(texts):
+        docs = frame(spark, [(i, t) for i, (t, _) in zip(ids, texts, strict=False)])
+        labels = spark.createDataFrame([(i, 1, toxic) for i, (_, toxic) in zip(ids, texts, strict=False)], "doc_id long, quality int, toxic int")
+        return {text for text, _ in toxicity.train(docs, labels).lexicon}
+
+    alike = [("Re: your post " + words(rng, 30) + " grobble" * (k % 2), k % 2) for k in range(120)]
+    assert "grobble" in lexicon(alike)  # one opening, many documents
+    clean = [(words(rng, 30), 0) for _ in range(110)]
+    own = [(words(rng, 30) + " grobble", 1) for _ in range(8)]
+    found = lexicon([*clean, *own, *[(words(rng, 30) + " florp", 1)] * 100])
+    assert "grobble" in found and "florp" not in found  # copies are one document, also among all
+
+
 # pipeline --------------------------------------------------------------------------------------------------------
 
 

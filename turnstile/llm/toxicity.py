@@ -1,7 +1,7 @@
 """Toxicity: a lexicon learned from labels, met with Levenshtein automata, and scores that tell quotation from abuse.
 
 * Lexicon. Of at most SAMPLE labelled documents, words are counted by the toxic and the clean documents they stand in, where
-  documents with the same first words, as copies have, count once. Terms are words, or beginnings shared by several words, that are
+  documents of the same words in the same order, copies, count once, also among all documents of their label. Terms are words, or beginnings shared by several words, that are
   frequent in the first and rare in the second. A beginning matches every word that starts with it.
 * Matching. The terms make a trie. The automaton that accepts words within one edit (insertion, deletion, substitution) of a term is
   intersected with it: a state is a set of (trie node, edits so far). The sets reachable are few, so they become the rows of a transition
@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstile.llm.common import held_out, labelled_sample, prepare, strings, with_text
+from turnstile.llm.common import fingerprint, held_out, labelled_sample, prepare, strings, with_text
+from turnstile.session import materialise
 
 SAMPLE = 8_000  # labelled documents that are learned from, at most
 MAX_TERMS = 4_096
 MIN_TOXIC, MIN_SHARE, MIN_ODDS, STEM, KINDS = 4, 0.005, 3.0, 4, 3  # a term stands in so many toxic documents, and such a share
-OPENING = 3  # first words by which copies of a document are told
 FUZZY_LETTERS = 5
 CLEAN_FUZZY = 0.001  # share of clean documents that may hold a misspelling of a term
 WINDOW, QUOTED, FUZZY = 40, 0.25, 0.7
@@ -65,22 +65,25 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bearers(batches):
-    """(word, opening, label): each word of a document once. Copies share their first words, so they count as one."""
+    """(word, copies, label): each word of a document once, and an empty one for the document itself. Copies share the digest of all words."""
     for batch in batches:
         out = []
         for text, label in zip(strings(batch.column("text")).to_pylist(), batch.column("label").to_pylist(), strict=True):
             words = _words(text.lower())
-            opening = zlib.crc32(" ".join(words[:OPENING]).encode())
-            out += [(w, opening, label) for w in set(words)]
+            copies = fingerprint(" ".join(words).encode("utf-8", "surrogatepass"))[0]
+            out += [(w, copies, label) for w in {"", *words}]
         columns = list(zip(*out, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)],
-                                         ["word", "opening", "label"])
+                                         ["word", "copies", "label"])
 
 
-def terms(sample: DataFrame, toxic: int, clean: int) -> list[tuple[str, bool]]:
+def terms(sample: DataFrame) -> list[tuple[str, bool]]:
     """The lexicon: (text, whole word) of at most MAX_TERMS terms."""
-    words = (sample.mapInArrow(_bearers, "word string, opening long, label int").distinct()
-             .groupBy("word").agg(F.expr("count_if(label = 1)").alias("toxic"), F.expr("count_if(label = 0)").alias("clean")))
+    counted = materialise(
+        sample.mapInArrow(_bearers, "word string, copies long, label int").distinct()
+        .groupBy("word").agg(F.expr("count_if(label = 1)").alias("toxic"), F.expr("count_if(label = 0)").alias("clean")), "words")
+    toxic, clean = counted.where("word = ''").select("toxic", "clean").first()  # documents, copies as one
+    words = counted.where("word <> ''")
     ends = (f"transform(sequence(least({STEM}, length(word)), length(word)), k -> struct(substr(word, 1, k) as text, false as whole))")
     nodes = (words.withColumn("node", F.expr(f"explode(concat({ends}, array(struct(word as text, true as whole))))"))
              .groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.expr("count_if(toxic > 0)").alias("kinds"),
@@ -286,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model()
-    lexicon = terms(rows, sizes[1], sizes[0])
+    lexicon = terms(rows)
     machine = automaton(lexicon)
     seen = [(r.label, r.words, np.array(r.found, np.int64).reshape(-1, 4))
             for r in rows.mapInArrow(_found(machine), "label int, words long, found array<long>").collect()]  # bounded by `sample`
