@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstile.llm import bottomk, line_dedup, packing, quality_model, quality_rules
+from turnstile.llm import bottomk, line_dedup, packing, quality_model, quality_rules, tokens
 from turnstile.llm.common import prepare, read
 from turnstile.session import materialise
 
@@ -32,7 +32,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                  added=tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("quality rules", quality_by_rules), ("quality classifier", quality_by_model), ("line dedup", without_repeated_lines),

@@ -101,6 +101,20 @@ def test_ids_are_those_of_both_libraries(spark):
         assert got == library.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_are_those_of_the_unchanged_tokenizer(spark, tmp_path):
+    from turnstile.llm import queries
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "plain text", "  <|endoftext|>  z\n"]
+    rng = random.Random(21)
+    texts += ["".join(rng.choice(["a", "B1", " ", "\n", "'s", "<|endoftext|>", "<|", "|>", "é"]) for _ in range(25)) for _ in range(100)]
+    frame(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_packing(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+
+
 def naive_best_fit(sizes, length):
     gaps = []
     for size in sorted(sizes, reverse=True):

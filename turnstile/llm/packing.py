@@ -20,6 +20,7 @@ Other columns are neither read nor returned. A table without rows gives no piece
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -39,23 +40,35 @@ PIECES_A_BUCKET = 100_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def text_ids(path: str, pattern: str, limit: int = REMEMBERED):
-    """A function from a text to its ids, as little-endian unsigned 32-bit numbers."""
+def text_ids(path: str, pattern: str, limit: int = REMEMBERED, added: dict[str, int] | None = None):
+    """A function from a text to its ids, as little-endian unsigned 32-bit numbers. Tokens in `added` are found in the text first."""
     encode = encoding(path, pattern).encode_ordinary
 
     def one(chunk: str) -> bytes:
         return np.array(encode(chunk), "<u4").tobytes()
 
-    return Pieces(one, limit).joined if cuts_at_spaces(pattern) else one
+    plain = Pieces(one, limit).joined if cuts_at_spaces(pattern) else one
+    if not added:
+        return plain
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    ids = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
+
+    def joined(text: str) -> bytes:
+        first, *rest = cuts.split(text)
+        if not rest:
+            return plain(text)
+        return b"".join([plain(first) if first else b"", *(ids[x] if k % 2 == 0 else plain(x) if x else b"" for k, x in enumerate(rest))])
+
+    return joined
 
 
 _encoders: dict[tuple, object] = {}  # of this worker: what it has seen serves its next partitions
 
 
-def _pieces(path: str, pattern: str, length: int, closing: int):
+def _pieces(path: str, pattern: str, length: int, closing: int, added: dict[str, int] | None):
     def run(batches):
-        key = (path, pattern)
-        ids_of = _encoders.get(key) or _encoders.setdefault(key, text_ids(path, pattern))
+        key = (path, pattern, *sorted((added or {}).items()))
+        ids_of = _encoders.get(key) or _encoders.setdefault(key, text_ids(path, pattern, added=added))
         end = np.array([closing], "<u4").tobytes()
         for batch in batches:
             out = []
@@ -74,10 +87,10 @@ def _pieces(path: str, pattern: str, length: int, closing: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, closing: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, closing: int = 0, added: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the pieces of every document."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, pattern, length, closing), _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(path, pattern, length, closing, added), _PIECE)
 
 
 def sweeps(counts: dict[int, int], length: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -162,5 +175,5 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     return ranked(pieces).mapInArrow(_place(sweeps(counts, length), schema), _PIECE + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, length: int = LENGTH) -> DataFrame:
-    return pack(token_pieces(docs, path, pattern, length), length)
+def pack_documents(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, added: dict[str, int] | None = None) -> DataFrame:
+    return pack(token_pieces(docs, path, pattern, length, added=added), length)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bottomk, bpe, line_dedup, packing, pivots, quality_model, quality_rules, sharding, toxicity, warc
+from turnstile.llm import bottomk, bpe, line_dedup, packing, pivots, quality_model, quality_rules, sharding, tokens, toxicity, warc
 from turnstile.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +19,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranks are those of byte_bpe_50k.json, which gives the same ids."""
+    """The ids of byte_bpe_50k.json: by the ranks of its vocabulary, and with the tokens that it adds."""
     return packing.pack_documents(read(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                                  public_tokenizers.PATTERN)
+                                  public_tokenizers.PATTERN, added=tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ checked by `cuts_at_spaces`, and only texts where every single space leads a chu
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -103,6 +104,15 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The ids of the tokens that a tokenizer's JSON file adds: texts are cut at them, and they are no part of the vocabulary's pieces."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on their surroundings are not read")
+    return {t["content"]: t["id"] for t in added}
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str, pattern: str):
     import tiktoken
