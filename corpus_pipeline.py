@@ -23,7 +23,7 @@ def quality_by_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document of which earlier ones hold every line is a copy, and goes."""
+    """A document of which earlier ones hold every line goes: a copy, or one made of passages of several documents."""
     return line_dedup.remove_repeats(docs, drop_emptied=True)
 
 
