@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bottomk, bpe, chat, line_dedup, packing, pivots, quality_model, quality_rules, sharding, tokens, toxicity, warc
+from turnstile.llm import bottomk, bpe, chat, line_dedup, packing, pivots, prefix_trie, quality_model, quality_rules, sharding, tokens, toxicity, warc
 from turnstile.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,9 +67,13 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(forged)))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(prepare(spark), sf_dir, "conversations")).drop("text_conv_id", "text_pos")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_warc, op2_packing, op3_quality, op4_embeddings, op5_bpe, op6_sharding, op7_lines, op8_rules,
-                                    op9_minhash, op10_toxicity, op11_chat)}
+                                    op9_minhash, op10_toxicity, op11_chat, op12_trie)}
 
 
 _WARC = """
@@ -146,6 +150,36 @@ select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss)
        formatted_chars::bigint as formatted_chars, n_blocks from s"""
 
 
+#: crc32 of a decimal number, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+  lambda a, c: list_reduce(list_prepend(xor(a, c), [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[]),
+    lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384::ubigint else 0::ubigint end))), 4294967295::ubigint)"""
+
+_TRIE = f"""
+with own as (
+  select conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as l
+  from conversations where conv_id is not null group by conv_id),
+heads as (select *, ({_CRC32} % {prefix_trie.HEAD + 1})::bigint as h from own),
+rebuilt as (
+  select a.conv_id, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) as l
+  from heads a left join own b on b.conv_id = a.conv_id - a.conv_id % {prefix_trie.GROUP}),
+members as (select conv_id, len(l) as n, d as depth, l[1:d] as path from (select *, unnest(range(len(l) + 1)) as d from rebuilt)),
+nodes as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '')) as ends_sha256
+  from members group by depth, path),
+kids as (select depth - 1 as depth, path[1:depth - 1] as path, count(*) as n from nodes where depth > 0 group by 1, 2),
+weighed as (
+  select n.*, coalesce(k.n, 0) as n_children, case when n.depth = 0 then 0 else (n_convs - 1) * octet_length(encode(n.path[n.depth].t)) end as saved
+  from nodes n left join kids k on n.depth = k.depth and n.path = k.path),
+sums as (
+  select up as depth, path[1:up] as path, sum(saved)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves
+  from (select *, unnest(range(depth + 1)) as up from weighed) group by 1, 2)
+select w.conv_id, w.depth, p.conv_id as parent_conv_id, w.n_convs, n_children, n_leaves, saved_tokens, w.ends_sha256
+from weighed w join sums s on s.depth = w.depth and s.path = w.path left join nodes p on p.depth = w.depth - 1 and p.path = w.path[1:w.depth - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL cannot express the others: they are tested against brute force, exact round trips and held-out labels."""
-    return {"op1_warc": _WARC, "op4_embeddings": _VECTORS, "op6_sharding": _SHARDS, "op9_minhash": _SHINGLES, "op11_chat": _CHATS}
+    return {"op1_warc": _WARC, "op4_embeddings": _VECTORS, "op6_sharding": _SHARDS, "op9_minhash": _SHINGLES, "op11_chat": _CHATS,
+            "op12_trie": _TRIE}
