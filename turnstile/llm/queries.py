@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bottomk, bpe, chat, line_dedup, packing, pivots, prefix_trie, quality_model, quality_rules, sharding, tokens, toxicity, warc
+from turnstile.llm import (bottomk, bpe, chat, line_dedup, packing, pivots, prefix_trie, quality_model, quality_rules, sharding, token_links,
+                           tokens, toxicity, warc)
 from turnstile.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +72,14 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(read(prepare(spark), sf_dir, "conversations")).drop("text_conv_id", "text_pos")
 
 
+def op13_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.links(read(prepare(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_warc, op2_packing, op3_quality, op4_embeddings, op5_bpe, op6_sharding, op7_lines, op8_rules,
-                                    op9_minhash, op10_toxicity, op11_chat, op12_trie)}
+                                    op9_minhash, op10_toxicity, op11_chat, op12_trie, op13_links)}
 
 
 _WARC = """
