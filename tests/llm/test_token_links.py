@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -82,20 +83,20 @@ def test_rows_without_tokens(spark, libraries):
     assert L.links(rows.limit(0), A, B).count() == 0
 
 
-def test_chunks_that_are_forgotten_count_the_same(libraries):
-    docs = [["abc def " * 3 + str(i), "x\ny z"] for i in range(30)]
+def test_chunks_that_are_forgotten_count_the_same(spark, libraries, monkeypatch):
+    texts = [f"{'abc def ' * 3}{i}{tail}" for i in range(40) for tail in ("", "\ny z", " ", "▁")]
+    want = Counter(i << 32 | j for t in texts if (found := aligned(t, libraries)) for i, j in found[2])
     for limit in (0, 10**9):
-        aligner = L.Aligner(A, B, lambda found: [pairs for _, _, pairs, _ in found], limit)
+        monkeypatch.setattr(L.Aligner.__init__, "__defaults__", (limit,))
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
         seen = Counter()
-        for texts in docs:
-            documents = [aligner.chunks(t) for t in texts]
-            aligner.learn(documents)
-            for chunks in documents:
-                seen.update(p for c in chunks for p in aligner.remembered[c])
-            assert aligner.full == (limit == 0)
-            if aligner.full:
-                aligner.forget()
-        assert seen == Counter(i << 32 | j for texts in docs for t in texts for i, j in aligned(t, libraries)[2])
+        for batch in L.count_pairs((pa.record_batch([pa.array(texts[i:i + 7])], ["text"]) for i in range(0, len(texts), 7)), A, B):
+            seen.update(dict(zip(*(c.to_pylist() for c in batch.columns))))
+        assert seen == want
+        got = Counter()
+        for r in L.pair_counts(rows, A, B).collect():
+            got[r.pair] += r.n
+        assert got == want
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 5000])

@@ -31,9 +31,10 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ SHARD = 16_384  # pairs hashed by one task, on average
 REMEMBERED = 24_000_000  # characters of chunks that a worker remembers
 _BUCKET = 2  # keys of a bucket, on average
 _TRIES = 256
+_TOGETHER = 16_384  # characters of chunks encoded at once
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(r"(?<=\S)(?= (?!\Z)|\n\S)")
 
@@ -94,86 +96,130 @@ def pair_bound(path_a: str, path_b: str) -> int:
     return suffixes(a, b, 0) + suffixes(b, a, 1)
 
 
+@lru_cache(maxsize=2)
+def _libraries(path_a: str, path_b: str) -> tuple:
+    """Both tokenizers, the bytes of their tokens by id, and how many bytes they are; loaded once a worker."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
+    a = Tokenizer.from_file(path_a)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    entries = entries_a(path_a), entries_b(path_b)
+    if any(x.lstrip(b" ").count(b" ") or b"\n" in x != b"\n" for x in entries[1].values()):
+        raise ValueError("a piece of B holds a space behind another character, or a line feed: texts cannot be cut there")
+    tables = [[x.get(i, b"") for i in range(max(x) + 1)] for x in entries]  # the other ids stand for no bytes: their texts don't join
+    return a, b, *tables, *(np.array([len(token) for token in x]) for x in tables)
+
+
+@dataclass(frozen=True)
+class Aligned:
+    """Chunks, one after the other: how many tokens and links each has, the pairs, and the ids with the number of their group."""
+
+    chunks: list[str]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+    ids: tuple[np.ndarray, np.ndarray]
+    groups: tuple[np.ndarray, np.ndarray]
+
+    def texts(self) -> list[bytes]:
+        """The groups of each chunk as text, with a semicolon behind each."""
+        (a, b), (in_a, in_b) = self.ids, self.groups
+        table, size = _group_texts(int(max(a.max(initial=0), b.max(initial=0))).bit_length())
+        # Three texts an id: with a comma, or at the end of a group's side with a bar (A) or a semicolon (B).
+        which = np.concatenate([3 * a + _last(in_a), 3 * b + 2 * _last(in_b)])
+        which = which[np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")]
+        joined = b"".join(map(table.__getitem__, which.tolist()))
+        ends = np.cumsum(np.concatenate([[0], size[which]]))[np.cumsum(np.concatenate([[0], self.n_a + self.n_b]))].tolist()
+        return [joined[i:j] for i, j in pairwise(ends)]
+
+
+def _last(groups: np.ndarray) -> np.ndarray:
+    """1 for the last token of each group, else 0."""
+    return np.append(groups[1:] != groups[:-1], True)[:len(groups)].astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _group_texts(bits: int) -> tuple[list[bytes], np.ndarray]:
+    table = [b"%d%c" % (i, end) for i in range(1 << bits) for end in b",|;"]
+    return table, np.array([len(x) for x in table])
+
+
 class Aligner:
-    """Alignments of chunks. `remembered` has what `finish` makes of the tokens, pairs and groups of each chunk read so far, `unfit` those whose
-    tokens don't join to them."""
-
-    def __init__(self, path_a: str, path_b: str, finish: Callable[[list[tuple]], Iterable], limit: int = REMEMBERED):
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a, self.bytes_b = entries_a(path_a), entries_b(path_b)
-        self.size_a, self.size_b = ({i: len(x) for i, x in entries.items()} for entries in (self.bytes_a, self.bytes_b))
-        if any(" " in x.lstrip(b" ").decode(errors="replace") or b"\n" in x[1:] or x[:1] == b"\n" != x for x in self.bytes_b.values()):
-            raise ValueError("a piece of B holds a space behind another character, or a line feed: texts cannot be cut there")
+    """Numbers and alignments of chunks: `number` has those of the chunks read so far, which are aligned once, and `unfit` the chunks whose tokens
+    don't join to them. `finish` is given what is aligned for each batch."""
+
+    def __init__(self, path_a: str, path_b: str, finish: Callable[[Aligned], None], limit: int = REMEMBERED):
+        self.a, self.b, self.bytes_a, self.bytes_b, self.size_a, self.size_b = _libraries(path_a, path_b)
         self.space = self.b.piece_to_id("▁")
         self.finish, self.limit = finish, limit
         self.forget()
 
-    @staticmethod
-    def chunks(text: str | None) -> list[str]:
-        return _CUT.split(" " + text) if text else []
-
-    def learn(self, documents: list[list[str]]) -> None:
-        """Align the chunks that are not known. When `full`, `forget` is to be called between batches."""
-        new = sorted(set().union(*documents).difference(self.remembered, self.unfit))
-        if not new:
-            return
-        tokens_a = [x.ids for x in self.a.encode_batch(new, add_special_tokens=False)]
-        # B adds the space that leads a chunk. Before a line feed it adds one too many.
-        tokens_b = self.b.encode([x if x[0] == "\n" else x[1:] for x in new], num_threads=1)
-        aligned, good = [], []
-        for chunk, a, b in zip(new, tokens_a, tokens_b):
-            self.size += len(chunk)
-            if chunk[0] == "\n":
-                if b[:1] != [self.space]:
-                    self.unfit.add(chunk)
-                    continue
-                b = b[1:]
-            whole = chunk.encode()
-            if b"".join(map(self.bytes_a.get, a)) != whole or b"".join([self.bytes_b.get(i, b"") for i in b]) != whole:
-                self.unfit.add(chunk)
-                continue
-            good.append(chunk)
-            aligned.append(self._align(a, b))
-        self.remembered.update(zip(good, self.finish(aligned)))
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[list[int], list[int], list[int], bytes]:
-        """Ids of both sides, the linked pairs (a << 32 | b), and the groups as text."""
-        if len(a) == len(b) == 1:
-            return a, b, [a[0] << 32 | b[0]], b"%d|%d" % (a[0], b[0])
-        pairs, groups = [], []
-        i = j = from_a = from_b = 0
-        end_a, end_b = self.size_a[a[0]], self.size_b[b[0]]
-        while True:
-            if end_a == end_b:
-                pairs.append(a[i] << 32 | b[j])
-                groups.append(f"{','.join(map(str, a[from_a:i + 1]))}|{','.join(map(str, b[from_b:j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return a, b, pairs, ";".join(groups).encode()
-                from_a, from_b = i, j
-                end_a, end_b = end_a + self.size_a[a[i]], end_b + self.size_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += self.size_a[a[i]]
-            else:
-                j += 1
-                end_b += self.size_b[b[j]]
+    def forget(self) -> None:
+        self.number, self.unfit, self.size = {}, set(), 0
 
     @property
     def full(self) -> bool:
         return self.size > self.limit
 
-    def forget(self) -> None:
-        self.remembered, self.unfit, self.size = {}, set(), 0
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
+        return _CUT.split(" " + text) if text else []
 
-    def usable(self, chunks: list[str]) -> bool:
-        return bool(chunks) and self.unfit.isdisjoint(chunks)
+    def numbers(self, documents: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of each document's chunks, none if one is unfit. When `full`, `forget` is to be called between batches."""
+        new = list(set().union(*documents).difference(self.number, self.unfit))
+        if new:
+            self.size += sum(map(len, new))
+            aligned = self.align(new)
+            self.number.update(zip(aligned.chunks, range(len(self.number), len(self.number) + len(aligned.chunks))))
+            self.finish(aligned)
+        return [np.fromiter(map(self.number.__getitem__, x), np.int64, len(x)) if self.unfit.isdisjoint(x) else np.zeros(0, np.int64)
+                for x in documents]
+
+    def align(self, chunks: list[str]) -> Aligned:
+        """Chunks behind which another may be read at once are encoded many together: the cut between them is one for both tokenizers."""
+        parts, part, size = [], [], 0
+        for chunk in chunks:
+            part.append(chunk)
+            size += len(chunk)
+            if size > _TOGETHER or chunk[-1].isspace():
+                parts.append(part)
+                part, size = [], 0
+        parts += [part] if part else []
+        read = []
+        for part, a, b in zip(parts, *self._encode(["".join(x) for x in parts])):
+            if self._joins(part, a, b):
+                read.append((part, a, b))
+                continue
+            for chunk, one_a, one_b in zip(part, *self._encode(part)):
+                if self._joins([chunk], one_a, one_b):
+                    read.append(([chunk], one_a, one_b))
+                else:
+                    self.unfit.add(chunk)
+        good = [chunk for part, _, _ in read for chunk in part]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[side] for x in read)]) for side in (1, 2))
+        ends = np.cumsum([len(x.encode()) for x in good], dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        at = np.searchsorted(ends_b, ends_a).clip(max=max(len(b) - 1, 0))
+        linked = np.flatnonzero(ends_b[at] == ends_a) if len(a) else np.zeros(0, np.int64)
+        link_ends = ends_a[linked]
+        n_a, n_b, n_links = (np.diff(np.searchsorted(x, ends, side="right"), prepend=0) for x in (ends_a, ends_b, link_ends))
+        return Aligned(good, n_a, n_b, n_links, a[linked] << 32 | b[at[linked]], (a, b),
+                       (np.searchsorted(link_ends, ends_a), np.searchsorted(link_ends, ends_b)))
+
+    def _encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """B adds the space that leads a text. Before a line feed it adds one too many."""
+        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([x if x[0] == "\n" else x[1:] for x in texts], num_threads=1)
+        return a, [x[1:] if text[0] == "\n" and x[:1] == [self.space] else x for text, x in zip(texts, b)]
+
+    def _joins(self, chunks: list[str], a: list[int], b: list[int]) -> bool:
+        whole = "".join(chunks).encode()
+        return b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
 
 
 # --- first pass ----------------------------------------------------------------------------------------------------
@@ -181,33 +227,32 @@ class Aligner:
 
 def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(pair, n): how often each task saw each pair; a task has more than one row for a pair if it had to forget chunks in between."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b, lambda aligned: [np.array(pairs, np.int64) for _, _, pairs, _ in aligned])
-        seen = Counter()
-
-        def summed() -> pa.RecordBatch:
-            known = [(aligner.remembered[chunk], n) for chunk, n in seen.items()]
-            pairs, at = np.unique(np.concatenate([x for x, _ in known]), return_inverse=True)
-            counts = np.zeros(len(pairs), np.int64)
-            np.add.at(counts, at, np.repeat([n for _, n in known], [len(x) for x, _ in known]))
-            return pa.record_batch([pa.array(pairs), pa.array(counts)], ["pair", "n"])
-
-        for batch in batches:
-            documents = [aligner.chunks(t) for t in strings(batch.column(0)).to_pylist()]
-            aligner.learn(documents)
-            for chunks in documents:
-                if aligner.usable(chunks):
-                    seen.update(chunks)
-            if aligner.full:
-                if seen:
-                    yield summed()
-                seen.clear()
-                aligner.forget()
-        if seen:
-            yield summed()
-
-    return docs.select("text").mapInArrow(count, "pair long, n long")
+    return docs.select("text").mapInArrow(lambda batches: count_pairs(batches, path_a, path_b), "pair long, n long")
+
+
+def count_pairs(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
+    found: list[Aligned] = []
+    aligner, seen = Aligner(path_a, path_b, found.append), np.zeros(0, np.int64)
+
+    def summed() -> pa.RecordBatch:
+        pairs, at = np.unique(np.concatenate([x.pairs for x in found]), return_inverse=True)
+        counts = np.zeros(len(pairs), np.int64)
+        np.add.at(counts, at, np.repeat(seen, np.concatenate([x.n_links for x in found])))
+        some = counts > 0
+        return pa.record_batch([pa.array(pairs[some]), pa.array(counts[some])], ["pair", "n"])
+
+    for batch in batches:
+        numbers = aligner.numbers([aligner.chunks(t) for t in strings(batch.column(0)).to_pylist()])
+        seen = np.append(seen, np.zeros(len(aligner.number) - len(seen), np.int64))
+        seen += np.bincount(np.concatenate([seen[:0], *numbers]), minlength=len(seen))
+        if aligner.full:
+            if found:
+                yield summed()
+            found.clear()
+            seen = seen[:0]
+            aligner.forget()
+    if found:
+        yield summed()
 
 
 # --- the table of pairs --------------------------------------------------------------------------------------------
@@ -343,37 +388,31 @@ def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     np.maximum.at(best, table.pairs & 0xFFFFFFFF, counts)
     shared = spark.sparkContext.broadcast((table, counts, best))
 
-    def look_up(aligned: list[tuple]) -> Iterator[tuple]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts, best = shared.value
-        pairs = np.array([p for _, _, found, _ in aligned for p in found], np.int64)
-        at = table.find(pairs)
-        if (at < 0).any():
-            raise ValueError("the second pass found a pair that the first one didn't")
-        n = counts[at]
-        top = (n == best[pairs & 0xFFFFFFFF]).astype(np.int64)
-        starts = np.cumsum([0, *(len(found) for _, _, found, _ in aligned)])
-        sums, tops = (np.concatenate([[0], np.cumsum(x)]) for x in (n, top))
-        for k, (a, b, found, groups) in enumerate(aligned):
-            i, j = starts[k], starts[k + 1]
-            yield len(a), len(b), len(found), int(tops[j] - tops[i]), int(sums[j] - sums[i]), groups
+        numbers_of, groups = [np.zeros((0, 5), np.int64)], []  # by chunk: n_a, n_b, links, links of the highest count, sum of counts
+
+        def look_up(found: Aligned) -> None:
+            at = table.find(found.pairs)
+            if (at < 0).any():
+                raise ValueError("the second pass found a pair that the first one didn't")
+            n = counts[at]
+            ends = np.cumsum(np.concatenate([[0], found.n_links]))
+            sums, tops = (np.diff(np.cumsum(np.concatenate([[0], x]))[ends]) for x in (n, n == best[found.pairs & 0xFFFFFFFF]))
+            numbers_of.append(np.stack([found.n_a, found.n_b, found.n_links, tops, sums], axis=1))
+            groups.extend(found.texts())
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(path_a, path_b, look_up)
         for batch in batches:
-            documents = [aligner.chunks(t) for t in strings(batch.column(1)).to_pylist()]
-            aligner.learn(documents)
-            rows = []
-            for chunks in documents:
-                if not aligner.usable(chunks):
-                    rows.append((0, 0, 0, 0, 0, ""))
-                    continue
-                a, b, found, top, total, groups = zip(*map(aligner.remembered.__getitem__, chunks))
-                rows.append((sum(a), sum(b), sum(found), sum(top), sum(total), hashlib.sha256(b";".join(groups)).hexdigest()))
+            documents = aligner.numbers([aligner.chunks(t) for t in strings(batch.column(1)).to_pylist()])
+            numbers_of[:] = [np.concatenate(numbers_of)]
+            sums = np.stack([numbers_of[0][x].sum(axis=0) for x in documents]) if documents else np.zeros((0, 5), np.int64)
+            digests = [hashlib.sha256(b"".join(map(groups.__getitem__, x.tolist()))[:-1]).hexdigest() if len(x) else "" for x in documents]
             if aligner.full:
                 aligner.forget()
-            a, b, found, top, total, digest = zip(*rows) if rows else [()] * 6
-            numbers = [pa.array(x, pa.int64()) for x in (a, b, found, found, top, total)]
-            yield pa.record_batch([batch.column(0), *numbers, pa.array(digest, pa.string())],
+                numbers_of[:], groups[:] = [np.zeros((0, 5), np.int64)], []
+            a, b, found, top, total = (pa.array(x, pa.int64()) for x in sums.T)
+            yield pa.record_batch([batch.column(0), a, b, found, found, top, total, pa.array(digests, pa.string())],
                                   ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(
