@@ -44,8 +44,8 @@ def compare(spark, db, folder, name, query, sql):
     if got[0] != want[0]:
         return f"columns {got[0]} != {want[0]}"
     if got[1] != want[1]:
-        extra = [r for r in got[1] if r not in set(want[1])][:2]
-        missing = [r for r in want[1] if r not in set(got[1])][:2]
+        here, there = set(got[1]), set(want[1])
+        extra, missing = [r for r in got[1] if r not in there][:2], [r for r in want[1] if r not in here][:2]
         return f"{len(got[1])} rows != {len(want[1])} rows; only here {extra}; only in SQL {missing}"
     return None
 

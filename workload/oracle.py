@@ -226,6 +226,81 @@ expense_firsts as (select distinct key, event_id as id, event_name as "eventName
     return out
 
 
+# Late records, as in views.delayed_sales: stream time is the latest time seen by then, and a window closes 23 h 59 min after its end.
+_GRACED = """ select * replace (case when seq % 7 = 3 then ts - to_days((case when seq % 5 = 0 then seq % 4 else 0 end)::integer)
+    - to_minutes(23 * 60 + 50 + seq % 20) else ts end as ts) from {0}"""
+
+
+def _graced(side: str) -> str:
+    return f"""{side}_in_time as (
+      select * from (select *, max(ts) over (order by seq rows unbounded preceding) as stream_time from ({_GRACED.format(side)}))
+      where date_trunc('minute', ts) + interval 1 minute > stream_time - interval '23 hours 59 minutes')"""
+
+
+_COPIES = """
+copies as (
+  select t as snapshot_ts, event_id, event_name || ' #' || n as event_name, city, category,
+         cast(base_ticket_price + case when substr(event_id, 2)::bigint % 3 = 0 then 0 else 10 * n end as decimal(10,2)) as base_ticket_price
+  from event_catalog, (values (timestamp '2024-01-03 00:00:00', 0), (timestamp '2024-01-12 00:00:00', 1), (timestamp '2024-01-20 06:30:00', 2)) v(t, n)
+  where (substr(event_id, 2)::bigint + n) % 9 <> 0)"""
+
+
+def _running(entries: str, key: str, conditions: str = "true") -> str:
+    """Both sides' totals after each entry of (key, ts, seq, amount, sale)."""
+    return f"""(select * from (
+      select {key} as key, ts, seq, sum(case when sale then amount end) over w as earned, sum(case when not sale then amount end) over w as spent,
+             count(*) filter (sale) over w as n
+      from ({entries}) window w as (partition by {key} order by ts, seq rows unbounded preceding)) where {conditions})"""
+
+
+def changelogs() -> dict[str, str]:
+    """Every update of a result, and the last one of each key in every 30 seconds."""
+    sale, expense = "select key, ts, seq, amount, true as sale from sales", "select key, ts, seq, amount, false as sale from expenses"
+    keyed = " where key is not null"
+    both, known = f"{sale} union all {expense}", "earned is not null and spent is not null"
+    logs = {
+        "revenue_per_event": (_running(sale + keyed, "key"), "earned", "sale_firsts"),
+        "profit_per_event": (_running(f"{sale}{keyed} union all {expense}{keyed}", "key", known), "earned - spent", "sale_firsts"),
+        "total_revenue": (_running(sale, "'TOTAL'"), "earned", ("TOTAL_REVENUE", "Total Revenue")),
+        "total_expenses": (_running(expense, "'TOTAL'"), "spent", ("TOTAL_EXPENSES", "Total Expenses")),
+        "total_profit": (_running(both, "'TOTAL'", known), "earned - spent", ("TOTAL_PROFIT", "Total Profit")),
+        "average_sale_per_event": (_running(sale + keyed, "key"), "earned / n", ("AVG_PER_EVENT", "Average Ticket Sale Per Event")),
+    }
+
+    def sql(name: str, flushed: bool = False, places: int = 3) -> str:
+        rows, value, label = logs[name]
+        if flushed:
+            rows = f"""(select *, time_bucket(interval 30 seconds, ts) as slot from {rows}
+                        qualify row_number() over (partition by key, time_bucket(interval 30 seconds, ts) order by ts desc, seq desc) = 1)"""
+        value = "round(earned / n + 1.23e-7, 4)" if name.startswith("average") else f"round({value}, {places})"
+        slot = ", slot" if flushed else ""
+        if isinstance(label, tuple):
+            return f""" select key, '{label[0]}' as id, '{label[1]}' as "eventName", {value} as value, seq{slot} from {rows} r"""
+        return f""" select r.key, f.id, f."eventName", {value} as value, seq{slot} from {rows} r join {label} f on f.key = r.key"""
+
+    highest = """ select 'HIGHEST_PROFIT_EVENT' as key, case when nth = 1 then f.id else 'HIGHEST_PROFIT_EVENT' end as id, f."eventName", best.value, p.seq
+      from (select seq, row_number() over w as nth, max({'value': value, 'ts': -epoch_us(ts), 'seq': -seq, 'key': key}) over w as best
+            from profit_log window w as (order by ts, seq rows unbounded preceding)) p join sale_firsts f on f.key = p.best.key"""
+    return {
+        **{f"{name}_changes": _with(VIEWS + "," + FIRSTS, sql(name)) for name in logs},
+        **{f"{name}_flushed": _with(VIEWS + "," + FIRSTS, sql(name, flushed=True)) for name in ("revenue_per_event", "profit_per_event", "total_revenue")},
+        "bulk_profit_per_event_flushed": _with(f"""{_EXACT},
+            sale_firsts as (select distinct key, event_id as id, event_name as "eventName" from sales)""",
+            sql("profit_per_event", True, 4).replace("round(earned - spent, 4)", "round(cast(earned - spent as double), 4)")),
+        "highest_profit_changes": _with(VIEWS + "," + FIRSTS + "," + PROFIT_LOG, highest),
+    }
+
+
+def graced() -> dict[str, str]:
+    in_time = f"{VIEWS},{_graced('sales')},{_graced('expenses')}"
+    return {
+        "revenue_per_minute_graced": _with(in_time, _per_minute("sales_in_time", "TOTAL_REVENUE_WINDOWED", "Total Revenue Windowed")),
+        "expenses_per_minute_graced": _with(in_time, _per_minute("expenses_in_time", "TOTAL_EXPENSES_WINDOWED", "Total Expenses Windowed")),
+        "profit_per_minute_graced": _with(in_time, _PROFIT_PER_MINUTE.replace("from sales", "from sales_in_time").replace(
+            "from expenses", "from expenses_in_time")),
+    }
+
+
 # Altered sale records, as in views.sales_topic.
 TOPIC = """,
 altered as (
@@ -301,6 +376,10 @@ def catalog() -> dict[str, str]:
         "sales_priced": f"""with {CATALOG},{RAW} select r.key, r.ts, r.seq, r.sale_id, r.event_id, c.event_name, c.city,
             c.category, r.ticket_type, round(cast(c.base_ticket_price as double) * {RATE}, 3) as ticket_price, r.quantity
             from raw_sales r join event_catalog c using (event_id)""",
+        "sales_priced_asof": f"""with {CATALOG},{RAW},{_COPIES} select r.key, r.ts, r.seq, r.sale_id, r.event_id, c.event_name, c.city,
+            c.category, r.ticket_type, round(cast(c.base_ticket_price as double) * {RATE}, 3) as ticket_price, r.quantity
+            from raw_sales r join copies c on c.event_id = r.event_id
+            and c.snapshot_ts = (select max(snapshot_ts) from copies where snapshot_ts <= r.ts)""",
         "expenses_named": f"""with {VIEWS} select key, ts, seq, expense_id, event_id, event_name, expense_type, cost
             from expenses""",
         "append_cities": f"""with {CITY_REQUESTS} select seq,
@@ -348,4 +427,4 @@ def all_sql() -> dict[str, str]:
             "city_sales_per_event": _with(VIEWS, _CITY_SALES), "city_highest_sales_strict": _with(VIEWS, _BEST_CITY)}
     streams = {f"stream_{name}": sql for name, sql in {**results(), **table_views()}.items()}
     streams["stream_total_revenue_replayed"] = results()["total_revenue"]
-    return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **streams}
+    return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **changelogs(), **graced(), **streams}

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.functions.scalars import money
+from turnstile.functions.order import arrival_seq
 from turnstile.operators import append
+from turnstile.operators.asof import price_sales_asof
 from turnstile.operators.lookup import name_expenses, price_sales
-from turnstile.plans import report, tables
+from turnstile.plans import changes as logs
+from turnstile.plans import graced, report, tables
 from turnstile.plans import results as R
 from turnstile.session import scratch_path, tune
 from turnstile.sinks.envelope import from_records, to_records
@@ -37,6 +40,27 @@ def _bulk(name: str) -> Query:
     return _inputs(name, views.bulk_sales, views.bulk_expenses)
 
 
+def _changes(name: str, every: int | None = None, bulk: bool = False) -> Query:
+    """Every update of a result with the number of the record behind it."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sales, expenses = (views.bulk_sales, views.bulk_expenses) if bulk else (views.ticket_sales, views.event_expenses)
+        side = logs.CHANGELOGS[name].side
+        rows = logs.changes(name, sales(spark, sf_dir) if side != "expenses" else None, expenses(spark, sf_dir) if side != "sales" else None, every)
+        return rows.withColumn("seq", F.expr(arrival_seq()))
+
+    return _result(name, lambda _: query, 4 if bulk else 3)
+
+
+def _highest_profit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = logs.highest_profit_changes(views.ticket_sales(spark, sf_dir), views.event_expenses(spark, sf_dir))
+    return rows.withColumn("seq", F.expr(arrival_seq()))
+
+
+#: Changelogs that are registered, and those as a commit interval leaves them.
+CHANGELOGS = ("revenue_per_event", "profit_per_event", "total_revenue", "total_expenses", "total_profit", "average_sale_per_event")
+FLUSHED = ("revenue_per_event", "profit_per_event", "total_revenue")
+
+
 def _table(name: str) -> Query:
     return lambda spark, sf: tables.table_view(_events(name)(spark, sf))
 
@@ -147,6 +171,15 @@ def all_queries() -> dict[str, Query]:
         out[f"bulk_{name}"] = _result(name, _bulk, 4)
     out["bulk_city_sales_per_event"] = _shown(lambda s, d: R.city_sales_per_event(views.bulk_sales(s, d)), 4)
     out["bulk_highest_profit_table"] = _shown(_bulk_highest_profit_table, 4)
+    out.update({f"{name}_changes": _changes(name) for name in CHANGELOGS})
+    out.update({f"{name}_flushed": _changes(name, logs.FLUSH_SECONDS) for name in FLUSHED})
+    out["bulk_profit_per_event_flushed"] = _changes("profit_per_event", logs.FLUSH_SECONDS, bulk=True)
+    out["highest_profit_changes"] = _shown(_highest_profit_changes)
+    out["revenue_per_minute_graced"] = _shown(lambda s, d: graced.revenue_per_minute_graced(views.delayed_sales(s, d)))
+    out["expenses_per_minute_graced"] = _shown(lambda s, d: graced.expenses_per_minute_graced(views.delayed_expenses(s, d)))
+    out["profit_per_minute_graced"] = _shown(
+        lambda s, d: graced.profit_per_minute_graced(views.delayed_sales(s, d), views.delayed_expenses(s, d)))
+    out["sales_priced_asof"] = _shown(lambda s, d: price_sales_asof(views.raw_sales(s, d), views.catalog_copies(s, d)))
     out["append_cities_twice"] = _shown(_stored_cities)
     out["append_trimmed"] = _shown(_trimmed)
     out["city_list"] = _shown(lambda s, d: catalog.list_cities(views.city_catalog(s, d)))

@@ -129,6 +129,33 @@ def untimed_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.encode_sales(ticket_sales(spark, sf_dir), partitions=1).withColumn("timestamp", moved)
 
 
+#: Every seventh record is delayed: its time lies 23 h 50 min to 24 h 9 min before, or some days.
+_DELAYED = """case when seq % 7 = 3 then ts - make_dt_interval(if(seq % 5 = 0, seq % 4, 0), 23, 50 + seq % 20) else ts end"""
+
+
+def delayed_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ticket_sales` that arrive in the order of `seq`, some of them late."""
+    return ticket_sales(spark, sf_dir).withColumn("ts", F.expr(_DELAYED))
+
+
+def delayed_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_expenses(spark, sf_dir).withColumn("ts", F.expr(_DELAYED))
+
+
+def catalog_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as three reloads found it, each later one dearer and without some events; a fourth reload, between them, found none."""
+    reloads = [("2024-01-03 00:00:00", 0), ("2024-01-10 12:00:00", None), ("2024-01-12 00:00:00", 1), ("2024-01-20 06:30:00", 2)]
+    events = event_catalog(spark, sf_dir)
+    copies = [events.where(f"{n is not None} and (cast(substr(event_id, 2) as long) + {n or 0}) % 9 <> 0").selectExpr(
+        f"timestamp '{taken}' as snapshot_ts", "event_id", f"concat(event_name, ' #{n}') as event_name", "city", "category",
+        f"cast(if(cast(substr(event_id, 2) as long) % 3 = 0, base_ticket_price, base_ticket_price + 10 * {n or 0}) as decimal(10,2)) as base_ticket_price")
+        for taken, n in reloads]
+    out = copies[0]
+    for copy in copies[1:]:
+        out = out.unionByName(copy)
+    return out
+
+
 def city_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for new cities: some blank, some too long, some known, some asked for twice."""
     n = F.col("c_custkey")
