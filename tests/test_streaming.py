@@ -17,6 +17,7 @@ from turnstile.sources.catalog import RefreshingCatalog, read_result, seed_event
 from turnstile.sources.decode import decode_expenses, decode_sales, good
 from turnstile.streaming import runners
 from turnstile.streaming.families import FAMILIES
+from turnstile.streaming.state import read_state
 
 WINDOWED = [n for n in RESULTS if n.endswith("per_minute")]
 
@@ -162,6 +163,39 @@ def test_quarantine_stream(spark, tmp_path):
     assert UpsertTable(spark, f"{tmp_path}/out/total_revenue/by_key", "key").read().first().value == 866
 
 
+def test_one_read_for_good_and_refused_records(spark, tmp_path):
+    publish(spark, tmp_path, SALE_ROWS, EXPENSE_ROWS)
+    bad = spark.createDataFrame([("E1", "{bad", at("00:00:00"), 0, 50), ("E1", None, at("00:00:00"), 0, 51), ("E1", None, at("00:00:00"), 0, 52)],
+                                "key string, value string, timestamp timestamp, partition int, offset long")
+    topics.write_files(bad.coalesce(1), f"{tmp_path}/sales")
+    stream = topics.stream_files(spark, f"{tmp_path}/sales", files_per_batch=1)
+    kept = []
+    query = runners.start_split(decode_sales(stream), f"{tmp_path}/q", lambda rows, batch: kept.extend((batch, r.seq) for r in rows.collect()), every=None)
+    query.awaitTermination()
+    assert len(kept) == len(set(kept)) == len(SALE_ROWS)
+    rejected = spark.read.parquet(f"{tmp_path}/q/rejected").collect()
+    assert sorted(r.reason for r in rejected) == ["empty value", "empty value", "unreadable JSON"]
+    counts = {(r.b, r.reason): r.n for r in spark.read.parquet(f"{tmp_path}/q/counts").collect()}
+    assert counts == {(0, "good"): 5, (1, "empty value"): 2, (1, "unreadable JSON"): 1}
+    # Each record is read once, whatever is written of it.
+    assert sum(p.numInputRows for p in query.recentProgress) == len(SALE_ROWS) + 3
+
+
+@pytest.mark.parametrize("name", ["revenue_per_event", "total_profit", "average_sale_per_event", "profit_per_minute"])
+def test_results_read_back_from_the_state(spark, tmp_path, name):
+    for sales, expenses in chunks(SALE_ROWS, EXPENSE_ROWS, (4,)):
+        publish(spark, tmp_path, sales, expenses)
+        run(spark, tmp_path, name, ("by_key",))
+    table = UpsertTable(spark, f"{tmp_path}/out/{name}/by_key", "key").read()
+    stored = read_state(spark, f"{tmp_path}/out", name)
+    assert sorted(map(str, stored.select(*table.columns).collect())) == sorted(map(str, table.collect()))
+    assert shape(name, stored.collect()) == pytest.approx(EXPECTED[name])
+    early = read_state(spark, f"{tmp_path}/out", name, batch=0)
+    assert early.count() < stored.count() or early.collect() != stored.collect()
+    with pytest.raises(KeyError, match="highest_profit_event"):
+        read_state(spark, f"{tmp_path}/out", "highest_profit_event")
+
+
 def test_pricing_stream_follows_the_catalog(spark, tmp_path):
     raw = spark.createDataFrame(
         [("E1", at("00:00:01"), 1, "S1", "E1", "VIP", 2), ("E9", at("00:00:02"), 2, "S2", "E9", "NORMAL", 1)],

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from turnstile.schemas import EXPENSE_FIELDS, SALE_FIELDS
 
 _OPTIONS = {"allowUnquotedFieldNames": "true"}
+#: Why a record may be refused.
+REASONS = ("empty value", "unreadable JSON", *dict.fromkeys(f"bad {name}" for fields in (SALE_FIELDS, EXPENSE_FIELDS) for name, (_, kind) in fields.items()
+                                                            if not isinstance(kind, T.StringType)), "bad timestamp")
 _OFFSET_BITS = 45  # seq = partition | offset | side: unique over both topics, ordered within a partition
 
 

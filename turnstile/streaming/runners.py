@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnstile.operators.lookup import name_expenses, price_sales
@@ -22,7 +23,7 @@ from turnstile.session import materialise, scratch_scope
 from turnstile.sinks.envelope import to_records
 from turnstile.sinks.tables import UpsertTable
 from turnstile.sources.catalog import RefreshingCatalog
-from turnstile.sources.decode import quarantine
+from turnstile.sources.decode import REASONS, good, quarantine
 from turnstile.sources.jdbc import upsert_jdbc
 from turnstile.streaming.families import FAMILIES, family_rows, view
 from turnstile.streaming.highwater import high_water_step
@@ -114,6 +115,23 @@ def start_quarantine(decoded: DataFrame, root: str, every: str | None = FLUSH) -
     return _start(writer, f"{root}/checkpoint", every)
 
 
+def start_split(decoded: DataFrame, root: str, sink: Sink, every: str | None = FLUSH) -> StreamingQuery:
+    """One read of a topic for both kinds of records: good ones go to `sink`, the others to `<root>/rejected/b=<n>`, and how many there were
+    to `<root>/counts/b=<n>`: `reason, n`, good ones under 'good'. The counters are observed while the batch is decoded."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = Observation(f"split-{batch_id}")
+        with scratch_scope(spark):
+            rows = materialise(batch.observe(seen, F.expr("count_if(reason is null)").alias("good"), *(
+                F.expr(f"count_if(reason = '{reason}')").alias(reason) for reason in REASONS)), "decoded")
+            sink(good(rows), batch_id)
+            quarantine(rows).write.mode("overwrite").parquet(f"{root}/rejected/b={batch_id}")
+        counts = [(reason, n) for reason, n in seen.get.items() if n]
+        spark.createDataFrame(counts, "reason string, n long").coalesce(1).write.mode("overwrite").parquet(f"{root}/counts/b={batch_id}")
+
+    return _start(decoded.writeStream.foreachBatch(step), f"{root}/checkpoint", every)
+
+
 def start_pricing(raw: DataFrame, catalog: RefreshingCatalog, root: str, sink: Sink, expenses: bool = False,
                   every: str | None = FLUSH) -> StreamingQuery:
     """Price raw sales (or name raw expenses) against the catalog as it is when the batch runs."""

@@ -421,10 +421,30 @@ def records() -> dict[str, str]:
     }
 
 
+def streamed() -> dict[str, str]:
+    """What streams leave behind besides their tables."""
+    third = "least(floor((epoch_us(ts) - lo) * 3 / (hi - lo + 1)), 2)::integer"
+    return {
+        **{f"state_{name}": results()[name] for name in ("total_revenue", "revenue_per_event", "profit_per_event")},
+        "average_sale_by_functions": results()["average_sale_per_event"],
+        "stream_sales_priced": catalog()["sales_priced"],
+        "stream_quarantine_sales": records()["quarantine_sales"],
+        "stream_quarantine_counts": _with(VIEWS + TOPIC, " select coalesce(reason, 'good') as reason, count(*) as n from altered group by 1"),
+        # The topics are written in three parts by time, one micro-batch each.
+        "stream_changes_revenue_per_event": _with(VIEWS + "," + FIRSTS, f""" select r.key, b, f.id, f."eventName", value
+            from (select key, b, round(sum(total) over (partition by key order by b), 3) as value
+                  from (select key, {third} as b, sum(amount) as total from sales, (select epoch_us(min(ts)) as lo, epoch_us(max(ts)) as hi from events)
+                        where key is not null group by 1, 2)) r join sale_firsts f on f.key = r.key"""),
+        "append_events_twice": f"""with {CATALOG},{EVENT_REQUESTS.replace("order by seq", "order by seq % 2 = 0, seq")}
+            select event_id, event_name, city, category, cast(base_ticket_price as decimal(10,2)) as base_ticket_price from judged where reason is null
+            union all select * from event_catalog""",
+    }
+
+
 def all_sql() -> dict[str, str]:
     # Event ids of the plain views hold no bar, so there the strict key changes nothing.
     city = {"city_highest_sales_barred": _with(VIEWS, _BARRED),
             "city_sales_per_event": _with(VIEWS, _CITY_SALES), "city_highest_sales_strict": _with(VIEWS, _BEST_CITY)}
     streams = {f"stream_{name}": sql for name, sql in {**results(), **table_views()}.items()}
     streams["stream_total_revenue_replayed"] = results()["total_revenue"]
-    return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **changelogs(), **graced(), **streams}
+    return {**results(), **city, **table_views(), **bulk(), **catalog(), **records(), **changelogs(), **graced(), **streamed(), **streams}

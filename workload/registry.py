@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.functions.scalars import money
+from turnstile import constants as C
 from turnstile.functions.order import arrival_seq
+from turnstile.functions.scalars import money
 from turnstile.operators import append
 from turnstile.operators.asof import price_sales_asof
+from turnstile.operators.ledger import sale_entries
 from turnstile.operators.lookup import name_expenses, price_sales
+from turnstile.operators.userfold import UserAggregate, fold_by
 from turnstile.plans import changes as logs
 from turnstile.plans import graced, report, tables
 from turnstile.plans import results as R
@@ -19,6 +22,7 @@ from turnstile.session import scratch_path, tune
 from turnstile.sinks.envelope import from_records, to_records
 from turnstile.sinks.tables import UpsertTable
 from turnstile.sources import catalog, decode, topics
+from turnstile.streaming.state import read_state
 from workload import streams, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,6 +152,30 @@ def _stored_cities(spark: SparkSession, sf: str) -> DataFrame:
     return stored.read()
 
 
+def _stored_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches of requests for events, the second judged against what the first left; the catalog in the end."""
+    stored = UpsertTable(spark, scratch_path(spark, "events"), "event_id")
+    stored.merge(views.event_catalog(spark, sf), 0, order=None)
+    for odd in (1, 0):
+        append.store(stored, views.event_requests(spark, sf).where(f"seq % 2 = {odd}"), append.append_events)
+    return stored.read()
+
+
+def _state(name: str) -> Query:
+    return lambda spark, sf: read_state(spark, streams.run_to(spark, sf, name), name)
+
+
+#: An average as a user would write it who has no SQL for it.
+AVERAGE = UserAggregate(init=lambda: (0.0, 0), add=lambda s, amount: (s[0] + amount, s[1] + 1), merge=lambda a, b: (a[0] + b[0], a[1] + b[1]),
+                        finish=lambda s: s[0] / s[1] if s[1] else 0.0)
+
+
+def _average_by_functions(spark: SparkSession, sf: str) -> DataFrame:
+    amounts = sale_entries(views.ticket_sales(spark, sf)).where("key is not null")
+    return fold_by(amounts, "key", ["amount"], AVERAGE).selectExpr("key", f"'{C.AVERAGE_PER_EVENT[0]}' as id",
+                                                                   f"'{C.AVERAGE_PER_EVENT[1]}' as eventName", "value")
+
+
 def _trimmed(spark: SparkSession, sf: str) -> DataFrame:
     padded = views.city_requests(spark, sf).withColumn("city_name", F.expr("concat('\\t ', city_name, if(seq % 2 = 0, '\\n', ' \\r'))"))
     return append.append_cities(views.city_catalog(spark, sf), append.trimmed(padded))[0]
@@ -181,6 +209,15 @@ def all_queries() -> dict[str, Query]:
         lambda s, d: graced.profit_per_minute_graced(views.delayed_sales(s, d), views.delayed_expenses(s, d)))
     out["sales_priced_asof"] = _shown(lambda s, d: price_sales_asof(views.raw_sales(s, d), views.catalog_copies(s, d)))
     out["append_cities_twice"] = _shown(_stored_cities)
+    out["append_events_twice"] = _shown(_stored_events)
+    out["average_sale_by_functions"] = _shown(_average_by_functions, *_AVERAGE)
+    for name in ("total_revenue", "revenue_per_event", "profit_per_event"):
+        out[f"state_{name}"] = _result(name, _state)
+    out["stream_changes_revenue_per_event"] = _shown(lambda s, d: streams.changes(s, d, "revenue_per_event"))
+    out["stream_sales_priced"] = _shown(streams.priced)
+    out["stream_quarantine_sales"] = _shown(lambda s, d: s.read.parquet(f"{streams.split(s, d)}/rejected").drop("value", "b"))
+    out["stream_quarantine_counts"] = _shown(
+        lambda s, d: s.read.parquet(f"{streams.split(s, d)}/counts").groupBy("reason").agg(F.sum("n").alias("n")))
     out["append_trimmed"] = _shown(_trimmed)
     out["city_list"] = _shown(lambda s, d: catalog.list_cities(views.city_catalog(s, d)))
     out["catalog_list"] = _shown(lambda s, d: catalog.list_events(views.event_catalog(s, d)))

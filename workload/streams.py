@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.session import scratch_path
+from turnstile.sinks.envelope import from_records
 from turnstile.sinks.tables import UpsertTable
 from turnstile.sources import topics
+from turnstile.sources.catalog import RefreshingCatalog
 from turnstile.sources.decode import decode_expenses, decode_sales, good
-from turnstile.streaming.runners import start_result, without_replays
+from turnstile.streaming.runners import start_pricing, start_result, start_split, without_replays
 from workload import views
 
 CHUNKS = 3
@@ -39,6 +41,11 @@ def run(spark: SparkSession, sf_dir: str, name: str, by: str = "key", replayed:
 
     `replayed`: every sale arrives twice.
     """
+    return UpsertTable(spark, f"{run_to(spark, sf_dir, name, (f'by_{by}',), replayed)}/{name}/by_{by}", by).read()
+
+
+def run_to(spark: SparkSession, sf_dir: str, name: str, sinks: tuple[str, ...] = ("by_key",), replayed: bool = False) -> str:
+    """The folder that a run of result `name` filled."""
     root = publish(spark, sf_dir)
     files = spark.sparkContext.defaultParallelism
     sales = good(decode_sales(topics.stream_files(spark, f"{root}/sales", files_per_batch=files)))
@@ -51,7 +58,33 @@ def run(spark: SparkSession, sf_dir: str, name: str, by: str = "key", replayed:
     usual = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", min(int(usual), files))
     try:
-        start_result(name, sales, expenses, out, sinks=(f"by_{by}",), every=None).awaitTermination()
+        start_result(name, sales, expenses, out, sinks=sinks, every=None).awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
-    return UpsertTable(spark, f"{out}/{name}/by_{by}", by).read()
+    return out
+
+
+def changes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The updates that a run of result `name` sent, read back from its change records: `key, id, eventName, value` and the micro-batch `b`."""
+    sent = spark.read.parquet(f"{run_to(spark, sf_dir, name, ('changes',))}/{name}/changes")
+    return from_records(sent.withColumn("key", F.struct("key", "b"))).select("key.*", "id", "eventName", "value")
+
+
+def split(spark: SparkSession, sf_dir: str) -> str:
+    """The altered sales topic read once, in several micro-batches, with good and refused records apart; the folder of the latter."""
+    root = scratch_path(spark, "split")
+    topics.write_files(views.sales_topic(spark, sf_dir).repartition(4), f"{root}/topic")
+    decoded = decode_sales(topics.stream_files(spark, f"{root}/topic", files_per_batch=2))
+    start_split(decoded, root, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/good/b={batch}"), every=None).awaitTermination()
+    return root
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sales priced as a stream against a catalog that is read again while it runs."""
+    root = scratch_path(spark, "priced")
+    raw = views.raw_sales(spark, sf_dir)
+    raw.write.parquet(f"{root}/raw")
+    catalog = RefreshingCatalog(lambda: views.event_catalog(spark, sf_dir), interval=0.0)
+    start_pricing(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/raw"), catalog, root,
+                  lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/out/b={batch}"), every=None).awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("b")
