@@ -348,7 +348,7 @@ def grams(text):
         first = xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)
         return xxhash.xxh64_intdigest(b.to_bytes(8, "little"), first)
 
-    return [signed(h) % quality_rules.BUCKETS for h in [*hashes, *(both(a, b) for a, b in pairwise(hashes))]]
+    return [signed(h) for h in [*hashes, *(both(a, b) for a, b in pairwise(hashes))]]
 
 
 def base(text):
@@ -359,6 +359,38 @@ def base(text):
     return (len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
 
 
+def brute_rules(rows, quality):
+    """Scores of all rows and their verdicts: weights of each row's n-grams without its own, cut between the means of both classes."""
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if quality.get(i) == 1:
+            target.update(grams(t))
+    share, scores = target.total() / raw.total(), []
+    for i, t in rows:
+        own, total = Counter(grams(t)), 0
+        for g, n in own.items():
+            others = target[g] - (n if quality.get(i) == 1 else 0)
+            if raw[g] > n:
+                total += n * round(quality_rules.UNIT * np.log((others + 1) / ((raw[g] - n) * share + 1)))
+        scores.append(total / own.total() / quality_rules.UNIT if own else None)
+    passed = [base(t)[0] >= 20 and 100 * base(t)[4] <= 30 * base(t)[0] for _, t in rows]
+    means = [np.mean([round(x * quality_rules.UNIT) for (i, _), x, p in zip(rows, scores, passed) if p and quality.get(i) == k]) for k in (0, 1)]
+    return scores, [p and x * quality_rules.UNIT >= sum(means) / 2 for x, p in zip(scores, passed)]
+
+
+def test_copies_are_scored_like_single_texts(spark):
+    rng = random.Random(28)
+    rows = [(i, words(rng, 40, 60) if i % 3 else words(rng, 20, 60) + " " + words(rng, 20, 60).replace("w", "v")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    for copies in (1, 2, 5):
+        many = rows + [(100 + k, rows[1][1]) for k in range(copies - 1)] + [(200 + k, rows[2][1]) for k in range(copies - 1)]
+        got = {r.doc_id: (r.score, r.kept) for r in quality_rules.judge(frame(spark, many), labels).collect()}
+        scores, kept = brute_rules(many, {i: int(i % 3 > 0) for i in range(0, 60, 2)})
+        assert {i: k for (i, _), k in zip(many, kept)} == {i: k for i, (_, k) in got.items()}
+        assert [got[i][0] for i, _ in many] == pytest.approx(scores, abs=1e-9)
+
+
 def test_quality_rules(spark):
     rng = random.Random(8)
     loop = words(rng, 9)
@@ -367,20 +399,14 @@ def test_quality_rules(spark):
     rows += [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (7, "repeated row")]
     docs = frame(spark, rows, "doc_id long, text string, kept string, weights string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(41, 0, 0), (None, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    raw, target = Counter(), Counter()
-    for i, t in rows:
-        raw.update(grams(t))
-        if i is not None and i < 40:
-            target.update(grams(t))
-    scale = (raw.total() + quality_rules.BUCKETS) / (target.total() + quality_rules.BUCKETS)
-    weight = {g: round(10_000 * (np.log((target[g] + 1) / (n + 1)) + np.log(scale))) for g, n in raw.items()}
+    rows += [(60, rows[3][1]), (61, rows[3][1]), (62, rows[45][1])]  # copies, of a labelled text and of another
+    docs = frame(spark, rows, "doc_id long, text string, kept string, weights string")
+    scores, kept = brute_rules(rows, {i: int(i < 40) for i in [*range(40), 41]})
     got = quality_rules.judge(docs, labels).collect()
     assert len(got) == len(rows)
-    want = Counter()
-    for i, t in rows:
-        b, own = base(t), grams(t)
-        failed = b[0] < 20 or 100 * b[4] > 30 * b[0]
-        want[(i, *b, failed, not failed and sum(weight[g] for g in own) >= -1000 * len(own))] += 1
+    told = sorted((str(r.doc_id), r.n_words, -1e9 if r.score is None else round(r.score, 6)) for r in got)
+    assert told == sorted((str(i), base(t)[0], -1e9 if x is None else round(x, 6)) for (i, t), x in zip(rows, scores))
+    want = Counter((i, *base(t), base(t)[0] < 20 or 100 * base(t)[4] > 30 * base(t)[0], k) for (i, t), k in zip(rows, kept))
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got) == want
     assert {r.doc_id for r in got if r.kept} >= set(range(40)) - {7} and not {r.doc_id for r in got if r.kept} & set(range(40, 50))
     kept = quality_rules.keep_good(docs, labels)

@@ -10,8 +10,9 @@ document's score is the mean weight of its n-grams.
 The cut comes from the scores of all documents that pass the base rules: it is the middle between the mean of the trusted ones and the mean of
 those labelled as not good. If none is, or those score no lower, it is SPREAD standard deviations below the trusted mean. Nothing is sampled.
 
-Scoring joins the (text, n-gram) counts with the table of n-grams, and sums by text: a common n-gram is a hot key of the join on the
-side of the texts only, which Spark may split. Texts are told by a 64-bit hash as well; copies share their sums, by which a mean does not change.
+Equal texts, told by a 64-bit hash, are brought together first, with the number of their rows: the n-grams of each distinct text are found once and
+count as often as it has rows, and its sum is taken once and holds for all of them. Scoring joins the (text, n-gram) counts with the table
+of n-grams, and sums by text: a common n-gram is a hot key of the join on the side of the texts only, which Spark may split.
 
 Nulls: a null text counts like one without words. Such a text fails the base rules. Rows that repeat a doc_id are judged as rows; labels
 that repeat count once, as good if any says so. With no trusted document no ratio can be taken, all weights are 0 and the base rules
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from turnstile.llm.common import prepare
 from turnstile.session import materialise
 
-BUCKETS = 1 << 16  # by which the tests' brute-force scores tell n-grams; the operator itself has no buckets
 SMOOTHING = 1.0
 UNIT = 10_000
 SPREAD = 3  # standard deviations below the trusted mean, where no lower class is labelled
@@ -70,29 +70,32 @@ def _grams(texts: DataFrame, *kept: str) -> DataFrame:
             .select(*kept, "_grams", F.expr(_STARTS).alias("_starts")).select(*kept, F.expr(f"inline({_RUNS})")))
 
 
-def counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gram, raw, target): how often each n-gram stands in all documents, and in trusted ones."""
-    texts = docs.selectExpr("cast(doc_id as long) as _id", "text").join(
+def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_key, text, copies, trusted): every text once, the number of its rows, and of those in the trusted target."""
+    rows = docs.selectExpr("cast(doc_id as long) as _id", "text", f"{_KEY} as _key").join(
         trusted_ids(labels).hint("merge"), F.expr("_id = trusted_id"), "left")  # the labels grow with the corpus: one plan at every size
-    grams = _grams(texts.withColumn("trusted", F.expr("trusted_id is not null")), "trusted")
-    return grams.groupBy("gram").agg(F.sum(F.col("n").cast("long")).alias("raw"), F.expr("sum(case when trusted then n else 0L end)").alias("target"))
+    return rows.groupBy("_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.count("trusted_id").alias("trusted"))
+
+
+def counts(texts: DataFrame) -> DataFrame:
+    """(gram, raw, target): how often each n-gram stands in all documents, and in trusted ones."""
+    return _grams(texts, "copies", "trusted").groupBy("gram").agg(F.expr("sum(n * copies)").alias("raw"), F.expr("sum(n * trusted)").alias("target"))
 
 
-def sums(docs: DataFrame, counted: DataFrame) -> DataFrame:
+def sums(texts: DataFrame, counted: DataFrame) -> DataFrame:
     """(_key, _plain, _own): by text, the summed weights as of an unlabelled and as of a trusted document.
 
     Only n-grams that stand twice or more are joined, as others have no weight. A text whose n-grams all stand once has no row.
     """
     raws, targets = counted.agg(F.sum("raw"), F.sum("target")).first()
     if not targets:
-        return docs.sparkSession.createDataFrame([], "_key long, _plain long, _own long")
+        return texts.sparkSession.createDataFrame([], "_key long, _plain long, _own long")
     share = targets / raws
 
     def weight(target: str) -> str:
         return f"cast(round({UNIT} * ln(({target} + {SMOOTHING}D) / ((raw - n) * {share!r}D + {SMOOTHING}D))) as long)"
 
-    pairs = _grams(docs.select(F.expr(_KEY).alias("_key"), "text"), "_key")
-    return (pairs.join(counted.where("raw > 1").hint("merge"), "gram").where("raw > n")
+    return (_grams(texts, "_key").join(counted.where("raw > 1").hint("merge"), "gram").where("raw > n")
             .selectExpr("_key", f"n * {weight('target')} as plain", f"n * {weight('greatest(target - n, 0)')} as own")
             .groupBy("_key").agg(F.sum("plain").alias("_plain"), F.sum("own").alias("_own")))
 
@@ -132,7 +135,8 @@ def _cut(scored: DataFrame) -> float:
 
 def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, _key, base columns, quality, _n, _sum). Each step carries only what later ones need, as it is copied in every step."""
-    table = sums(docs, materialise(counts(docs, labels), "counts"))
+    texts = materialise(distinct_texts(docs, labels), "texts")
+    table = sums(texts, materialise(counts(texts), "counts"))
     said = (labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.expr("cast(doc_id as long)").alias("_id"))
             .agg(F.max(F.expr("cast(quality as int)")).alias("quality")))
     kept = ["doc_id", "_key"]
