@@ -72,22 +72,28 @@ def _grams(texts: DataFrame, *kept: str) -> DataFrame:
 
 def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(_key, text, copies, trusted): every text once, the number of its rows, and of those in the trusted target."""
-    rows = docs.selectExpr("cast(doc_id as long) as _id", "text", f"{_KEY} as _key").join(
-        trusted_ids(labels).hint("merge"), F.expr("_id = trusted_id"), "left")  # the labels grow with the corpus: one plan at every size
-    return rows.groupBy("_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.count("trusted_id").alias("trusted"))
+    texts = docs.select(F.expr(_KEY).alias("_key"), "text").groupBy("_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # The labels grow with the corpus: one plan at every size. Texts stay where they are, only ids and keys meet the labels.
+    known = docs.selectExpr("cast(doc_id as long) as _id", f"{_KEY} as _known").join(trusted_ids(labels).hint("merge"), F.expr("_id = trusted_id"))
+    trusted = known.groupBy("_known").agg(F.count("*").alias("_n"))
+    return texts.join(trusted.hint("merge"), F.expr("_key = _known"), "left").selectExpr("_key", "text", "copies", "coalesce(_n, 0L) as trusted")
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """(gram, raw, target): how often each n-gram stands in all documents, and in trusted ones."""
-    return _grams(texts, "copies", "trusted").groupBy("gram").agg(F.expr("sum(n * copies)").alias("raw"), F.expr("sum(n * trusted)").alias("target"))
+    """(gram, raw, target): how often each n-gram that more than one document holds stands in all documents, and in trusted ones."""
+    return (_grams(texts, "copies", "trusted").groupBy("gram")
+            .agg(F.expr("sum(n * copies)").alias("raw"), F.expr("sum(n * trusted)").alias("target"), F.max("n").alias("most"))
+            .where("raw > most").drop("most"))
 
 
 def sums(texts: DataFrame, counted: DataFrame) -> DataFrame:
     """(_key, _plain, _own): by text, the summed weights as of an unlabelled and as of a trusted document.
 
-    Only n-grams that stand twice or more are joined, as others have no weight. A text whose n-grams all stand once has no row.
+    Only n-grams that more than one document holds are joined, as others have no weight. A text without any has no row.
     """
-    raws, targets = counted.agg(F.sum("raw"), F.sum("target")).first()
+    length = "greatest(2 * size(filter(split(coalesce(text, ''), '[" + _SPACE + "]+'), w -> w <> '')) - 1, 0)"  # words and pairs of them
+    raws, targets = texts.selectExpr("copies", "trusted", f"cast({length} as long) as n").agg(
+        F.expr("sum(n * copies)"), F.expr("sum(n * trusted)")).first()
     if not targets:
         return texts.sparkSession.createDataFrame([], "_key long, _plain long, _own long")
     share = targets / raws
@@ -95,7 +101,7 @@ def sums(texts: DataFrame, counted: DataFrame) -> DataFrame:
     def weight(target: str) -> str:
         return f"cast(round({UNIT} * ln(({target} + {SMOOTHING}D) / ((raw - n) * {share!r}D + {SMOOTHING}D))) as long)"
 
-    return (_grams(texts, "_key").join(counted.where("raw > 1").hint("merge"), "gram").where("raw > n")
+    return (_grams(texts, "_key").join(counted.hint("merge"), "gram").where("raw > n")
             .selectExpr("_key", f"n * {weight('target')} as plain", f"n * {weight('greatest(target - n, 0)')} as own")
             .groupBy("_key").agg(F.sum("plain").alias("_plain"), F.sum("own").alias("_own")))
 
