@@ -241,6 +241,15 @@ def test_pivots(spark, monkeypatch):
     assert pivots.near_vectors(table.where("false")).count() == 0
 
 
+def test_vectors_of_a_length_without_reference_points_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "reference_points", lambda vectors, limit: {4: np.eye(4)})
+    rows = [(1, [1.0, 0.0], "x"), (2, [1.0, 0.1], "x"), (3, [0.0, 1.0], "x"), (4, [1.0, 0.1], "y"), (5, [1.0, 0.0, 0.0], "x"), (6, [1.0, 0.0, 0.1], "x"),
+            (7, [0.0, 0.0], "x"), (8, None, "x")]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in
+           pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert out == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
+
+
 def reachable(links):
     out = {}
     for start in sorted(links):
@@ -323,6 +332,17 @@ def test_line_dedup(spark):
     assert line_dedup.removed(odd_docs(spark)).count() == odd_docs(spark).count()
 
 
+def test_line_dedup_of_one_id_with_two_texts(spark):
+    rng = random.Random(5)
+    shared, own, other = (words(rng, 25, 10**6) for _ in range(3))
+    texts = [(1, f"{shared}\nfirst"), (2, f"{own}\n{shared}\nsecond"), (2, f"{other}\n{other} x\nthird"), (2, f"{other}\n{other} x\nthird")]
+    left = sorted((r.doc_id, r.text) for r in line_dedup.removed(frame(spark, texts)).collect())
+    assert left == sorted([texts[0], (2, f"{own}\nsecond"), *texts[2:]])  # the lines of the third text are its own, equal rows stay equal
+    copies = [(7, f"{shared}\n{'abc'[i]}") for i in range(3)]  # one document a text: all but the first lose the passage
+    left = [r.text for r in line_dedup.removed(frame(spark, copies)).collect()]
+    assert sorted(len(t.split()) for t in left) == [1, 1, 26] and sorted(t[-1] for t in left) == ["a", "b", "c"]
+
+
 def test_line_dedup_removes_every_repeated_passage(spark):
     docs = C.read(spark, SF, "documents")
     left = [(r.doc_id, r.text) for r in line_dedup.removed(docs).orderBy("doc_id").collect()]
@@ -471,6 +491,25 @@ def test_bottomk(spark, monkeypatch, limits):
         assert got == want
 
 
+@pytest.mark.parametrize("limit", [1, 64])
+def test_bottomk_of_one_id_with_two_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(bottomk, "LIST", limit)
+    rng = random.Random(6)
+    a, b, alone = (words(rng, 60, 10**6) for _ in range(3))
+    rows = [(1, a), (2, a + " x"), (2, alone), (2, b), (5, b + " y"), (5, a + " z"), (5, a + " z"), (5, a.upper() + "  z")]
+    out = sorted((r.doc_id, r.component_id, r.kept) for r in bottomk.near_duplicates(frame(spark, rows), words=2).collect())
+    assert out == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True), (5, 2, False), *[(5, 1, False)] * 3])
+    assert sorted((r.doc_id, r.text) for r in bottomk.keep_one(frame(spark, rows), words=2).collect()) == sorted([(1, a), (2, alone), (2, b)])
+    both = bottomk.keep_one(frame(spark, [(3, a), (3, a + " x"), (3, a), (3, a.upper())]), words=2).collect()
+    assert len(both) == 1 and both[0].text.lower().startswith(a)
+
+
+def test_training_rows_are_bounded_by_ids(spark):
+    docs = spark.range(5_000).selectExpr("7L as doc_id", "concat('text ', id) as text").unionAll(spark.range(3).selectExpr("id", "'other'"))
+    sample = spark.createDataFrame([(7, 1), (1, 0)], "doc_id long, label int")
+    assert sorted(map(tuple, C.with_text(docs, sample).collect())) == [("other", 0), ("text 0", 1)]
+
+
 def test_bottomk_odd_rows(spark):
     out = bottomk.near_duplicates(odd_docs(spark), words=2).collect()
     assert len(out) == odd_docs(spark).count() and all(r.kept for r in out)
@@ -512,6 +551,9 @@ def test_automaton():
 
 
 def test_quotation():
+    beyond = "\U0001E922\U0001E923\U0001E924\U0001E925\U0001E926"  # letters beyond the first 65,536 code points, and their capitals
+    found, count = toxicity.matches(toxicity.automaton([(beyond, True)]), [f"{beyond.swapcase()} {beyond[:3]}", f"a {beyond}b c", "\U0001F600"])
+    assert found.tolist() == [[0, 0, 0, 0], [1, 0, 1, 0]] and count.tolist() == [2, 3, 0]
     machine = toxicity.automaton([("idiot", True)])
     found, count = toxicity.matches(machine, ["You IDIOT, go", 'he said "idiot" twice', "", "idoit iddiot", 'a " far' + " x" * 60 + " idiot"])
     assert found.tolist() == [[0, 0, 0, 0], [1, 0, 0, 1], [3, 0, 1, 0], [4, 0, 0, 0]] and count.tolist() == [3, 4, 0, 2, 63]

@@ -2,7 +2,8 @@
 
 Every document becomes the set of its word shingles, and its sketch is the k smallest hashes of that set.
 
-1. Documents with equal sets form a class; from here on only its smallest doc_id, the representative, takes part.
+1. Documents with equal sets form a class, which gets a number; from here on only one document of it, that with the smallest doc_id,
+   takes part.
 2. Inverted lists. Two sets with a similarity of 0.8 or more share at least `least_overlap` values of their sketches. So, with the
    values of all sketches put in one order, rarest first, each sketch needs to be listed only under its first
    (size - least_overlap + 1) values: two such sketches meet in a list. Values that one document holds alone come first and make no
@@ -16,7 +17,8 @@ Every document becomes the set of its word shingles, and its sketch is the k sma
 5. Links become components (`common.components`).
 
 Nulls: a text that is null, empty or has no words has no shingles and links with nothing. Rows without a doc_id take no part either, and
-get a null component. Rows that repeat a doc_id are judged as rows and share the id. Other columns are neither read nor returned.
+get a null component. Rows that repeat a doc_id with other texts are documents of their own
+(classes are told apart by fingerprints of their sets, never by an id) and share the id in the result. Other columns are neither read nor returned.
 
 Joins with texts, sketches or sets on one side are merge joins at every size, as the other side grows with the corpus too.
 """
@@ -38,7 +40,8 @@ K = 64
 LIST = 64  # members of a list whose pairs are written out
 BLOCK_DOCS, BLOCK_VALUES = 1500, 1_000_000  # of one side of a block comparison
 CHUNK = 4096  # columns of a matrix product
-_ROW = "doc_id long, n_shingles long, fp_a long, fp_b long, sketch array<long>"
+_ROW = "doc_id long, mark long, n_shingles long, fp_a long, fp_b long, sketch array<long>"
+_MARK = "xxhash64(text)"  # tells the texts of one doc_id apart
 
 
 def least_overlap(k: int, similarity: float, miss: float = 1e-6) -> int:
@@ -57,9 +60,9 @@ def _sketches(words: int, k: int):
             sets = list(shingle_sets(strings(batch.column("text")), words))
             marks = [fingerprint(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [batch.column("doc_id").cast(pa.int64()), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-                 list_column([s[:k] for s in sets], pa.int64())], ["doc_id", "n_shingles", "fp_a", "fp_b", "sketch"])
+                 list_column([s[:k] for s in sets], pa.int64())], ["doc_id", "mark", "n_shingles", "fp_a", "fp_b", "sketch"])
 
     return run
 
@@ -67,9 +70,11 @@ def _sketches(words: int, k: int):
 def _full_sets(words: int):
     def run(batches):
         for batch in batches:
+            sets = list(shingle_sets(strings(batch.column("text")), words))
+            marks = [fingerprint(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), list_column(list(shingle_sets(strings(batch.column("text")), words)), pa.int64())],
-                ["rep", "full"])
+                [batch.column("doc_id").cast(pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
+                 list_column(sets, pa.int64())], ["doc_id", "fp_a", "fp_b", "full"])
 
     return run
 
@@ -111,19 +116,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     Linked are documents whose sets of `words`-word shingles have 100 * intersection >= percent * union. The component is the
     smallest doc_id reachable over links; kept is doc_id = component_id.
     """
+    return _judged(docs, words, percent, k).selectExpr("doc_id", "n_shingles", "component_id", "coalesce(doc_id = component_id, true) as kept")
+
+
+def _judged(docs: DataFrame, words: int, percent: int, k: int = K) -> DataFrame:
+    """(doc_id, mark, n_shingles, fp_a, fp_b, component_id, first) for every row. `first`: the row is of the class that its component keeps,
+    that with the smallest (doc_id, fp_a, fp_b), and has that doc_id."""
     prepare(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
+    texts = docs.selectExpr("doc_id", "text", f"{_MARK} as mark")
     rows = materialise(texts.mapInArrow(_sketches(words, k), _ROW), "sketches")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(known.groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("doc_id"))
+                          .withColumn("rep", F.monotonically_increasing_id()), "numbered")  # written, so that the numbers stay
     links = materialise(_links(texts, known, classes, words, percent, k), "near_links")
-    reached = components(links).withColumnRenamed("node", "rep")
-    found = classes.join(reached, "rep", "left").selectExpr("fp_a", "fp_b", "coalesce(component, rep) as reached")
+    named = classes.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
+    tops = (named.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "fp_a", "fp_b")).alias("top")))
+    found = (named.join(tops, "component", "left").withColumn("top", F.expr("coalesce(top, struct(doc_id, fp_a, fp_b))"))
+             .selectExpr("fp_a", "fp_b", "top.doc_id as reached", "top.fp_a = fp_a and top.fp_b = fp_b as chosen"))
     with_words, without = rows.where("n_shingles > 0"), rows.where("n_shingles = 0")
     return (with_words.join(found, ["fp_a", "fp_b"], "left")
-            .selectExpr("doc_id", "n_shingles", "case when doc_id is not null then coalesce(reached, doc_id) end as component_id")
-            .unionAll(without.selectExpr("doc_id", "n_shingles", "doc_id as component_id"))
-            .selectExpr("doc_id", "n_shingles", "component_id", "coalesce(doc_id = component_id, true) as kept"))
+            .selectExpr("doc_id", "mark", "n_shingles", "fp_a", "fp_b", "case when doc_id is not null then reached end as component_id",
+                        "chosen and doc_id = reached as first")
+            .unionAll(without.selectExpr("doc_id", "mark", "n_shingles", "fp_a", "fp_b", "doc_id as component_id", "true as first")))
 
 
 def _links(texts: DataFrame, known: DataFrame, classes: DataFrame, words: int, percent: int, k: int) -> DataFrame:
@@ -131,8 +145,8 @@ def _links(texts: DataFrame, known: DataFrame, classes: DataFrame, words: int, p
     similarity = percent / 100
     overlap = least_overlap(k, similarity)
     sketches = materialise(
-        known.join(classes.selectExpr("rep as doc_id", "fp_a", "fp_b").hint("merge"), ["doc_id", "fp_a", "fp_b"], "left_semi")
-        .selectExpr("doc_id as rep", "n_shingles as n", "sketch").dropDuplicates(["rep"]), "classes")
+        known.join(classes.hint("merge"), ["doc_id", "fp_a", "fp_b"])
+        .selectExpr("rep", "n_shingles as n", "sketch").dropDuplicates(["rep"]), "classes")
     values = sketches.selectExpr("rep", "n", "explode(sketch) as value")
     common = values.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
     exact = f"n < {similarity * k}"
@@ -160,9 +174,12 @@ def _links(texts: DataFrame, known: DataFrame, classes: DataFrame, words: int, p
         .withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
         .withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
         .selectExpr("value", "rep", "block", "least(block, other) as lo", "greatest(block, other) as hi"), "dealt")
-    wanted = close.selectExpr("a as doc_id").unionAll(close.selectExpr("b as doc_id")).unionAll(dealt.selectExpr("rep as doc_id")).distinct()
-    full = materialise(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_full_sets(words), "rep long, full array<long>")
-                       .dropDuplicates(["rep"]), "full_sets")
+    reps = close.selectExpr("a as rep").unionAll(close.selectExpr("b as rep")).unionAll(dealt.select("rep")).distinct()
+    wanted = materialise(classes.join(reps, "rep", "left_semi"), "wanted")
+    full = materialise(
+        texts.select("doc_id", "text").join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        .mapInArrow(_full_sets(words), "doc_id long, fp_a long, fp_b long, full array<long>").dropDuplicates(["doc_id", "fp_a", "fp_b"])
+        .join(wanted.hint("merge"), ["doc_id", "fp_a", "fp_b"]).select("rep", "full"), "full_sets")
     confirmed = (close.hint("merge").join(full.selectExpr("rep as a", "full as fa"), "a")
                  .hint("merge").join(full.selectExpr("rep as b", "full as fb"), "b")
                  .withColumn("both", F.expr("size(array_intersect(fa, fb))"))
@@ -174,8 +191,11 @@ def _links(texts: DataFrame, known: DataFrame, classes: DataFrame, words: int, p
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay: one document of each component. Columns are those of `docs`.
 
-    Rows that repeat a doc_id are copies of one document, and one of them stays. Rows without a doc_id stay.
+    Of each component its class with the smallest (doc_id, fingerprint) stays. Rows of one doc_id with equal shingles are one document,
+    of which the text with the smallest hash stays once; with other shingles they are documents of their own. Rows without a doc_id stay.
     """
-    gone = near_duplicates(docs, words, percent).where("not kept").selectExpr("doc_id as doc_id").distinct()
-    unnamed = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionAll(unnamed)
+    stays = (_judged(docs, words, percent).where("doc_id is not null and first")
+             .groupBy("doc_id", "fp_a", "fp_b").agg(F.min("mark").alias("_mark")).select("doc_id", "_mark").distinct())
+    named = docs.where("doc_id is not null").withColumn("_mark", F.expr(_MARK))
+    return (named.join(stays.hint("merge"), ["doc_id", "_mark"], "left_semi").dropDuplicates(["doc_id", "_mark"]).select(docs.columns)
+            .unionAll(docs.where("doc_id is null")))

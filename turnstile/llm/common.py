@@ -61,8 +61,12 @@ def labelled_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
 
 
 def with_text(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(text, label) of the sampled documents. The sample is bounded, so it is the side to broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    """(text, label) of the sampled documents, one row an id. The sample is bounded, so it is the side to broadcast.
+
+    Of several texts of one id the smallest is taken, found a task at a time, so the result has no more rows than the sample.
+    """
+    return (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+            .select("text", "label"))
 
 
 def strings(column: pa.Array) -> pa.StringArray:

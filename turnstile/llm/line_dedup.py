@@ -3,17 +3,17 @@
 1. Every document becomes the hashes of its lines that are not blank (white space at both ends is left out of account). A line key is the
    hash of a line together with as many lines behind it as it takes to hold MIN_WORDS words: lines like that are rare, since so many words
    do not recur by chance, while a short line ("All rights reserved.") may stand in a third of all documents without tying them together.
-2. Each document that holds a key meets the first document (the smallest doc_id) that holds it. So a passage that a third of all
+2. Each document that holds a key meets the first document that holds it, in the order of (doc_id, hash of the text). So a passage that a third of all
    documents share makes one pair a document, not all pairs. Only hashes of lines travel, not texts.
 3. The two are aligned by patience diff: lines that occur once in both, in the longest common order, are anchors, and the stretches
    between anchors are aligned the same way. A passage that stands in another order is looked up in what the alignment leaves over.
 4. Common blocks of consecutive lines with MIN_WORDS words or more are deleted from the later document. A line goes only if an earlier
    document holds it, so the first copy of every line stays.
 
-Nulls: a null text stays null, an empty one empty. Rows without a doc_id are not compared and stay as they are. Rows that repeat a doc_id
-are taken as copies of one document and are not compared with each other; they should have equal texts, as the lines to delete are found
-by number. Lines are parted by "\\n" only. Other columns are kept by `remove_repeats` and not read. No document or line is skipped for its
-length.
+Nulls: a null text stays null, an empty one empty. Rows without a doc_id are not compared and stay as they are. Rows that repeat a
+doc_id with another text are documents of their own, which come in the order of a hash of their texts; those with an equal text are
+copies of one document, are not compared with each other and lose the same lines. Lines are parted by "\\n" only. Other columns are
+kept by `remove_repeats` and not read. No document or line is skipped for its length.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from turnstile.llm.common import list_column, prepare, strings
 from turnstile.session import materialise
 
 MIN_WORDS = 20
-_LINES = "doc_id long, lines array<long>, words array<int>, numbers array<int>, keys array<long>"
-_CUTS = "doc_id long, first int, last int"
+_LINES = "place decimal(38,0), lines array<long>, words array<int>, numbers array<int>, keys array<long>"
+_CUTS = "place decimal(38,0), first int, last int"
+#: The order of documents as one number: doc_id, then 62 bits of a hash of the text.
+_PLACE = "cast(cast(cast(doc_id as long) as decimal(38,0)) * 4611686018427387904 + (xxhash64(text) & 4611686018427387903) as decimal(38,0))"
 
 
 def _signed(value: int) -> int:
@@ -45,10 +47,10 @@ def _read_lines(min_words: int):
         for batch in batches:
             out = [describe(text, min_words) for text in strings(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()),
+                [batch.column("place"),
                  *(list_column([np.array(o[c], t) for o in out], pa.from_numpy_dtype(t))
                    for c, t in enumerate((np.int64, np.int32, np.int32, np.int64)))],
-                ["doc_id", "lines", "words", "numbers", "keys"])
+                ["place", "lines", "words", "numbers", "keys"])
 
     return run
 
@@ -189,27 +191,30 @@ def _align(min_words: int):
             out = []
             for row in batch.to_pylist():
                 for first, last in common_blocks(row["earlier_lines"], row["lines"], row["words"], min_words):
-                    out.append((row["doc_id"], row["numbers"][first], row["numbers"][last]))
+                    out.append((row["place"], row["numbers"][first], row["numbers"][last]))
             columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                                             ["doc_id", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.decimal128(38, 0), pa.int32(), pa.int32()), strict=True)],
+                                             ["place", "first", "last"])
 
     return run
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, cuts): the stretches of lines, by first and last number from 0, that repeat an earlier document. Others have no row."""
+    """(place, cuts): the stretches of lines, by first and last number from 0, that repeat an earlier document. Others have no row.
+
+    `place` is the document's place in their order: its doc_id and a hash of its text in one number (_PLACE).
+    """
     prepare(docs.sparkSession)
-    lines = materialise(docs.where("doc_id is not null").selectExpr("cast(doc_id as long) as doc_id", "text")
+    lines = materialise(docs.where("doc_id is not null").selectExpr(f"{_PLACE} as place", "text")
                         .mapInArrow(_read_lines(min_words), _LINES), "lines")
-    keys = lines.selectExpr("doc_id", "explode(keys) as key")
-    holders = keys.groupBy("key").agg(F.min("doc_id").alias("earlier"), F.max("doc_id").alias("latest")).where("earlier < latest")
-    pairs = materialise(keys.join(holders, "key").where("doc_id > earlier").select("doc_id", "earlier").distinct(), "pairs")
-    once = materialise(lines.drop("keys").dropDuplicates(["doc_id"]), "once")  # written, so that Spark can split a hot document's join
-    met = (pairs.join(once.selectExpr("doc_id as earlier", "lines as earlier_lines"), "earlier")
-           .join(once, "doc_id").select("doc_id", "earlier_lines", "lines", "words", "numbers"))
+    keys = lines.selectExpr("place", "explode(keys) as key")
+    holders = keys.groupBy("key").agg(F.min("place").alias("earlier"), F.max("place").alias("latest")).where("earlier < latest")
+    pairs = materialise(keys.join(holders, "key").where("place > earlier").select("place", "earlier").distinct(), "pairs")
+    once = materialise(lines.drop("keys").dropDuplicates(["place"]), "once")  # written, so that Spark can split a hot document's join
+    met = (pairs.join(once.selectExpr("place as earlier", "lines as earlier_lines"), "earlier")
+           .join(once, "place").select("place", "earlier_lines", "lines", "words", "numbers"))
     cuts = materialise(met.mapInArrow(_align(min_words), _CUTS), "cuts")
-    return cuts.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
+    return cuts.groupBy("place").agg(F.collect_set(F.struct("first", "last")).alias("cuts"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
@@ -227,8 +232,8 @@ _LEFT = ("array_join(filter(split(text, '\\n'), (line, n) -> not exists(_cuts, c
 
 
 def _with_cuts(docs: DataFrame, min_words: int) -> DataFrame:
-    found = repeats(docs, min_words).selectExpr("doc_id as _cut_id", "cuts as _cuts")
-    return docs.join(found.hint("merge"), docs["doc_id"].cast("long") == found["_cut_id"], "left")
+    found = repeats(docs, min_words).selectExpr("place as _place", "cuts as _cuts")
+    return docs.withColumn("_place", F.expr(_PLACE)).join(found.hint("merge"), "_place", "left")
 
 
 def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

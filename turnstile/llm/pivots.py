@@ -5,7 +5,7 @@ lie close together see the same pivots first.
 
 * Reference points are at most `pivots_for(rows)` vectors, about twice the square root of their number, at most MAX_PIVOTS: the first
   ones by a hash of vec_id, without those closer than APART to one already taken (a group of copies would else supply them all). The
-  sample bounds the pivots only; every vector is indexed.
+  sample bounds the pivots only; every vector is indexed. Vectors of a length that no reference point has share one list a label.
 * Inverted lists, one for each label, dimension and pivot. Pairs are wanted that share at least SHARED of their nearest pivots, so a
   vector needs to be listed only under the first (NEAREST - SHARED + 1) of them by pivot number: such pairs meet in a list.
 * A list is dealt in blocks of at most BLOCK vectors, and each pair of blocks is a task of its own. It counts shared pivots, and takes
@@ -34,6 +34,7 @@ NEAREST, SHARED = 12, 4
 MIN_PIVOTS, MAX_PIVOTS = 64, 4096
 APART = 0.8
 BLOCK = 1024
+NO_PIVOT = -1  # stands for the pivots of vectors without any
 _ROW = "vec_id long, label string, dim int, fp_a long, fp_b long, vector array<double>, pivots array<int>"
 
 
@@ -75,7 +76,7 @@ def _describe(points: dict[int, np.ndarray]):
                       for u, i, n in zip(units, batch.column("vec_id").to_pylist(), batch.column("label").to_pylist(), strict=True)]
             units = [u if ok else np.zeros(0) for u, ok in zip(units, usable, strict=True)]
             marks = [fingerprint(u.tobytes()) for u in units]
-            nearest = [np.zeros(0, np.int32)] * len(units)
+            nearest = [np.full(1, NO_PIVOT, np.int32)] * len(units)
             for dim, at in points.items():
                 rows = [i for i, u in enumerate(units) if len(u) == dim]
                 if rows:

@@ -2,7 +2,7 @@
 
 * Lexicon. Of at most SAMPLE labelled documents, words are counted by the toxic and the clean documents they stand in, where
   documents of the same words in the same order, copies, count once, also among all documents of their label. Terms are words, or beginnings shared by several words, that are
-  frequent in the first and rare in the second. A beginning matches every word that starts with it.
+  frequent in the first and rare in the second, with odds no chance gives in so many documents. A beginning matches every word that starts with it.
 * Matching. The terms make a trie. The automaton that accepts words within one edit (insertion, deletion, substitution) of a term is
   intersected with it: a state is a set of (trie node, edits so far). The sets reachable are few, so they become the rows of a transition
   table, and a batch of words runs through it at once, a letter a step. Terms under FUZZY_LETTERS letters, and terms whose misspellings
@@ -19,6 +19,7 @@ every score is 0. Other columns are not read: language, source and ids are no fe
 
 from __future__ import annotations
 
+import sys
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -33,7 +34,8 @@ from turnstile.session import materialise
 
 SAMPLE = 8_000  # labelled documents that are learned from, at most
 MAX_TERMS = 4_096
-MIN_TOXIC, MIN_SHARE, MIN_ODDS, STEM, KINDS = 4, 0.005, 3.0, 4, 3  # a term stands in so many toxic documents, and such a share
+MIN_TOXIC, MIN_ODDS, STEM, KINDS = 4, 3.0, 4, 3  # a term stands in so many toxic documents
+MIN_G2 = 24.0  # log-likelihood ratio of a term against the share of toxic documents, about one chance in a million
 FUZZY_LETTERS = 5
 CLEAN_FUZZY = 0.001  # share of clean documents that may hold a misspelling of a term
 WINDOW, QUOTED, FUZZY = 40, 0.25, 0.7
@@ -47,14 +49,12 @@ _SLICE = 4_000_000  # characters that run through the automaton at once
 
 @lru_cache(maxsize=1)
 def _word_table() -> np.ndarray:
-    """By code point: whether it is part of a word. Those beyond the table count as not."""
-    table = np.array([chr(i).isalnum() or chr(i) == "@" for i in range(65536)])
-    table[65535] = False
-    return table
+    """By code point: whether it is part of a word."""
+    return np.array([chr(i).isalnum() or chr(i) == "@" for i in range(sys.maxunicode + 1)])
 
 
 def _words(text: str) -> list[str]:
-    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts, ends = _runs(_word_table()[codes])
     return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
@@ -89,7 +89,10 @@ def terms(sample: DataFrame) -> list[tuple[str, bool]]:
              .groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.expr("count_if(toxic > 0)").alias("kinds"),
                                   F.expr("min(word) filter (where toxic > 0)").alias("low"), F.expr("max(word) filter (where toxic > 0)").alias("high")))
     odds = f"ln((toxic + 0.5) / {toxic + 1}) - ln((clean + 0.5) / {clean + 1})"
-    good = (nodes.where(f"toxic >= {max(MIN_TOXIC, MIN_SHARE * toxic)} and {odds} >= {MIN_ODDS} and length(node.text) >= least({STEM}, length(low)) "
+    share = toxic / max(1, toxic + clean)
+    g2 = (f"2 * (toxic * ln(toxic / ((toxic + clean) * {share})) "
+          f"+ case when clean > 0 then clean * ln(clean / ((toxic + clean) * {1 - share})) else 0 end)")
+    good = (nodes.where(f"toxic >= {MIN_TOXIC} and {odds} >= {MIN_ODDS} and {g2} >= {MIN_G2} and length(node.text) >= least({STEM}, length(low)) "
                         f"and (node.whole or (kinds >= {KINDS} and length(node.text) >= {STEM}))")
             .orderBy(F.desc("toxic"), "node").limit(MAX_TERMS).select("node.text", "node.whole", "low", "high").collect())
     chosen: list[tuple[str, bool]] = []
@@ -115,18 +118,22 @@ def terms(sample: DataFrame) -> list[tuple[str, bool]]:
 class Automaton:
     """States of the trie intersected with Levenshtein automata. State 0 is dead, state 1 the start."""
 
-    classes: np.ndarray  # by code point: the letter's class, 0 if no term has it
+    letters: np.ndarray  # code points of the terms, ascending; a letter's class is its place from 1, and 0 if no term has it
     step: np.ndarray  # by state and class: the next state
     term: np.ndarray  # by state: the term accepted if the word ends here, or -1
     edits: np.ndarray  # by state: its edits
     final: np.ndarray  # by state: a beginning is matched exactly, the rest of the word does not matter
 
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, 0) if len(self.letters) else np.zeros(len(codes), np.int64)
+
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The state in which each word ends."""
         state = np.ones(len(starts), np.int32)
         alive, at = np.arange(len(starts)), 0
         while len(alive):
-            letters = self.classes[codes[starts[alive] + at]]
+            letters = self.classes(codes[starts[alive] + at])
             reached = self.step[state[alive], letters]
             state[alive] = reached
             at += 1
@@ -148,10 +155,6 @@ def automaton(lexicon: list[tuple[str, bool]], exact_only: frozenset[int] = froz
             node = children[node][letter]
         (whole if is_whole else begun).setdefault(node, number)
     letters = sorted({c for text, _ in lexicon for c in text})
-    classes = np.zeros(65536, np.int32)
-    for i, letter in enumerate(letters):
-        if ord(letter) < 65536:
-            classes[ord(letter)] = i + 1
 
     def accepts(number: int, edits: int) -> bool:
         return not edits or (number not in exact_only and len(lexicon[number][0]) >= FUZZY_LETTERS)
@@ -194,7 +197,7 @@ def automaton(lexicon: list[tuple[str, bool]], exact_only: frozenset[int] = froz
         if best:
             edits[i], term[i] = best
         final[i] = bool(met) and not nodes
-    return Automaton(classes, np.array([step[i] for i in range(len(number))], np.int32), term, edits, final)
+    return Automaton(np.array([ord(c) for c in letters], np.uint32), np.array([step[i] for i in range(len(number))], np.int32), term, edits, final)
 
 
 def matches(machine: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +210,7 @@ def matches(machine: Automaton, texts: list[str]) -> tuple[np.ndarray, np.ndarra
             last += 1
         lowered = [t.lower() for t in texts[first:last]]
         edges = np.cumsum([len(t) + 1 for t in lowered])
-        codes = np.minimum(np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+        codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         starts, ends = _runs(_word_table()[codes])
         owner = np.searchsorted(edges, starts, side="right")
         words[first:last] = np.bincount(owner, minlength=last - first)
