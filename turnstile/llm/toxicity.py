@@ -114,6 +114,15 @@ def terms(sample: DataFrame) -> list[tuple[str, bool]]:
 # --- automaton -----------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=2)
+def _classes(letters: bytes) -> np.ndarray:
+    """By code point: the class of a letter. Made in each worker, so that it does not travel with the model."""
+    known = np.frombuffer(letters, np.uint32)
+    table = np.zeros(sys.maxunicode + 1, np.int32)
+    table[known] = np.arange(1, len(known) + 1)
+    return table
+
+
 @dataclass
 class Automaton:
     """States of the trie intersected with Levenshtein automata. State 0 is dead, state 1 the start."""
@@ -124,16 +133,13 @@ class Automaton:
     edits: np.ndarray  # by state: its edits
     final: np.ndarray  # by state: a beginning is matched exactly, the rest of the word does not matter
 
-    def classes(self, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
-        return np.where(self.letters[at] == codes, at + 1, 0) if len(self.letters) else np.zeros(len(codes), np.int64)
-
     def run(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The state in which each word ends."""
+        classes = _classes(self.letters.tobytes())
         state = np.ones(len(starts), np.int32)
         alive, at = np.arange(len(starts)), 0
         while len(alive):
-            letters = self.classes(codes[starts[alive] + at])
+            letters = classes[codes[starts[alive] + at]]
             reached = self.step[state[alive], letters]
             state[alive] = reached
             at += 1
