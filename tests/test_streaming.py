@@ -270,3 +270,49 @@ def test_a_shared_query_shows_what_queries_of_their_own_show(spark, tmp_path):
                                  every=None).awaitTermination()
     assert {name: [rows for rows in batches if rows] for name, batches in shared.items()} == {
         name: [rows for rows in batches if rows] for name, batches in own.items()}
+
+
+def test_a_small_batch_opens_its_buckets_of_a_large_table_only(spark, tmp_path):
+    """Ten rows against a million keys: the files read are those of the ten rows' buckets, and the changes since."""
+    table = UpsertTable(spark, str(tmp_path / "t"), "id", bucket_bytes=256 << 10)
+    million = spark.range(1_000_000).selectExpr("cast(id as string) as id", "cast(id as double) as value")
+    table.merge(million, 0, order=None)
+    assert table.versions() == [0]  # a batch larger than the table was is folded at once
+    few = spark.createDataFrame([(str(i), -1.0) for i in (*range(0, 900_000, 100_000), 2_000_000)], "id string, value double")
+    table.merge(few, 1, order=None)
+    assert table.versions() == [0]
+    folders = lambda df: {f.split("/v=0/")[1].split("/")[0] for f in df.inputFiles() if "/v=0/" in f}
+    whole, part = folders(table.read()), table.read(touching=few)
+    assert len(whole) > 30 and 1 <= len(folders(part)) <= 10
+    assert sorted((r.id, r.value) for r in part.join(few, "id", "left_semi").collect()) == sorted(few.collect())
+    assert table.read().count() == 1_000_001 and table.read().where("value = -1").count() == 10
+    old = table.read(before=1, touching=few).join(few, "id", "left_semi")
+    assert sorted(r.value for r in old.collect()) == [float(i) for i in range(0, 900_000, 100_000)]
+    table.merge(million.limit(5), 0, order=None)  # a run that starts anew is not folded: the old whole table goes
+    assert table.versions() == [] and table.read().count() == 5
+
+
+def test_buckets_take_keys_of_any_type_and_nulls(spark, tmp_path):
+    table = UpsertTable(spark, str(tmp_path / "t"), "a", "b", bucket_bytes=1, fold_every=1)
+    rows = spark.createDataFrame([("x", None, 1), (None, None, 2), ("x", 3, 3), ("y", 3, 4)], "a string, b long, value int")
+    table.merge(rows, 0, order=None)
+    for a, b, value in (("x", None, 1), (None, None, 2), ("x", 3, 3)):
+        one = spark.createDataFrame([(a, b)], "a string, b int")  # the keys of a narrower type than the table's
+        assert (a, b, value) in [tuple(r) for r in table.read(touching=one).collect()]
+    table.merge(rows.where("a = 'x'").withColumn("value", rows.value + 10), 1, order=None)
+    assert sorted(r.value for r in table.read().collect()) == [2, 4, 11, 13]
+    assert table.read(touching=rows.limit(0)).count() == 0
+
+
+def test_high_water_over_bucketed_tables(spark, tmp_path, monkeypatch):
+    """Every table folded and cut into buckets with each batch, against brute force."""
+    monkeypatch.setattr("turnstile.streaming.highwater.UpsertTable",
+                        lambda *args: UpsertTable(*args, bucket_bytes=4096, fold_every=1))
+    sales, expenses = records(5, 100, refunds=True)
+    for s, e in chunks(sales, expenses, (20, 60)):
+        publish(spark, tmp_path, s, e)
+        for name in ("highest_profit_event", "city_highest_sales_per_event"):
+            run(spark, tmp_path, name, ("by_key",))
+    read = lambda n: UpsertTable(spark, f"{tmp_path}/out/{n}/by_key", "key").read().collect()
+    assert [(r.eventName, r.value) for r in read("highest_profit_event")] == [brute_profit(sales, expenses)]
+    assert {r.key: (r.eventName, r.value) for r in read("city_highest_sales_per_event")} == brute_city(sales)

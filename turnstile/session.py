@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -81,3 +83,19 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         for path in _scopes.stack.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def side_by_side(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """Run jobs that don't depend on one another at once; their results in order. What they materialise belongs to the caller's scopes."""
+    stack = getattr(_scopes, "stack", None)
+
+    def scoped(job: Callable[[], object]) -> Callable[[], object]:
+        def run() -> object:
+            if stack is not None:
+                _scopes.stack = stack
+            return job()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(scoped(job)) for job in jobs]]

@@ -18,7 +18,7 @@ from turnstile.constants import HIGHEST_PROFIT_KEY
 from turnstile.functions.order import ARRIVAL
 from turnstile.operators import highwater as H
 from turnstile.operators.folds import fold
-from turnstile.session import materialise, scratch_scope
+from turnstile.session import materialise, scratch_scope, side_by_side
 from turnstile.sinks.tables import UpsertTable
 
 
@@ -32,22 +32,33 @@ def high_water_step(name: str, sales: DataFrame, expenses: DataFrame | None, pat
         spark = batch.sparkSession
         totals, bests, names = (UpsertTable(spark, f"{path}/{t}", *keys) for t, keys in (
             ("totals", stream.by), ("bests", ["scope"]), ("names", ["member"])))
-        known, old = bests.read(before=batch_id), totals.read(before=batch_id)
         with scratch_scope(spark):
             contest = replace(stream, entries=materialise(batch, "entries"))  # decoded once, read several times
+            known = bests.read(before=batch_id, touching=contest.entries if contest.scope else None)
+            old = totals.read(before=batch_id, touching=contest.entries)
             if old is not None:
                 old = _touched(contest, old, contest.matches("t"))
             if known is not None and contest.scope:
                 known = _touched(contest, known, "e.scope <=> t.scope")
             cells = H.shortlist(contest, H.with_carry(H.fold_cells(contest), old), keep_last=True)
-            best = H.best_of(contest, cells, known)
-            changed = H.in_doubles(bests.merge(best if known is None else _changed(best, known), batch_id, order=None))
-            totals.merge(H.carry(contest, cells), batch_id, order=None)
+            begun = known is not None and (not profit or not known.isEmpty())
+
+            def best_here() -> DataFrame:
+                best = H.best_of(contest, cells, known)
+                return H.in_doubles(bests.merge(best if known is None else _changed(best, known), batch_id, order=None))
+
+            def name_new() -> None:
+                kept = names.read(before=batch_id, touching=contest.entries)
+                names.merge(_names(contest.entries, kept), batch_id, order=None)
+
+            jobs = [best_here, lambda: totals.merge(H.carry(contest, cells), batch_id, order=None)]
+            if profit:
+                jobs += [name_new] if begun else [name_new, lambda: _first_profit(contest, old)]
+            changed, _, *more = side_by_side(spark, *jobs)
             if profit:
-                named = _names(contest.entries, names.read(before=batch_id))
-                names.merge(named, batch_id, order=None)
-                rows = _profit_rows(contest, changed, names.read(before=batch_id + 1),
-                                    old, None if known is None or known.isEmpty() else H.in_doubles(known), cells)
+                best, first = (_highest(changed, H.in_doubles(known)), None) if begun else (_highest(changed), more[1])
+                shown = best.select("member") if first is None else best.select("member").union(first.select("member"))
+                rows = _profit_rows(best, names.read(before=batch_id + 1, touching=shown), first, cells)
             else:
                 rows = changed.selectExpr("scope as key", "scope as id", "member as eventName", "value", "pos")
             sink(rows, batch_id)
@@ -74,23 +85,35 @@ def _names(batch: DataFrame, old: DataFrame | None) -> DataFrame:
     return new if old is None else new.join(old, "member", "left_anti")
 
 
-def _profit_rows(contest: H.Contest, changed: DataFrame, names: DataFrame, old: DataFrame | None, known: DataFrame | None,
-                 cells: DataFrame) -> DataFrame:
+def _highest(changed: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The one best row."""
+    return (changed if known is None else changed.union(known.select(changed.columns))).orderBy(F.desc("value"), "pos").limit(1)
+
+
+def _profit_rows(best: DataFrame, names: DataFrame, first: DataFrame | None, cells: DataFrame) -> DataFrame:
     """Updates of the highest profit. The very first one passes under its event's own id, later ones under the constant id.
 
     A batch with any profit shows the best so far, also if it is not a new one. The first update gets the arrival before its own: the
     batch's best may have the same, and comes after it.
     """
-    best = (changed if known is None else changed.union(known.select(changed.columns))).orderBy(F.desc("value"), "pos").limit(1)
-    run = changed.sparkSession.sql
+    run = best.sparkSession.sql
     shown = f"""select b.scope as key, '{HIGHEST_PROFIT_KEY}' as id, n.name as eventName, b.value, b.pos
                 from {{best}} b join {{names}} n on b.member = n.member
                 where exists (select 1 from {{cells}} where live)"""
-    if known is not None:
+    if first is None:
         return run(shown, best=best, names=names, cells=cells)
-    carried = (old if old is not None else changed.sparkSession.createDataFrame(
+    return run(f"""
+        select '{HIGHEST_PROFIT_KEY}' as key, n.id, n.name as eventName, f.value, cast(f.start - 1 as decimal(38,0)) as pos
+        from {{first}} f join {{names}} n on f.member = n.member
+        union all {shown} and exists (select 1 from {{first}} where more)""", first=first, best=best, names=names, cells=cells)
+
+
+def _first_profit(contest: H.Contest, old: DataFrame | None) -> DataFrame:
+    """`member, start, more, value` of the first profit that any event shows: one row, or none yet."""
+    spark = contest.entries.sparkSession
+    carried = (old if old is not None else spark.createDataFrame(
         [], "member string, total decimal(38,6), first_sale decimal(38,0), first_expense decimal(38,0)"))
-    first = materialise(run(f"""
+    return materialise(spark.sql(f"""
         with entries as (select *, {ARRIVAL} as pos from {{entries}}),
         sides as (
           select member, min(first_sale) as sale, min(first_expense) as expense, max(last) as last from (
@@ -104,8 +127,4 @@ def _profit_rows(contest: H.Contest, changed: DataFrame, names: DataFrame, old:
         select f.member, f.start, any_value(f.more) as more, cast(sum(e.delta) as double) as value from (
           select member, pos, delta from entries union all select member, cast(0 as decimal(38,0)), total from {{carried}}) e
         join (select /*+ broadcast */ * from earliest) f on e.member = f.member and e.pos <= f.start group by f.member, f.start""",
-                            entries=contest.entries, carried=carried), "first")
-    return run(f"""
-        select '{HIGHEST_PROFIT_KEY}' as key, n.id, n.name as eventName, f.value, cast(f.start - 1 as decimal(38,0)) as pos
-        from {{first}} f join {{names}} n on f.member = n.member
-        union all {shown} and exists (select 1 from {{first}} where more)""", first=first, best=best, names=names, cells=cells)
+                                 entries=contest.entries, carried=carried), "first")
