@@ -307,12 +307,14 @@ def test_buckets_take_keys_of_any_type_and_nulls(spark, tmp_path):
 def test_high_water_over_bucketed_tables(spark, tmp_path, monkeypatch):
     """Every table folded and cut into buckets with each batch, against brute force."""
     monkeypatch.setattr("turnstile.streaming.highwater.UpsertTable",
-                        lambda *args: UpsertTable(*args, bucket_bytes=4096, fold_every=1))
+                        lambda *args: UpsertTable(*args, bucket_bytes=1024, fold_every=1))
     sales, expenses = records(5, 100, refunds=True)
     for s, e in chunks(sales, expenses, (20, 60)):
         publish(spark, tmp_path, s, e)
         for name in ("highest_profit_event", "city_highest_sales_per_event"):
             run(spark, tmp_path, name, ("by_key",))
+    assert all(list(tmp_path.glob(f"out/{t}/v=*/bucket_of_*")) for t in (
+        "highest_profit_event/totals", "highest_profit_event/names", "city_highest_sales_per_event/totals", "city_highest_sales_per_event/bests"))
     read = lambda n: UpsertTable(spark, f"{tmp_path}/out/{n}/by_key", "key").read().collect()
     assert [(r.eventName, r.value) for r in read("highest_profit_event")] == [brute_profit(sales, expenses)]
     assert {r.key: (r.eventName, r.value) for r in read("city_highest_sales_per_event")} == brute_city(sales)
