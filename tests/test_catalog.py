@@ -138,3 +138,24 @@ def test_city_numbers_of_scattered_requests(spark):
 def test_facts_with_a_map_are_spread(spark):
     facts = spark.range(10).selectExpr("'E1' as event_id", "id", "map('a', id) as more")
     assert lookup(facts, catalog.seed_events(spark).select("event_id", "event_name"), "event_id", broadcast_rows=1).count() == 10
+
+
+def test_only_rows_of_hot_keys_are_copied(spark):
+    """Neither the copies nor a large dimension that its file makes look small are broadcast."""
+    facts = spark.range(2000).selectExpr("if(id % 2 = 0, 'E1', if(id % 2 = 1 and id < 1900, concat('E', id % 7), null)) as event_id", "id")
+    events = catalog.seed_events(spark).select("event_id", "event_name")
+    whole = sorted(facts.join(events, "event_id").collect())
+    for hot_rows in (1, 900, 5000):
+        joined = lookup(facts, events, "event_id", broadcast_rows=1, hot_rows=hot_rows)
+        assert sorted(joined.collect()) == whole
+        assert joined.columns == ["event_id", "id", "event_name"]
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan and plan.count("strategy=broadcast") == 2  # the list of hot keys, on either side
+
+
+def test_a_stream_of_facts_is_joined_by_shuffle(spark, tmp_path):
+    spark.range(20).selectExpr("concat('E', id % 7) as event_id", "id").write.parquet(f"{tmp_path}/in")
+    facts = spark.readStream.schema("event_id string, id long").parquet(f"{tmp_path}/in")
+    joined = lookup(facts, catalog.seed_events(spark).select("event_id", "event_name"), "event_id", broadcast_rows=1)
+    joined.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).format("parquet").start(f"{tmp_path}/out").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 15

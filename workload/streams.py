@@ -83,8 +83,10 @@ def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sales priced as a stream against a catalog that is read again while it runs."""
     root = scratch_path(spark, "priced")
     raw = views.raw_sales(spark, sf_dir)
-    raw.write.parquet(f"{root}/raw")
+    files = spark.sparkContext.defaultParallelism
+    # Every micro-batch reads the catalog: were their number to grow with the sales, the work would grow with the square of the input.
+    raw.repartition(CHUNKS * files).write.parquet(f"{root}/raw")
     catalog = RefreshingCatalog(lambda: views.event_catalog(spark, sf_dir), interval=0.0)
-    start_pricing(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/raw"), catalog, root,
+    start_pricing(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/raw"), catalog, root,
                   lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/out/b={batch}"), every=None).awaitTermination()
     return spark.read.parquet(f"{root}/out").drop("b")
