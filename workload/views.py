@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from turnstile.functions.scalars import TICKET_RATE
+from turnstile.operators.lookup import is_small
 from turnstile.session import materialise
 from turnstile.sources import topics
 
@@ -31,6 +32,17 @@ def _named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(p_retailprice as decimal(10,2)) as base_ticket_price")
 
 
+_few_events: dict[str, bool] = {}
+
+
+def _events_to_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`_named_events` to be joined with records: by shuffle, unless they are counted to be few."""
+    events = _named_events(spark, sf_dir)
+    if sf_dir not in _few_events:
+        _few_events[sf_dir] = is_small(events)
+    return events if _few_events[sf_dir] else events.hint("merge")
+
+
 def event_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("""select event_id, event_name, n_name as city, category, base_ticket_price
                         from {events} join {nation} on p_partkey % 25 = n_nationkey""",
@@ -68,7 +80,7 @@ def ticket_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                if(seq % 4 = 0, concat(event_name, ' (renamed)'), event_name) as event_name, n_name as city, category,
                ticket_type, cast(base_ticket_price as double) * {TICKET_RATE} as ticket_price, quantity
         from {{raw}} join {{events}} using (event_id) join {{nation}} on seq % 25 = n_nationkey""",
-                     raw=raw_sales(spark, sf_dir), events=_named_events(spark, sf_dir),
+                     raw=raw_sales(spark, sf_dir), events=_events_to_join(spark, sf_dir),
                      nation=table(spark, sf_dir, "nation"))
 
 
@@ -80,7 +92,7 @@ def barred_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("""select key, ts, seq, expense_id, event_id, event_name, expense_type, cost
                         from {raw} join {events} using (event_id)""",
-                     raw=raw_expenses(spark, sf_dir), events=_named_events(spark, sf_dir))
+                     raw=raw_expenses(spark, sf_dir), events=_events_to_join(spark, sf_dir))
 
 
 _LINE = """concat('E', l_suppkey) as key, cast(l_shipdate as timestamp) as ts, l_orderkey * 8 + l_linenumber as seq,
