@@ -1,11 +1,12 @@
-"""The topics of the streaming queries: their records are joined with the events by shuffle where those are many."""
+"""The topics of the streaming queries: their records are joined with the events once, and by shuffle where those are many."""
 
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from workload import views
+from turnstile.sources import topics
+from workload import streams, views
 
 
 @pytest.fixture
@@ -19,6 +20,18 @@ def given(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_topics_hold_every_record_and_are_joined_once(spark, given, monkeypatch):
+    written = []
+    whole = topics.write_files
+    monkeypatch.setattr(topics, "write_files", lambda records, path, **more: (written.append(records), whole(records, path, **more)))
+    root = streams.publish(spark, given)
+    for name, view in (("sales", topics.encode_sales(views.ticket_sales(spark, given))), ("expenses", topics.encode_expenses(views.event_expenses(spark, given)))):
+        columns = ["key", "value", "timestamp", "partition", "offset"]
+        assert sorted(map(str, spark.read.parquet(f"{root}/{name}").select(columns).collect())) == sorted(map(str, view.select(columns).collect()))
+    assert len(written) == 2 * streams.CHUNKS
+    assert not any("Join" in records._jdf.queryExecution().optimizedPlan().toString() for records in written)
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_many_events_are_not_broadcast(spark, given, monkeypatch, few):
     monkeypatch.setattr(views, "is_small", lambda events: few)

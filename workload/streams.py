@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.session import scratch_path
+from turnstile.session import materialise, scratch_path, scratch_scope
 from turnstile.sinks.envelope import from_records
 from turnstile.sinks.tables import UpsertTable
 from turnstile.sources import topics
@@ -30,8 +30,10 @@ def publish(spark: SparkSession, sf_dir: str) -> str:
         chunk = F.least(F.floor((F.unix_micros("timestamp") - lo) * CHUNKS / (hi - lo + 1)), F.lit(CHUNKS - 1))
         for name, records in (("sales", topics.encode_sales(views.ticket_sales(spark, sf_dir))),
                               ("expenses", topics.encode_expenses(views.event_expenses(spark, sf_dir)))):
-            for i in range(CHUNKS):
-                topics.write_files(records.where(chunk == i).repartition(files), f"{root}/{name}")
+            with scratch_scope(spark):
+                chunked = materialise(records.withColumn("chunk", chunk), name)  # joined once, read by each chunk
+                for i in range(CHUNKS):
+                    topics.write_files(chunked.where(F.col("chunk") == i).repartition(files), f"{root}/{name}")
         _published[known] = root
     return _published[known]
 
