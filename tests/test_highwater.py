@@ -8,6 +8,7 @@ import pytest
 from tests.hand import at, frames
 from turnstile.operators import highwater
 from turnstile.plans.results import city_highest_sales_per_event, highest_profit_event
+from turnstile.streaming import highwater as streamed
 
 
 def records(seed, n, events=3, cities=3, refunds=False):
@@ -108,3 +109,21 @@ def test_totals_of_any_size(spark):
     s, _ = frames(spark, sales, [])
     got = {r.key: (r.eventName, r.value) for r in city_highest_sales_per_event(s).collect()}
     assert got == brute_city(sales)
+
+
+@pytest.mark.parametrize("scoped", [True, False])
+def test_kept_tables_are_joined_by_shuffle(spark, scoped):
+    """Tables and a batch's members grow with the input: none is broadcast, however small its file looks."""
+    contest = highwater.city_contest(frames(spark)[0]) if scoped else highwater.profit_contest(*frames(spark))
+    members = [("E1", "Aveiro"), ("E1", "Faro"), ("E9", "Porto")] if scoped else [("E1",), ("E4",), ("E9",)]
+    table = spark.createDataFrame([(*m, 5) for m in members], [*contest.by, "total"])
+    joined = [streamed._touched(contest, table, contest.matches("t"))]
+    assert sorted(r[:-1] for r in joined[0].collect()) == members[:1 if scoped else 2]
+    if scoped:
+        best, known = (spark.createDataFrame(rows, "scope string, pos long") for rows in ([("E1", 1), ("E2", 2), (None, 3)], [("E1", 1), ("E2", 1), (None, 3)]))
+        joined.append(streamed._changed(contest, best, known))
+        assert [tuple(r) for r in joined[1].collect()] == [("E2", 2)]
+    else:
+        joined.append(streamed._names(contest.entries, spark.createDataFrame([("E1", "E1", "Tech")], ["member", "id", "name"])))
+        assert sorted(tuple(r) for r in joined[1].collect()) == [("E2", "E2", "Rock"), ("E3", "E3", "Football")]
+    assert not any("Broadcast" in rows._jdf.queryExecution().executedPlan().toString() for rows in joined)

@@ -177,7 +177,7 @@ def best_of(contest: Contest, cells: DataFrame, known: DataFrame | None = None)
     floors = live.select("scope", "value")
     if known is not None:
         floors = floors.union(known.select("scope", "value"))
-    one_floor = "" if contest.scope else "/*+ broadcast(f) */"  # without scopes there is one, and its key is hot
+    one_floor = "/*+ merge(f) */" if contest.scope else "/*+ broadcast(f) */"  # without scopes there is one, and its key is hot
     contenders = materialise(run(f"""
         select {one_floor} c.scope, member, slot, base, start, named_at, value, pos, solved
         from {{live}} c join (select scope, max(value) as floor from {{floors}} group by scope) f
@@ -198,7 +198,7 @@ def _peaks(contest: Contest, cells: DataFrame, small: bool) -> DataFrame:
     """Highest counted running total of each open cell, entry by entry."""
     run = cells.sparkSession.sql
     # Written before ranging: finding the ranges reads the rows twice, and by now they are few.
-    rows = materialise(run(f"""select {"/*+ broadcast(c) */" if small else ""}
+    rows = materialise(run(f"""select {"/*+ broadcast(c) */" if small else "/*+ merge(c) */"}
                           c.scope, c.member, c.slot, {ARRIVAL} as pos, e.delta, c.base, c.start, c.named_at
                    from {{entries}} e join {{cells}} c on {contest.matches("c")} and e.slot = c.slot""",
                entries=contest.entries, cells=cells), "open")

@@ -4,6 +4,8 @@ Each micro-batch is solved by the batch operator, the totals so far of the batch
 Totals, bests and event names are upsert tables whose version is the batch id: a replayed batch starts from the version
 before its own, and a batch writes the members and scopes it touched. Batches must arrive in order; inside a batch any
 order will do.
+
+The tables and a batch's members are joined by shuffle: they grow with the input, however small their files are.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ def high_water_step(name: str, sales: DataFrame, expenses: DataFrame | None, pat
 
             def best_here() -> DataFrame:
                 best = H.best_of(contest, cells, known)
-                return H.in_doubles(bests.merge(best if known is None else _changed(best, known), batch_id, order=None))
+                return H.in_doubles(bests.merge(best if known is None else _changed(contest, best, known), batch_id, order=None))
 
             def name_new() -> None:
                 kept = names.read(before=batch_id, touching=contest.entries)
@@ -68,21 +70,23 @@ def high_water_step(name: str, sales: DataFrame, expenses: DataFrame | None, pat
 
 def _touched(contest: H.Contest, table: DataFrame, same: str) -> DataFrame:
     """The rows of a table kept so far that entries of this batch belong to."""
-    return table.sparkSession.sql(f"select t.* from {{table}} t left semi join {{entries}} e on {same}",
+    by = ", ".join(contest.by)
+    return table.sparkSession.sql(f"select /*+ merge(e) */ t.* from {{table}} t left semi join (select distinct {by} from {{entries}}) e on {same}",
                                   table=table, entries=contest.entries)
 
 
-def _changed(best: DataFrame, known: DataFrame) -> DataFrame:
+def _changed(contest: H.Contest, best: DataFrame, known: DataFrame) -> DataFrame:
     """Scopes whose best was reached in this batch."""
-    return best.sparkSession.sql("""select b.* from {best} b left anti join {known} k
-                                    on b.scope <=> k.scope and b.pos = k.pos""", best=best, known=known)
+    many = "/*+ merge(k) */" if contest.scope else ""  # as many as there are scopes
+    return best.sparkSession.sql(f"""select {many} b.* from {{best}} b left anti join {{known}} k
+                                     on b.scope <=> k.scope and b.pos = k.pos""", best=best, known=known)
 
 
 def _names(batch: DataFrame, old: DataFrame | None) -> DataFrame:
     """The (id, name) of each event that has its first sale ever in this batch."""
     first = {"first": ("min", ARRIVAL)}
     new = fold(batch.where("is_sale"), "member", first, "first").select("member", "id", "name")
-    return new if old is None else new.join(old, "member", "left_anti")
+    return new if old is None else new.join(old.select("member").hint("merge"), "member", "left_anti")
 
 
 def _highest(changed: DataFrame, known: DataFrame | None = None) -> DataFrame:
