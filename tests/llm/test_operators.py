@@ -435,6 +435,24 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs.where("false"), labels).count() == 0
 
 
+@pytest.mark.parametrize("common", [1, 20, 10**9])
+def test_quality_rules_work_in_passes(spark, monkeypatch, tmp_path, common):
+    """Several passes and ranges of texts, common n-grams or none: the sums of one pass, and no hashes of words left on disk."""
+    rng = random.Random(31)
+    rows = [(i, words(rng, 30, 40) if i % 3 else words(rng, 10, 40) + " " + words(rng, 20, 40).replace("w", "v")) for i in range(60)]
+    rows += [(70 + i, "a b a b a b " + rows[i][1]) for i in range(8)] + [(90, rows[4][1]), (91, rows[4][1]), (92, None), (93, "one"), (94, " ")]
+    quality = {i: int(i % 3 > 0) for i in range(0, 60, 2)} | {91: 1}
+    labels = spark.createDataFrame([(i, k, 0) for i, k in quality.items()], "doc_id long, quality int, toxic int")
+    for name, value in (("PASSES", 3), ("PASS_GRAMS", 1), ("RANGES", 2), ("RANGE_ROWS", 1), ("SAMPLE", 16), ("COMMON", common)):
+        monkeypatch.setattr(quality_rules, name, value)
+    monkeypatch.setattr("turnstile.session.shared_dir", lambda spark: str(tmp_path))
+    got = {r.doc_id: (r.score, r.kept) for r in quality_rules.judge(frame(spark, rows), labels).collect()}
+    scores, kept = brute_rules(rows, quality)
+    assert {i: k for (i, _), k in zip(rows, kept)} == {i: bool(k) for i, (_, k) in got.items()}
+    assert [-1e9 if got[i][0] is None else got[i][0] for i, _ in rows] == pytest.approx([-1e9 if x is None else x for x in scores], abs=1e-9)
+    assert {x.name.split("-")[0] for x in (tmp_path / "turnstile").iterdir()} == {"sums", "scored"}
+
+
 def test_quality_rules_judge_alike_at_every_size(spark):
     rng = random.Random(18)
     junk = [f"buy{k}" for k in range(40)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
@@ -71,6 +71,36 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_parts(parts: Iterable[DataFrame], label: str, outlives: bool = False) -> DataFrame:
+    """Write tables of the same columns (one at least) one after the other into one, and read it back.
+
+    Each is made only when the one before is written, and what that one shuffled is deleted first: the disk holds the shuffles of one part.
+    If it `outlives` the present scope, it belongs to the one around that.
+    """
+    path, spark, schema = None, None, None
+    for part in parts:
+        if path is None:
+            spark, schema = part.sparkSession, part.schema
+            path = scratch_path(spark, label)
+            if len(stack := getattr(_scopes, "stack", [])) > outlives:
+                stack[-1 - outlives].append(path)
+        with _shuffles_deleted(spark):
+            part.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries started inside go when the query ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Delete what is materialised inside on leaving: a long-running stream must not fill the folder."""
