@@ -11,13 +11,12 @@ The cut comes from the scores of all documents that pass the base rules: it is t
 those labelled as not good. If none is, or those score no lower, it is SPREAD standard deviations below the trusted mean. Nothing is sampled.
 
 Equal texts, told by a 64-bit hash, are brought together first, with the number of their rows: each distinct text is kept as the hashes of its
-words, its n-grams count as often as it has rows, and its sum is taken once and holds for all of them.
+words and its base counts, its n-grams count as often as it has rows, and its sum is taken once and holds for all of them.
 
-The (text, n-gram) pairs are many times the input, so they are shuffled in passes, each over the n-grams of one residue of their hash: every
-n-gram is in one pass with all its texts, sums of whole units add up over the passes, and what a pass shuffled is deleted before the next.
-Words and pairs have PASSES each, fewer where the corpus is small. In a pass rows meet by n-gram, are counted by text and weighed against the
-total of the n-gram. An n-gram that a bounded sample of the texts shows to be common would be a hot key: its total is counted over all rows
-beforehand, with partial sums, and its rows are dealt by text. Either way totals are exact; the sample only chooses the way.
+A sample of the texts, bounded like the list, shows which n-grams are common. Their totals are counted over all rows, with partial sums, and go to every task, so that
+a text's common n-grams are weighed where it lies. The others, many times the input, are shuffled in up to PASSES passes, each over the n-grams
+of one residue of their hash: every n-gram is in one pass with all its texts, sums of whole units add up over the passes, and what a pass
+shuffled is deleted before the next. Either way totals are exact; the sample only chooses the way.
 
 Nulls: a null text counts like one without words. Such a text fails the base rules. Rows that repeat a doc_id are judged as rows; labels
 that repeat count once, as good if any says so. With no trusted document no ratio can be taken, all weights are 0 and the base rules
@@ -26,6 +25,9 @@ alone decide. Other columns are neither read nor, in `judge`, returned.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,30 +40,53 @@ SPREAD = 3  # standard deviations below the trusted mean, where no lower class i
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED = 30  # per cent of the words
-PASSES = 8  # over the words, and again over the pairs of words
-PASS_GRAMS = 2_000_000  # a corpus with fewer n-grams than this a pass takes fewer passes
+PASSES = 8  # over the n-grams that are not common
+PASS_GRAMS = 4_000_000  # a corpus with fewer n-grams than this a pass takes fewer passes
 RANGES = 4  # parts of the texts, by their hash, in which copies are brought together
 RANGE_ROWS = 10_000  # and rows below which there are fewer parts
-SAMPLE = 2_048  # texts, about, in which common n-grams are looked for
-COMMON = 64  # of these hold a common one, or more
+SAMPLE = 8_192  # texts, about, in which common n-grams are looked for
+COMMON = 4  # of these hold a common one, or more
+LISTED = 1 << 18  # common n-grams at most
+DICTIONARY = 16 << 20  # bytes of the distinct word hashes of a file, below which it holds their numbers
 
 _SPACE = "\\\\x20\\\\x09-\\\\x0D"
-_WORDS = f"filter(split(coalesce(text, ''), '[{_SPACE}]+'), w -> w <> '')"
+_BLANKS = " \\t\\n\\u000B\\u000C\\r"
 _KEY = "xxhash64(coalesce(text, ''))"
-_WINDOWS = (f"case when size(_hashes) < {WINDOW} then array() else "
-            f"transform(sequence(1, size(_hashes) - {WINDOW} + 1), i -> xxhash64(slice(_hashes, i, {WINDOW}))) end")
+
+
+def _shifted(column: str, by: int) -> str:
+    """SQL text: the hashes of every element with the one `by` places on; the last ones stay alone."""
+    return f"zip_with({column}, slice({column}, {by + 1}, size({column})), (a, b) -> xxhash64(a, b))"
+
+
+#: Of two equal windows the later one has WINDOW - 3 runs of four words that were there before. With fewer no window is hashed.
+_WINDOWS = f"case when size(_fours) - size(array_distinct(_fours)) >= {WINDOW - 3} then {_shifted('_fours', 4)} else array() end"
 #: Windows with their places, sorted, so that equal ones stand side by side.
-_SORTED = "array_sort(transform(_windows, (w, i) -> struct(w as w, i as i)))"
+_SORTED = ("case when size(array_distinct(_windows)) < size(_windows) then array_sort(transform(_windows, (w, i) -> struct(w as w, i as i))) "
+           "else array() end")
 #: Places of the windows that are found twice or more, in order.
 _TWICE = ("array_sort(transform(filter(_sorted, (x, k) -> (k > 0 and x.w = _sorted[greatest(k - 1, 0)].w) or "
           "(k < size(_sorted) - 1 and x.w = _sorted[least(k + 1, size(_sorted) - 1)].w)), x -> x.i))")
 #: Each of those windows covers WINDOW words, or those up to the next one.
 _COVERED = (f"cast(aggregate(zip_with(_twice, slice(_twice, 2, greatest(size(_twice) - 1, 0)), (a, b) -> least({WINDOW}, coalesce(b - a, {WINDOW}))), "
             f"0, (s, n) -> s + n) as long)")
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_words", F.expr(_WORDS)).withColumn("_hashes", F.expr("transform(_words, w -> xxhash64(w))"))
+def _measured(texts: DataFrame, *kept: str) -> DataFrame:
+    """`kept`, the hashes of a text's words and its base counts. Each step carries only what later ones need, as it is copied in every step."""
+    counts = [*kept, "hashes", *_BASE[:-1]]
+    return (texts.selectExpr(*kept, "text", f"trim(BOTH '{_BLANKS}' FROM text) as _trimmed",
+                             f"filter(split(text, '\\n'), x -> trim(BOTH '{_BLANKS}' FROM x) <> '') as _lines")
+            .selectExpr(*kept, "text", "_lines", f"if(_trimmed = '', array(), split(_trimmed, '[{_SPACE}]+')) as _words")
+            .selectExpr(*kept, "transform(_words, w -> xxhash64(w)) as hashes", "cast(size(_words) as long) as n_words",
+                        "cast(length(concat_ws('', _words)) as long) as word_chars",
+                        "cast(length(regexp_replace(text, '[^#*$%&|<>]+', '')) as long) as n_symbols",
+                        "cast(size(_lines) - size(array_distinct(_lines)) as long) as n_dup_lines")
+            .selectExpr(*counts, f"if(n_words < {WINDOW + 1}, array(), {_shifted('hashes', 1)}) as _pairs")
+            .selectExpr(*counts, f"{_shifted('_pairs', 2)} as _fours")
+            .selectExpr(*counts, f"{_WINDOWS} as _windows").selectExpr(*counts, f"{_SORTED} as _sorted")
+            .selectExpr(*counts, f"{_TWICE} as _twice").selectExpr(*counts, f"{_COVERED} as n_repeat_words"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -70,79 +95,111 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(_key, copies, trusted, hashes): every text once, the number of its rows, of those in the trusted target, and the hashes of its words."""
+    """(_id, _key, copies, trusted, hashes, base counts): every text once, the number of its rows, of those in the trusted target, and its words.
+
+    _id is a number of the text: shorter than its hash when compressed.
+    """
     # The labels grow with the corpus: one plan at every size. Texts stay where they are, only ids and keys meet the labels.
     known = docs.selectExpr("cast(doc_id as long) as _id", f"{_KEY} as _known").join(trusted_ids(labels).hint("merge"), F.expr("_id = trusted_id"))
     trusted = materialise(known.groupBy("_known").agg(F.count("*").alias("_n")), "trusted")
     ranges = min(RANGES, 1 + docs.count() // RANGE_ROWS)
 
     def part(k: int) -> DataFrame:
-        texts = (docs.select(F.expr(_KEY).alias("_key"), "text").where(f"pmod(_key, {ranges}) = {k}")
+        texts = (docs.select(F.expr(_KEY).alias("_key"), F.expr("coalesce(text, '') as text")).where(f"pmod(_key, {ranges}) = {k}")
                  .groupBy("_key").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
         joined = texts.join(trusted.where(f"pmod(_known, {ranges}) = {k}").hint("merge"), F.expr("_key = _known"), "left")
-        return _hashed(joined).selectExpr("_key", "copies", "coalesce(_n, 0L) as trusted", "_hashes as hashes")
+        return _measured(joined.selectExpr("_key", "copies", "coalesce(_n, 0L) as trusted", "text"), "_key", "copies", "trusted").selectExpr(
+            f"monotonically_increasing_id() * {ranges} + {k} as _id", "*")
+
+    return materialise_parts((part(k) for k in range(ranges)), "texts", **{"parquet.dictionary.page.size": DICTIONARY})
+
+
+def _grams(texts: DataFrame, kept: str = "true") -> DataFrame:
+    """(_id, copies, trusted, gram): the words and pairs of words of every text, in a row each, where `kept` says so of `gram`."""
+    either = " or ".join(f"coalesce({re.sub(r'\bgram\b', name, kept)}, false)" for name in ("word", "pair"))
+    return (texts.selectExpr("_id", "copies", "trusted", "hashes", "posexplode(hashes) as (at, word)")
+            .selectExpr("_id", "copies", "trusted", "word", "get(hashes, at + 1) as next")
+            .selectExpr("_id", "copies", "trusted", "word", "if(next is null, null, xxhash64(word, next)) as pair").where(either)
+            .selectExpr("_id", "copies", "trusted", "explode(array(word, pair)) as gram").where(f"gram is not null and {kept}"))
 
-    return materialise_parts((part(k) for k in range(ranges)), "texts")
 
+def _runs(texts: DataFrame, longest: int) -> DataFrame:
+    """(_id, trusted, gram, n): every n-gram of a text once, and how often the text holds it: the length of its run in sorted order.
 
-def _words(texts: DataFrame) -> DataFrame:
-    """(_key, copies, trusted, gram): the words of every text, in a row each."""
-    return texts.selectExpr("_key", "copies", "trusted", "explode(hashes) as gram")
+    The run's end is found by steps that halve, the first no shorter than half of the `longest` text.
+    """
+    ordered = [texts.selectExpr("_id", "trusted", "sort_array(hashes) as grams"),
+               texts.where("size(hashes) > 1").selectExpr("_id", "trusted", f"slice({_shifted('hashes', 1)}, 1, greatest(size(hashes) - 1, 0)) as grams")
+               .selectExpr("_id", "trusted", "sort_array(grams) as grams")]
 
+    def runs(rows: DataFrame) -> DataFrame:
+        kept = ["_id", "trusted", "grams", "at", "gram"]
+        rows = (rows.selectExpr(*kept[:3], "posexplode(grams) as (at, gram)").where("at = 0 or get(grams, at - 1) <> gram")
+                .selectExpr(*kept, "at as end"))
+        for k in reversed(range(longest.bit_length())):
+            rows = rows.selectExpr(*kept, f"if(get(grams, end + {1 << k}) = gram, end + {1 << k}, end) as end")
+        return rows.selectExpr("_id", "trusted", "gram", "cast(end - at + 1 as long) as n")
 
-def _pairs(texts: DataFrame) -> DataFrame:
-    """(_key, copies, trusted, gram): the pairs of words of every text, in a row each."""
-    return (texts.where("size(hashes) > 1")
-            .selectExpr("_key", "copies", "trusted",
-                        "inline(arrays_zip(slice(hashes, 1, size(hashes) - 1), slice(hashes, 2, size(hashes) - 1))) as (a, b)")
-            .selectExpr("_key", "copies", "trusted", "xxhash64(a, b) as gram"))
+    return runs(ordered[0]).unionAll(runs(ordered[1]))
 
 
 def common(texts: DataFrame, n_texts: int) -> DataFrame:
-    """(gram, all_raw, all_target): the totals of n-grams that COMMON of about SAMPLE sampled texts hold, or more. Bounded by the sample."""
+    """(gram, all_raw, all_target): the totals of n-grams that COMMON of about SAMPLE sampled texts hold, or more; the LISTED most frequent.
+
+    Bounded by LISTED, whatever the corpus.
+    """
     sample = texts.where(f"pmod(_key, {max(1, n_texts // SAMPLE)}) = 0")
-    listed = materialise_parts((kind(sample).select("_key", "gram").distinct().groupBy("gram").count().where(f"count >= {COMMON}").select("gram")
-                                for kind in (_words, _pairs)), "common")
-    return materialise(_words(texts).unionAll(_pairs(texts)).join(F.broadcast(listed), "gram", "left_semi").groupBy("gram")
+    held = (sample.selectExpr("explode(array_distinct(hashes)) as gram")
+            .unionAll(sample.where("size(hashes) > 1").selectExpr(f"slice({_shifted('hashes', 1)}, 1, greatest(size(hashes) - 1, 0)) as grams")
+                      .selectExpr("explode(array_distinct(grams)) as gram")))
+    counts = materialise(held.groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {COMMON}"), "counts")
+    least, listed = COMMON, 0
+    for r in sorted(counts.groupBy(F.expr("least(n, 1000)").alias("n")).agg(F.count("*").alias("grams")).collect(), key=lambda r: -r.n):
+        listed += r.grams
+        if listed > LISTED:
+            least = r.n + 1
+            break
+    chosen = materialise(counts.where(f"n >= {least}").select("gram"), "common")
+    return materialise(_grams(texts).join(F.broadcast(chosen), "gram", "left_semi").groupBy("gram")
                        .agg(F.sum("copies").alias("all_raw"), F.sum("trusted").alias("all_target")), "totals")
 
 
-def sums(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(_key, _plain, _own): by text, the summed weights as of an unlabelled and as of a trusted document.
+def sums(texts: DataFrame) -> DataFrame:
+    """(_id, _plain, _own): by text, the summed weights as of an unlabelled and, if one of its rows is trusted, as of a trusted document.
 
     N-grams that no other document holds have no weight. A text without any other has no row.
     """
-    with scratch_scope(docs.sparkSession):  # the hashes of all words are as large as the input
-        parts = _summed(distinct_texts(docs, labels))
-    return parts.groupBy("_key").agg(F.sum("_plain").alias("_plain"), F.sum("_own").alias("_own"))
-
-
-def _summed(texts: DataFrame) -> DataFrame:
-    """(_key, _plain, _own): the sums of every pass."""
     length = "cast(greatest(2 * size(hashes) - 1, 0) as long)"  # words and pairs of them
-    raws, targets, n_texts = texts.agg(F.expr(f"sum({length} * copies)"), F.expr(f"sum({length} * trusted)"), F.count("*")).first()
+    raws, targets, n_texts, longest = texts.agg(F.expr(f"sum({length} * copies)"), F.expr(f"sum({length} * trusted)"), F.count("*"),
+                                                F.expr("max(size(hashes))")).first()
     if not targets:
-        return texts.sparkSession.createDataFrame([], "_key long, _plain long, _own long")
+        return texts.sparkSession.createDataFrame([], "_id long, _plain long, _own long")
     share = targets / raws
     passes = min(PASSES, 1 + raws // PASS_GRAMS)
     totals = common(texts, n_texts)
 
     def weight(target: str) -> str:
-        return f"cast(round({UNIT} * ln(({target} + {SMOOTHING}D) / ((raw - n) * {share!r}D + {SMOOTHING}D))) as long)"
+        return f"cast(rint({UNIT} * ln(({target} + {SMOOTHING}D) / ((raw - n) * {share!r}D + {SMOOTHING}D))) as long)"
+
+    def summed(rows: DataFrame, times: str) -> DataFrame:
+        return (rows.where("raw > n").selectExpr("_id", f"{times} * {weight('target')} as plain",
+                                                 f"if(trusted > 0, {times} * {weight('greatest(target - n, 0)')}, null) as own")
+                .groupBy("_id").agg(F.sum("plain").alias("_plain"), F.sum("own").alias("_own")))
 
-    def part(grams: DataFrame, k: int) -> DataFrame:
-        own = F.broadcast(totals.where(f"pmod(gram, {passes}) = {k}"))
-        rows = (grams.where(f"pmod(gram, {passes}) = {k}").join(own.select("gram", F.lit(True).alias("hot")), "gram", "left")
-                .selectExpr("_key", "copies", "trusted", "gram", "if(hot, _key, 0L) as dealt"))
-        counted = (rows.repartition("gram", "dealt").groupBy("gram", "dealt", "_key", "copies", "trusted").agg(F.count("*").alias("n"))
-                   .selectExpr("_key", "gram", "n", "sum(n * copies) over (partition by gram, dealt) as here_raw",
-                               "sum(n * trusted) over (partition by gram, dealt) as here_target"))
-        return (counted.join(own, "gram", "left")
-                .selectExpr("_key", "n", "coalesce(all_raw, here_raw) as raw", "coalesce(all_target, here_target) as target").where("raw > n")
-                .selectExpr("_key", f"n * {weight('target')} as plain", f"n * {weight('greatest(target - n, 0)')} as own")
-                .groupBy("_key").agg(F.sum("plain").alias("_plain"), F.sum("own").alias("_own")))
+    def part(k: int) -> DataFrame:
+        """One row is left of each word and pair, so that each has its weight once."""
+        own = F.broadcast(totals.where(f"pmod(gram, {passes}) = {k}").select("gram"))
+        return summed(_grams(texts, f"pmod(gram, {passes}) = {k}").join(own, "gram", "left_anti")
+                      .selectExpr("*", "sum(copies) over (partition by gram) as raw", "sum(trusted) over (partition by gram) as target",
+                                  "min(_id) over (partition by gram) as first", "max(_id) over (partition by gram) as last")
+                      .where("first < last or copies > 1").selectExpr("*", "count(*) over (partition by gram, _id) as n"), "1L")
 
-    return materialise_parts((part(kind(texts), k) for kind in (_words, _pairs) for k in range(passes)), "sums", outlives=True)
+    def parts() -> Iterator[DataFrame]:
+        yield summed(_runs(texts, longest).join(F.broadcast(totals), "gram").withColumnsRenamed({"all_raw": "raw", "all_target": "target"}), "n")
+        yield from (part(k) for k in range(passes))
+
+    return (materialise_parts(parts(), "sums", outlives=True)
+            .groupBy("_id").agg(F.sum("_plain").alias("_plain"), F.sum("_own").alias("_own")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -159,7 +216,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None) ->
 def _judged(docs: DataFrame, labels: DataFrame, threshold: float | None) -> DataFrame:
     """The columns of `judge` and _key, the hash of the text."""
     prepare(docs.sparkSession)
-    scored = materialise(_scored(docs, labels), "scored")
+    scored = _scored(docs, labels)
     cut = _cut(scored) if threshold is None else round(threshold * UNIT)
     return (scored.withColumn("score", F.expr(f"case when _n > 0 then _sum / _n / {UNIT} end"))
             .withColumn("kept", F.expr(f"not base_failed and _sum >= {cut!r} * _n")))
@@ -179,28 +236,18 @@ def _cut(scored: DataFrame) -> float:
 
 
 def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, _key, base columns, quality, _n, _sum). Each step carries only what later ones need, as it is copied in every step."""
-    table = sums(docs, labels)
-    said = (labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.expr("cast(doc_id as long)").alias("_id"))
-            .agg(F.max(F.expr("cast(quality as int)")).alias("quality")))
-    kept = ["doc_id", "_key"]
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
-    lines = f"filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^{_SPACE}]')"
-    text = "coalesce(text, '')"
-    rows = (docs.select("doc_id", F.expr(_KEY).alias("_key"), "text", F.expr(_WORDS).alias("_words"), F.expr(lines).alias("_lines"))
-            .select(*kept, F.expr("cast(size(_words) as long)").alias("n_words"),
-                    F.expr(f"cast(length(translate({text}, ' \\t\\n\\u000B\\u000C\\r', '')) as long)").alias("word_chars"),
-                    F.expr(f"cast(length({text}) - length(translate({text}, '#*$%&|<>', '')) as long)").alias("n_symbols"),
-                    F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)").alias("n_dup_lines"),
-                    F.expr("transform(_words, w -> xxhash64(w))").alias("_hashes"))
-            .select(*kept, *base, F.expr(_WINDOWS).alias("_windows"))
-            .select(*kept, *base, F.expr(f"case when size(array_distinct(_windows)) < size(_windows) then {_SORTED} else array() end").alias("_sorted"))
-            .select(*kept, *base, F.expr(_TWICE).alias("_twice"))
-            .select(*kept, *base, F.expr(_COVERED).alias("n_repeat_words"))
-            .withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words")))
-    return (rows.join(said.hint("merge"), F.expr("cast(doc_id as long) = _id"), "left").drop("_id").join(table.hint("merge"), "_key", "left")
-            .withColumn("_n", F.expr("n_words + greatest(n_words - 1, 0)"))
-            .withColumn("_sum", F.expr("coalesce(case when quality = 1 then _own else _plain end, 0L)")).drop("_plain", "_own"))
+    """(doc_id, _key, base columns, quality, _n, _sum): what holds for a text holds for all of its rows."""
+    with scratch_scope(docs.sparkSession):  # the hashes of all words are as large as the input
+        texts = distinct_texts(docs, labels)
+        judged = texts.select("_id", "_key", *_BASE).join(sums(texts).hint("merge"), "_id", "left").drop("_id")
+        said = (labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.expr("cast(doc_id as long)").alias("_id"))
+                .agg(F.max(F.expr("cast(quality as int)")).alias("quality")))
+        rows = (docs.select("doc_id", F.expr(_KEY).alias("_key")).join(said.hint("merge"), F.expr("cast(doc_id as long) = _id"), "left").drop("_id")
+                .join(judged.hint("merge"), "_key")
+                .withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words"))
+                .withColumn("_n", F.expr("n_words + greatest(n_words - 1, 0)"))
+                .withColumn("_sum", F.expr("coalesce(case when quality = 1 then _own else _plain end, 0L)")).drop("_plain", "_own"))
+        return materialise_parts([rows], "scored", outlives=True)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:

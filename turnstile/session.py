@@ -71,11 +71,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise_parts(parts: Iterable[DataFrame], label: str, outlives: bool = False) -> DataFrame:
+def materialise_parts(parts: Iterable[DataFrame], label: str, outlives: bool = False, **options: object) -> DataFrame:
     """Write tables of the same columns (one at least) one after the other into one, and read it back.
 
     Each is made only when the one before is written, and what that one shuffled is deleted first: the disk holds the shuffles of one part.
-    If it `outlives` the present scope, it belongs to the one around that.
+    If it `outlives` the present scope, it belongs to the one around that. `options` are those of the writer.
     """
     path, spark, schema = None, None, None
     for part in parts:
@@ -85,7 +85,7 @@ def materialise_parts(parts: Iterable[DataFrame], label: str, outlives: bool = F
             if len(stack := getattr(_scopes, "stack", [])) > outlives:
                 stack[-1 - outlives].append(path)
         with _shuffles_deleted(spark):
-            part.write.mode("append").option("compression", "zstd").parquet(path)
+            part.write.mode("append").option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
