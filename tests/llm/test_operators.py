@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnstile.llm import bottomk, bpe, line_dedup, packing, pivots, quality_model, quality_rules, sharding, tokens, toxicity, warc
@@ -453,6 +454,24 @@ def test_quality_rules_work_in_passes(spark, monkeypatch, tmp_path, common):
     assert {x.name.split("-")[0] for x in (tmp_path / "turnstile").iterdir()} == {"sums", "scored"}
 
 
+def test_quality_rules_weigh_common_grams_where_a_text_lies(spark, monkeypatch, tmp_path):
+    """Runs of every length are told without a shuffle, in long texts too, and the list of common n-grams is bounded."""
+    monkeypatch.setattr("turnstile.session.shared_dir", lambda spark: str(tmp_path))
+    rng = random.Random(44)
+    lists = [[], [5], [7] * 300, [rng.randrange(-3, 3) for _ in range(5000)], list(range(40)) * 3]
+    texts = spark.createDataFrame([(i, i, 1, i % 2, x) for i, x in enumerate(lists)], "_id long, _key long, copies long, trusted long, hashes array<long>")
+    runs = quality_rules._runs(texts)
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    rows = quality_rules._grams(texts).groupBy("_id", "trusted", "gram").agg(F.count("*").alias("n"))
+    assert Counter(map(tuple, runs.collect())) == Counter(map(tuple, rows.collect()))
+    monkeypatch.setattr(quality_rules, "COMMON", 1)
+    monkeypatch.setattr(quality_rules, "LISTED", 8)
+    totals = quality_rules.common(texts, len(lists)).collect()
+    raw = {r.gram: (r.raw, r.target) for r in quality_rules._grams(texts).groupBy("gram").agg(
+        F.sum("copies").alias("raw"), F.sum("trusted").alias("target")).collect()}
+    assert 0 < len(totals) <= 8 and all(raw[r.gram] == (r.all_raw, r.all_target) for r in totals)
+
+
 def test_quality_rules_judge_alike_at_every_size(spark):
     rng = random.Random(18)
     junk = [f"buy{k}" for k in range(40)]

@@ -123,24 +123,20 @@ def _grams(texts: DataFrame, kept: str = "true") -> DataFrame:
             .selectExpr("_id", "copies", "trusted", "explode(array(word, pair)) as gram").where(f"gram is not null and {kept}"))
 
 
-def _runs(texts: DataFrame, longest: int) -> DataFrame:
+def _runs(texts: DataFrame) -> DataFrame:
     """(_id, trusted, gram, n): every n-gram of a text once, and how often the text holds it: the length of its run in sorted order.
 
-    The run's end is found by steps that halve, the first no shorter than half of the `longest` text.
+    An outer explode, as an inner one would have the array made twice: once to see whether it is empty.
     """
-    ordered = [texts.selectExpr("_id", "trusted", "sort_array(hashes) as grams"),
-               texts.where("size(hashes) > 1").selectExpr("_id", "trusted", f"slice({_shifted('hashes', 1)}, 1, greatest(size(hashes) - 1, 0)) as grams")
-               .selectExpr("_id", "trusted", "sort_array(grams) as grams")]
+    pairs = texts.where("size(hashes) > 1").selectExpr("_id", "trusted", f"slice({_shifted('hashes', 1)}, 1, greatest(size(hashes) - 1, 0)) as grams")
 
     def runs(rows: DataFrame) -> DataFrame:
-        kept = ["_id", "trusted", "grams", "at", "gram"]
-        rows = (rows.selectExpr(*kept[:3], "posexplode(grams) as (at, gram)").where("at = 0 or get(grams, at - 1) <> gram")
-                .selectExpr(*kept, "at as end"))
-        for k in reversed(range(longest.bit_length())):
-            rows = rows.selectExpr(*kept, f"if(get(grams, end + {1 << k}) = gram, end + {1 << k}, end) as end")
-        return rows.selectExpr("_id", "trusted", "gram", "cast(end - at + 1 as long) as n")
+        ends = "filter(sequence(1, greatest(size(grams), 1)), i -> i = size(grams) or get(grams, i) <> get(grams, i - 1)) as ends"
+        return (rows.selectExpr("_id", "trusted", "sort_array(grams) as grams").selectExpr("_id", "trusted", "grams", ends)
+                .selectExpr("_id", "trusted", "grams", "ends", "posexplode_outer(ends) as (at, end)").where("end is not null")
+                .selectExpr("_id", "trusted", "get(grams, end - 1) as gram", "cast(end - coalesce(get(ends, at - 1), 0) as long) as n"))
 
-    return runs(ordered[0]).unionAll(runs(ordered[1]))
+    return runs(texts.where("size(hashes) > 0").selectExpr("_id", "trusted", "hashes as grams")).unionAll(runs(pairs))
 
 
 def common(texts: DataFrame, n_texts: int) -> DataFrame:
@@ -149,9 +145,9 @@ def common(texts: DataFrame, n_texts: int) -> DataFrame:
     Bounded by LISTED, whatever the corpus.
     """
     sample = texts.where(f"pmod(_key, {max(1, n_texts // SAMPLE)}) = 0")
-    held = (sample.selectExpr("explode(array_distinct(hashes)) as gram")
+    held = (sample.selectExpr("explode_outer(array_distinct(hashes)) as gram")
             .unionAll(sample.where("size(hashes) > 1").selectExpr(f"slice({_shifted('hashes', 1)}, 1, greatest(size(hashes) - 1, 0)) as grams")
-                      .selectExpr("explode(array_distinct(grams)) as gram")))
+                      .selectExpr("explode_outer(array_distinct(grams)) as gram")).where("gram is not null"))
     counts = materialise(held.groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {COMMON}"), "counts")
     least, listed = COMMON, 0
     for r in sorted(counts.groupBy(F.expr("least(n, 1000)").alias("n")).agg(F.count("*").alias("grams")).collect(), key=lambda r: -r.n):
@@ -170,8 +166,7 @@ def sums(texts: DataFrame) -> DataFrame:
     N-grams that no other document holds have no weight. A text without any other has no row.
     """
     length = "cast(greatest(2 * size(hashes) - 1, 0) as long)"  # words and pairs of them
-    raws, targets, n_texts, longest = texts.agg(F.expr(f"sum({length} * copies)"), F.expr(f"sum({length} * trusted)"), F.count("*"),
-                                                F.expr("max(size(hashes))")).first()
+    raws, targets, n_texts = texts.agg(F.expr(f"sum({length} * copies)"), F.expr(f"sum({length} * trusted)"), F.count("*")).first()
     if not targets:
         return texts.sparkSession.createDataFrame([], "_id long, _plain long, _own long")
     share = targets / raws
@@ -187,15 +182,13 @@ def sums(texts: DataFrame) -> DataFrame:
                 .groupBy("_id").agg(F.sum("plain").alias("_plain"), F.sum("own").alias("_own")))
 
     def part(k: int) -> DataFrame:
-        """One row is left of each word and pair, so that each has its weight once."""
+        """A row for every place of an n-gram in a text, so each counts once."""
         own = F.broadcast(totals.where(f"pmod(gram, {passes}) = {k}").select("gram"))
         return summed(_grams(texts, f"pmod(gram, {passes}) = {k}").join(own, "gram", "left_anti")
-                      .selectExpr("*", "sum(copies) over (partition by gram) as raw", "sum(trusted) over (partition by gram) as target",
-                                  "min(_id) over (partition by gram) as first", "max(_id) over (partition by gram) as last")
-                      .where("first < last or copies > 1").selectExpr("*", "count(*) over (partition by gram, _id) as n"), "1L")
+                      .selectExpr("*", "sum(copies) over (partition by gram) as raw", "sum(trusted) over (partition by gram) as target").where("raw > 1").selectExpr("*", "count(*) over (partition by gram, _id) as n"), "1L")
 
     def parts() -> Iterator[DataFrame]:
-        yield summed(_runs(texts, longest).join(F.broadcast(totals), "gram").withColumnsRenamed({"all_raw": "raw", "all_target": "target"}), "n")
+        yield summed(_runs(texts).join(F.broadcast(totals), "gram").withColumnsRenamed({"all_raw": "raw", "all_target": "target"}), "n")
         yield from (part(k) for k in range(passes))
 
     return (materialise_parts(parts(), "sums", outlives=True)
